@@ -20,8 +20,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
-
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -53,7 +51,6 @@ RULES = (
     Rule("upper_ratio", None, 0.40),
     Rule("stop_word_ratio", 0.04, None, from_words=50),
     Rule("dup_line_ratio", None, 0.50),
-    Rule("lone_letter_ratio", None, 0.60, from_words=50),
 )
 
 
@@ -67,44 +64,70 @@ def _stop_forms() -> list[str]:
     return sorted(f + end for f in forms for end in ("", ".", ","))
 
 
+def _spaced(text: Column) -> Column:
+    """The text with every white-space character that ends words as one blank."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def _pairs(a: Column, b: Column, ahead: int) -> Column:
+    """hash(a[i], b[i + ahead]) for every i that has both."""
+    return F.slice(
+        F.zip_with(a, F.slice(b, ahead + 1, 1 << 30), lambda x, y: F.xxhash64(x, y)),
+        1,
+        F.greatest(F.least(F.size(a), F.size(b) - ahead), F.lit(0)),
+    )
+
+
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the base counts and ratios, as columns starting with ``__q_``.
 
-    Three stacked projections: Catalyst keeps them apart because the word and
-    window arrays are used more than once, so neither is computed twice.
+    Windows are compared by 64-bit hashes built by doubling (2, 4, then 5
+    words): two unequal windows of one text of n words share a hash with
+    probability below n^2 / 2^65. Stacked projections keep every array that
+    is used twice from being computed twice.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    df = df.withColumns({"__q_text": t, "__q_words": words(t)})
-    w, t = F.col("__q_words"), F.col("__q_text")
-    windows = F.when(F.size(w) < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.size(w) - WINDOW),
-            lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))),
-        )
-    )
+    df = df.withColumn("__q_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    t, h = F.col("__q_text"), F.col("__q_hashes")
+    blank = _spaced(t)
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumns(
         {
-            "__q_n": F.size(w).cast("long"),
-            "__q_chars": _kept_chars(t, SPACE),
+            "__q_hashes": F.transform(
+                F.array_remove(F.split(blank, " "), ""), lambda x: F.xxhash64(x)
+            ),
+            "__q_chars": F.length(F.replace(blank, F.lit(" "), F.lit(""))).cast("long"),
             "__q_symbols": _kept_chars(t, r"[^#*$%&|<>]+"),
             "__q_shouts": _kept_chars(t, r"[^!?]+"),
             "__q_upper": _kept_chars(t, r"[^\p{Lu}]+"),
-            "__q_stops": F.size(F.filter(w, lambda x: x.isin(_stop_forms()))),
-            "__q_lone": F.size(F.filter(w, lambda x: F.length(x) == 1)),
-            "__q_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "__q_windows": windows,
+            "__q_lines": lines,
         }
-    )
-    # Equal windows have equal hashes, so only texts with a repeated hash need the exact count.
-    starts = F.col("__q_windows")
-    named = F.transform(
-        F.sequence(F.lit(0), F.size(w) - WINDOW),
-        lambda i: F.struct(F.array_join(F.slice(w, i + 1, WINDOW), " ").alias("k"), i.alias("i")),
-    )
+    ).drop("__q_text")
+    df = df.withColumns(
+        {
+            "__q_n": F.size(h).cast("long"),
+            "__q_stops": F.size(
+                F.filter(h, lambda x: x.isin([F.xxhash64(F.lit(f)) for f in _stop_forms()]))
+            ),
+            "__q_n_lines": F.size("__q_lines"),
+            "__q_dups": (
+                F.size("__q_lines") - F.size(F.array_distinct(F.col("__q_lines")))
+            ).cast("long"),
+            "__q_two": _pairs(h, h, 1),
+        }
+    ).drop("__q_lines")
+    two, four, w = F.col("__q_two"), F.col("__q_four"), F.col("__q_windows")
+    df = df.withColumn("__q_four", _pairs(two, two, 2)).drop("__q_two")
+    df = df.withColumn("__q_windows", _pairs(four, h, 4)).drop("__q_four", "__q_hashes")
+    # Only texts with a repeated window are sorted.
     df = df.withColumn(
         "__q_sorted",
-        F.when(F.size(F.array_distinct(starts)) < F.size(starts), F.sort_array(named)),
-    )
+        F.when(
+            F.size(F.array_distinct(w)) < F.size(w),
+            F.sort_array(F.transform(w, lambda k, i: F.struct(k.alias("k"), i.alias("i")))),
+        ),
+    ).drop("__q_windows")
     s = F.col("__q_sorted")
     df = df.withColumn(
         "__q_starts",
@@ -120,10 +143,9 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
                 lambda x: x["i"],
             )
         ),
-    )
-    p = F.col("__q_starts")
+    ).drop("__q_sorted")
     covered = F.aggregate(
-        p,
+        F.col("__q_starts"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
         lambda acc, i: F.struct(
             (acc["n"] + i + WINDOW - F.greatest(i, acc["end"])).cast("long").alias("n"),
@@ -131,18 +153,11 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda acc: acc["n"],
     )
-    return df.withColumns(
-        {
-            "__q_repeats": F.coalesce(covered, F.lit(0).cast("long")),
-            "__q_dups": (
-                F.size("__q_lines") - F.size(F.array_distinct(F.col("__q_lines")))
-            ).cast("long"),
-        }
-    )
+    return df.withColumn("__q_repeats", F.coalesce(covered, F.lit(0).cast("long")))
 
 
 def _measures() -> dict[str, Column]:
-    n, chars, lines = F.col("__q_n"), F.col("__q_chars"), F.size("__q_lines")
+    n, chars, lines = F.col("__q_n"), F.col("__q_chars"), F.col("__q_n_lines")
 
     def per(x, y):
         return F.when(y > 0, x / y)
@@ -153,7 +168,6 @@ def _measures() -> dict[str, Column]:
         "shout_ratio": per(F.col("__q_shouts"), chars),
         "upper_ratio": per(F.col("__q_upper"), chars),
         "stop_word_ratio": per(F.col("__q_stops"), n),
-        "lone_letter_ratio": per(F.col("__q_lone"), n),
         "dup_line_ratio": per(F.col("__q_dups"), lines),
     }
 
