@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import (
+    binary_topk,
+    byte_bpe,
+    html_text,
+    licence_scan,
+    quality_rules,
+    source_mix,
+    token_counts,
+    warc,
+)
 from .common import table
 
 
@@ -12,6 +22,50 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op5_binary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose id is divisible by 100, against all rows."""
+    return binary_topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages"))
+    return warc.read_archive(archive).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
+    )
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_source_mix": op2_source_mix,
+    "op4_token_counts": op4_token_counts,
+    "op5_binary_topk": op5_binary_topk,
+    "op6_warc": op6_warc,
+    "op7_html_text": op7_html_text,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_licence_scan": op9_licence_scan,
+}
+
+ORACLES = {
+    "op5_binary_topk": binary_topk.oracle_sql(),
+    "op9_licence_scan": licence_scan.oracle_sql(),
+}
