@@ -175,7 +175,7 @@ def nearest(
         asked.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(n_blocks))), ["code"], "block"
     ).withColumnRenamed("code", "q_codes")
     pairs = blocks.join(
-        shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long")), "block"
+        shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))), "block"
     )
     pairs = pairs.select("code", "vec_id", "q_codes").repartition(n_shards * n_blocks)
     found = pairs.mapInArrow(_search(k + 1), _FOUND)

@@ -81,8 +81,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFram
         .withColumn("weight_left", F.col("all_weight") - F.sum("weight").over(filled) + F.col("weight"))
         .withColumn("level", (F.col("budget") - F.col("most_so_far")) / F.col("weight_left"))
     )
-    # The level is that of the first source, in this order, which it leaves below its cap.
-    open_level = F.min(
+    # The level is that of the first source, in this order, which it leaves below its cap;
+    # from there on levels only fall, so it is the largest.
+    open_level = F.max(
         F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))
     ).over(whole)
     return ranked.select(
