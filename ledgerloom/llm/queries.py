@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     binary_topk,
     byte_bpe,
+    chosen_path,
     html_text,
     licence_scan,
     quality_rules,
@@ -54,6 +55,10 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
@@ -63,6 +68,7 @@ QUERIES = {
     "op7_html_text": op7_html_text,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_licence_scan": op9_licence_scan,
+    "op10_chosen_path": op10_chosen_path,
 }
 
 ORACLES = {
