@@ -1,18 +1,46 @@
-"""The corpus pipeline: quality rules first; later stages follow."""
+"""The corpus pipeline: five stages over ``documents``, each on all its predecessor kept."""
 
-from ledgerloom.llm import quality_rules
+from ledgerloom.llm import byte_bpe, chosen_path, quality_rules, source_mix, suffix_dedup
+from ledgerloom.llm.common import written
 
 
 def keep_quality(spark, docs, sf_dir):
+    """Documents the quality rules keep."""
     return quality_rules.filter_documents(docs)
 
 
-STAGES = [("quality_rules", keep_quality)]
+def one_of_each_group(spark, docs, sf_dir):
+    """One document of each group of near duplicates, that with the least id."""
+    return chosen_path.first_of_class(docs)
+
+
+def drop_repeats(spark, docs, sf_dir):
+    """Documents without the long passages that documents with smaller ids have."""
+    return suffix_dedup.dedup_documents(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Documents as often as the mix takes them."""
+    return source_mix.mix_documents(docs)
+
+
+def encode(spark, docs, sf_dir):
+    """Documents with their token ids and the hash of what the ids decode to."""
+    return byte_bpe.encoded(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("suffix_array_dedup", drop_repeats),
+    ("mix_sources", mix_sources),
+    ("byte_bpe", encode),
+]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

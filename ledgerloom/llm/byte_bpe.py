@@ -143,3 +143,14 @@ def digests(df: DataFrame, path: str | None = None) -> DataFrame:
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def encoded(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` with its ids, their number and the hash of the bytes they decode to."""
+    both = decode(encode_documents(df, path), path)
+    return both.withColumns(
+        {
+            "n_tokens": F.size("token_ids").cast("long"),
+            "decoded_sha256": F.sha2("decoded", 256),
+        }
+    ).drop("decoded")

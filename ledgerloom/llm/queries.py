@@ -13,6 +13,7 @@ from . import (
     licence_scan,
     quality_rules,
     source_mix,
+    suffix_dedup,
     token_counts,
     warc,
 )
@@ -27,6 +28,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_binary_topk": op5_binary_topk,
     "op6_warc": op6_warc,
