@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.durable import durable
 
 HEADS = ("igst", "cgst", "sgst", "cess")
 PRIORITY = {"EXACT": 0, "PARTIAL": 1, "UNMATCHED": 2, "PROBABLE": 3}
@@ -74,7 +75,8 @@ def candidates(books: DataFrame, statement: DataFrame, tol=0, number_floor=NUMBE
         band = bb.join(gg, _same("doc_type", "gstin_norm", "taxable", *HEADS) & other_day)
     found = same_day.unionByName(_pair(band, *cols))
     number = F.when(_same("strict"), F.lit(100.0)).otherwise(text.indel_ratio(F.col("b.loose"), F.col("g.loose")))
-    found = found.withColumn("number_sim", number)
+    # written once: the checks below name the similarity many times and it is not cheap
+    found = durable(found.withColumn("number_sim", number), "scored")
     date_ok = F.coalesce(_same("invoice_date"), F.lit(False))
     number_ok = _same("strict") | (F.col("number_sim") >= number_floor)
     checks = {
@@ -119,9 +121,7 @@ def candidates(books: DataFrame, statement: DataFrame, tol=0, number_floor=NUMBE
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["rank_n", "rank_sim", "b_ord", "g_ord"])
-    if "pri" in pdf:
-        pdf = pdf.sort_values(["pri", "rank_n", "rank_sim", "b_ord", "g_ord"])
+    pdf = pdf.sort_values(["pri", "rank_n", "rank_sim", "b_ord", "g_ord"])
     used_b, used_g, keep = set(), set(), []
     for b, g in zip(pdf["b_ord"], pdf["g_ord"], strict=True):
         keep.append(b not in used_b and g not in used_g)
@@ -154,7 +154,7 @@ def matches(cands: DataFrame) -> DataFrame:
         (-F.col("n_ok")).alias("rank_n"),
         (-F.col("similarity")).alias("rank_sim"),
     )
-    first = _greedy(edges.filter("pri < 3"), "doc_type", "gstin_norm")
+    first = durable(_greedy(edges.filter("pri < 3"), "doc_type", "gstin_norm"), "anchored")
     left = (
         edges.filter("pri = 3")
         .join(first.select("b_ord"), "b_ord", "left_anti")
@@ -167,7 +167,8 @@ def matches(cands: DataFrame) -> DataFrame:
 
 def results(books: DataFrame, statement: DataFrame, tol=0, **floors) -> DataFrame:
     """(b, g, category, mismatches): matched pairs and the orphans of both sides."""
-    won = matches(candidates(books, statement, tol, **floors)).select("b", "g", "category", "mismatches")
+    cands = durable(candidates(books, statement, tol, **floors), "candidates")
+    won = durable(matches(cands).select("b", "g", "category", "mismatches"), "matches")
     b, g = keyed(books), keyed(statement)
     no = F.array().cast("array<string>").alias("mismatches")
     b_type, g_type = won.schema["b"].dataType, won.schema["g"].dataType

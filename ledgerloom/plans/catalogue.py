@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import findings, reconcile, retrieve
+from ..sources.durable import durable
 from . import derived
 
 BOOK_COLUMNS = ["ord", "doc_type", "gstin", "number", "invoice_date", "taxable", "igst", "cgst", "sgst", "cess"]
@@ -16,7 +17,7 @@ def _read(spark, sf_dir, name):
 
 
 def _sides(spark, sf_dir):
-    return tuple(derived.documents(spark, sf_dir, s).drop("defect") for s in ("books", "statement"))
+    return tuple(durable(derived.documents(spark, sf_dir, s).drop("defect"), s) for s in ("books", "statement"))
 
 
 def _full(spark, sf_dir):
