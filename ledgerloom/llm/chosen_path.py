@@ -60,6 +60,7 @@ def _constants(n: int, seed: int) -> np.ndarray:
 
 _STEPS = _constants(WORDS, 11) | np.uint64(1)
 _SALTS = _constants(COORDINATES, 12)
+_ODD = _constants(COORDINATES, 14) | np.uint64(1)
 
 
 def shingles(word_hashes: np.ndarray) -> np.ndarray:
@@ -75,7 +76,8 @@ def shingles(word_hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    return np.array([mix64(s ^ salt).min() for salt in _SALTS], dtype=np.uint64)
+    """Least products with odd factors; the shingle hashes are well mixed already."""
+    return np.array([(s * odd).min() for odd in _ODD], dtype=np.uint64)
 
 
 def survival(depth: int, mean: float = 1.0) -> float:
@@ -90,18 +92,21 @@ def runs_for(recall: float, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
 
 
-def children(node: np.uint64, sig: np.ndarray, mean: float) -> np.ndarray:
-    """Child nodes of a set with signature ``sig`` at ``node``; the choice depends on the node alone."""
-    chosen = mix64(_SALTS + node) < np.uint64(min(mean / COORDINATES, 0.999) * 2.0**64)
-    at = np.flatnonzero(chosen)
-    return mix64(mix64(sig[at] + node) + at.astype(np.uint64) * np.uint64(GOLDEN))
+def children(rows: np.ndarray, nodes: np.ndarray, sigs: np.ndarray, mean: float):
+    """(rows, child nodes) of sets ``rows`` of ``sigs`` at ``nodes``; a node's choice depends on it alone."""
+    limit = np.uint64(min(mean / COORDINATES, 0.999) * 2.0**64)
+    i, at = np.nonzero(mix64(nodes[:, None] + _SALTS[None, :]) < limit)
+    value = sigs[rows[i], at]
+    return rows[i], mix64(mix64(value + nodes[i]) + at.astype(np.uint64) * np.uint64(GOLDEN))
 
 
-def leaves(sig: np.ndarray, runs: int, threshold: float) -> np.ndarray:
-    nodes = _constants(runs, 13)
+def leaves(sigs: np.ndarray, runs: int, threshold: float):
+    """(rows, nodes) at ``DEPTH`` of every set in every run, all sets at once."""
+    rows = np.repeat(np.arange(len(sigs)), runs)
+    nodes = np.tile(_constants(runs, 13), len(sigs))
     for _ in range(DEPTH):
-        nodes = np.concatenate([children(v, sig, 1 / threshold) for v in nodes]) if len(nodes) else nodes
-    return np.unique(nodes)
+        rows, nodes = children(rows, nodes, sigs, 1 / threshold)
+    return rows, nodes
 
 
 def _hashed(df: DataFrame, text: str):
@@ -119,49 +124,98 @@ def _rows(column):
 
 
 def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, digest, sig) per row; no digest where the text has no word."""
+    """(id, digest, sig, short) per row; no digest where the text has no word."""
     kind = df.schema[key].dataType.simpleString()
     slim = df.select(F.col(f"`{key}`").alias("id"), _hashed(df, text).alias("w"))
 
     def run(batches):
         for batch in batches:
-            digests, sigs = [], []
+            digests, sigs, shorts = [], [], []
             for w in _rows(batch.column(1)):
                 s = shingles(w)
                 digests.append(_digest(s) if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) else None)
+                sig = signature(s) if len(s) else None
+                sigs.append(None if sig is None else sig.tobytes())
+                shorts.append(None if sig is None else mix64(sig).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.string()), pa.array(sigs, pa.binary())],
-                names=["id", "digest", "sig"],
+                [batch.column(0), pa.array(digests, pa.string()), pa.array(sigs, pa.binary()), pa.array(shorts, pa.binary())],
+                names=["id", "digest", "sig", "short"],
             )
 
-    return slim.mapInArrow(run, f"id {kind}, digest string, sig binary")
+    return slim.mapInArrow(run, f"id {kind}, digest string, sig binary, short binary")
+
+
+def _signatures(column) -> np.ndarray:
+    joined = b"".join(x.as_py() for x in column)
+    return np.frombuffer(joined, dtype=np.uint64).reshape(-1, COORDINATES)
 
 
 def _walk(first: bool, runs: int, threshold: float):
     def run(batches):
-        for batch in batches:
-            digests, nodes = [], []
-            for i in range(batch.num_rows):
-                sig = np.frombuffer(batch.column(1)[i].as_py(), dtype=np.uint64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                sigs = _signatures(batch.column(1))
                 if first:
-                    got = leaves(sig, runs, threshold)
+                    rows, nodes = leaves(sigs, runs, threshold)
                 else:
-                    v = np.array([batch.column(2)[i].as_py()], np.int64).view(np.uint64)[0]
-                    got = children(v, sig, DEEPER_CHILDREN / threshold)
-                digests += [batch.column(0)[i].as_py()] * len(got)
-                nodes.append(got.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(digests, pa.string()),
-                    pa.array(np.concatenate(nodes) if nodes else [], pa.int64()),
-                ],
-                names=["digest", "node"],
-            )
+                    at = batch.column(2).to_numpy().view(np.uint64)
+                    rows, nodes = children(np.arange(len(sigs)), at, sigs, DEEPER_CHILDREN / threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), pa.array(nodes.view(np.int64))], names=["digest", "node"]
+                )
 
     return run
 
 
+def _partnered(node: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Which of the rows, sorted by node, have a partner in their node by half their coordinates."""
+    keep = np.zeros(len(node), dtype=bool)
+    at, lag = np.arange(len(node)), 1
+    while len(at):
+        at = at[at + lag < len(node)]
+        at = at[node[at] == node[at + lag]]
+        like = (short[at] == short[at + lag]).sum(axis=1) >= COORDINATES // 2
+        keep[at[like]] = True
+        keep[at[like] + lag] = True
+        lag += 1
+    return keep
+
+
+def _plausible(batches):
+    """Rows (digest, node, n, short) in order of node; those without a plausible partner go."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        node = table.column("node").to_numpy()
+        end = int(np.searchsorted(node, node[-1])) if len(node) else 0
+        held = table.slice(end)
+        yield from _kept_rows(table.slice(0, end))
+    if held is not None:
+        yield from _kept_rows(held)
+
+
+def _kept_rows(table):
+    if table.num_rows:
+        table = table.combine_chunks()
+        short = np.frombuffer(b"".join(table.column("short").to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
+        keep = _partnered(table.column("node").to_numpy(), short)
+        yield from table.select(["digest", "node"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def _distinct_nodes(at: DataFrame) -> DataFrame:
+    """(node, n) with two members or more, one node for each distinct member list."""
+    return (
+        at.groupBy("node")
+        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("members"))
+        .filter("n > 1")
+        .groupBy("n", "members")
+        .agg(F.min("node").alias("node"))
+        .select("node", "n")
+    )
+
+
 def _buckets(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
     """(digest, node, n) of the leaves with two sets or more, one node per distinct member list."""
     at = written(
@@ -170,32 +224,37 @@ def _buckets(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
     )
     done = []
     for level in range(DEEPER + 1):
-        sizes = (
-            at.groupBy("node")
-            .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("members"))
-            .filter("n > 1")
-            .groupBy("n", "members")
-            .agg(F.min("node").alias("node"))
-        )
-        sizes = written(sizes, "path-sizes")
-        last = level == DEEPER
-        keep = sizes if last else sizes.filter(F.col("n") <= TILE)
-        done.append(at.join(keep.select("node", "n"), "node"))
-        if last or sizes.filter(F.col("n") > TILE).isEmpty():
+        sizes = written(_distinct_nodes(at), "path-sizes")
+        done.append(at.join(sizes.filter(F.col("n") <= TILE), "node"))
+        big = sizes.filter(F.col("n") > TILE)
+        if big.isEmpty():
             break
-        large = at.join(sizes.filter(F.col("n") > TILE).select("node"), "node").join(
-            reps.select("digest", "sig"), "digest"
-        )
+        if level == DEEPER:
+            large_ones = at.join(big, "node").select("digest", "node", "n")
+            return written(_small(done, reps).unionByName(large_ones), "path-buckets")
+        large = at.join(big.select("node"), "node").join(reps.select("digest", "sig"), "digest")
         at = written(
             large.select("digest", "sig", "node")
             .mapInArrow(_walk(False, runs, threshold), "digest string, node long")
             .distinct(),
             "path-nodes",
         )
+    return written(_small(done, reps), "path-buckets")
+
+
+def _small(done: list[DataFrame], reps: DataFrame) -> DataFrame:
+    """(digest, node, n) of nodes of one tile, without sets that have no plausible partner there.
+
+    A pair at the threshold differs in a fifth of its coordinates; one that
+    differs in half of all 64 is beyond six standard deviations.
+    """
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return written(out.select("digest", "node", "n"), "path-buckets")
+    out = out.select("digest", "node").join(reps.select("digest", "short"), "digest")
+    out = out.repartition("node").sortWithinPartitions("node").select("digest", "node", "short")
+    kept = written(out.mapInArrow(_plausible, "digest string, node long"), "path-plausible")
+    return kept.join(_distinct_nodes(kept), "node").select("digest", "node", "n")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -309,7 +368,7 @@ def classes(
     reps = written(
         prints.filter("digest IS NOT NULL")
         .groupBy("digest")
-        .agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("sig").alias("sig")),
+        .agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("short").alias("short")),
         "path-reps",
     )
     buckets = _buckets(reps, runs_for(recall), threshold)
