@@ -199,10 +199,10 @@ def nearest(
 def oracle_sql(k: int = K) -> str:
     """Brute force in DuckDB SQL."""
     return f"""
-WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding[1:{BITS}], x -> CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS bits
+WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding[1:{BITS}], lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS bits
            FROM embeddings WHERE len(embedding) > 0 AND vec_id IS NOT NULL),
 d AS (SELECT q.vec_id AS query_id, x.vec_id AS neighbour_id,
-      CAST(list_sum(list_transform(generate_series(1, len(q.bits)), i -> CASE WHEN q.bits[i] <> x.bits[i] THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+      CAST(list_sum(list_transform(generate_series(1, len(q.bits)), lambda i: CASE WHEN q.bits[i] <> x.bits[i] THEN 1 ELSE 0 END)) AS BIGINT) AS distance
       FROM c q, c x WHERE q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d)
 SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= {k}

@@ -208,13 +208,13 @@ seq AS (SELECT r,
   coalesce(string_agg(id, ',' ORDER BY i) FILTER (how = 'run'), '') AS ids_run
   FROM found GROUP BY r),
 judged AS (SELECT r, n_line, n_run, ids_line, ids_run,
-  list_filter([{rules}], x -> x IS NOT NULL) AS hits
+  list_filter([{rules}], lambda x: x IS NOT NULL) AS hits
   FROM (SELECT *, ',' || replace(ids_line, ',', ',,') || ',' AS by_line,
                ',' || replace(ids_run, ',', ',,') || ',' AS running FROM seq))
 SELECT doc_id,
   CAST(coalesce(greatest(n_line, n_run), 0) AS BIGINT) AS n_sentences,
   coalesce(CASE WHEN n_run > n_line THEN ids_run ELSE ids_line END, '') AS sentence_ids,
-  coalesce(array_to_string(list_filter([{names}], x -> list_contains(hits, x)), ','), '') AS licences,
+  coalesce(array_to_string(list_filter([{names}], lambda x: list_contains(hits, x)), ','), '') AS licences,
   CAST(coalesce(len(hits), 0) AS BIGINT) AS n_rules
 FROM cued LEFT JOIN judged USING (r)
 """
