@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -215,5 +217,7 @@ def filter_documents(df: DataFrame, text: str = "text", rules=RULES) -> DataFram
     """The rows the rules keep, with their own columns only."""
     m = measured(df, text)
     m = m.withColumns({"__q_base": base_failed(), "__q_failed": failed_rules(rules)})
-    m = m.filter(~F.col("__q_base") & (F.size("__q_failed") == 0))
-    return m.drop(*(c for c in m.columns if c.startswith("__q_")))
+    # written first: a filter pushed below the projections would repeat their arrays in itself
+    keep = (~F.col("__q_base") & (F.size("__q_failed") == 0)).alias("__q_keep")
+    judged = written(m.select(*(F.col(f"`{c}`") for c in df.columns), keep), "quality-judged")
+    return judged.filter("__q_keep").drop("__q_keep")
