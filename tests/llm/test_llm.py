@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ledgerloom.llm import byte_bpe, chosen_path, quality_rules, source_mix, suffix_dedup, token_counts, vocab, warc
+from ledgerloom.llm import byte_bpe, chosen_path, html_text, quality_rules, source_mix, suffix_dedup, token_counts, vocab, warc
 
 SCHEMA = "doc_id long, text string, source string, node string"
 
@@ -122,3 +122,27 @@ def test_quality_keeps_clean_text(spark):
 @pytest.mark.parametrize("f", [suffix_dedup.dedup, chosen_path.join, byte_bpe.digests, quality_rules.apply_rules, token_counts.count_tokens, source_mix.mix])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+PAGE = (
+    '<html><head><title>x</title><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav>'
+    '<div class="ad">Buy</div><article><h1>{}</h1><p><b>{}<br>more\n text</article><footer>(c)</footer></body></html>'
+)
+PAGES = "page_id long, url string, html string, node string"
+
+
+def test_html_text_leaves_the_article(spark):
+    rows = [(i, f"http://a.example/{i}", PAGE.format(f"T{i}", f"one &amp; {i}"), "x") for i in range(20)]
+    rows += [(20 + i, "http://b.example/", PAGE.format("Same", "same"), "x") for i in range(20)]
+    rows += [(40, None, None, "x"), (41, "http://a.example/", "", "x"), (42, None, "plain A&<b>lt;</b> <p>cut <a hr", "x")]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert len(got) == len(rows)
+    for i in range(20):
+        assert got[i].text == f"T{i}\none & {i} more text"
+        assert got[20 + i].text == "Same\nsame more text"
+    assert (got[40].text, got[40].n_chars, got[41].text) == ("", 0, "")
+    assert got[42].text == "plain A&lt;\ncut"
+
+
+def test_html_text_of_no_pages(spark):
+    assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
