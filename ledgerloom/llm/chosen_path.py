@@ -7,12 +7,16 @@ share a child. On average 1 / threshold children are sampled, so a pair at the
 threshold is expected to meet in one leaf of each run. The number of runs
 follows from the survival of that branching process and the target recall.
 Nodes above ``TILE`` sets are split further, with a wider choice so that recall
-holds; small ones are brute-forced with exact intersections. What stays large
-is a group of like texts: it is brute-forced in tiles, one task each, and no
-tile returns pairs: only link counts and a spanning forest leave it.
+holds; small ones are brute-forced with exact intersections. What stays large,
+or has members so alike that splitting only repeats them, is a group of like
+texts. Each member of such nodes has one home, the largest of them, and homes
+that meet in a node are compared once, in tiles, one task each, however many
+nodes their members share. No tile returns pairs: only link counts and a
+spanning forest leave it.
 
 Equal sets are one representative, so copies are never paired. A pair that
-meets in several leaves counts in the least of them alone.
+meets in several small leaves counts in the least of them alone, and one that
+meets in a small leaf does not count in the tiles.
 
 Defined results
     * fewer than five words: one shingle of all words; no word: no links.
@@ -41,6 +45,9 @@ TILE = 256
 COORDINATES = 64
 DEEPER = 3
 DEEPER_CHILDREN = 3.0
+#: Members of a large node agree on this share of coordinates, judged by LIKE_PROBES of them: split no further.
+LIKE = 0.5
+LIKE_PROBES = 4
 COLUMN_BLOCK = 8192
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -216,34 +223,73 @@ def _distinct_nodes(at: DataFrame) -> DataFrame:
     )
 
 
-def _buckets(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """(digest, node, n) of the leaves with two sets or more, one node per distinct member list."""
+def _alike(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Nodes whose members agree on at least ``LIKE`` of the probed coordinates, by pairs."""
+    step = COORDINATES // LIKE_PROBES
+    probes = F.array(*(F.struct(F.lit(i).alias("i"), F.substring("short", 2 * i * step + 1, 2).alias("v")) for i in range(LIKE_PROBES)))
+    seen = members.join(reps.select("digest", "short"), "digest").select("node", "n", F.explode(probes).alias("p"))
+    same = seen.groupBy("node", "n", "p").agg(F.count("*").cast("double").alias("c"))
+    share = F.sum(F.col("c") * F.col("c")) / (F.first("n").cast("double") * F.first("n") * LIKE_PROBES)
+    return same.groupBy("node").agg(share.alias("share")).filter(F.col("share") >= LIKE).select("node")
+
+
+def _buckets(reps: DataFrame, runs: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(digest, node) of small nodes and of large ones, one node per distinct member list."""
     at = written(
         reps.select("digest", "sig").mapInArrow(_walk(True, runs, threshold), "digest string, node long"),
         "path-nodes",
     )
-    done = []
+    done, large = [], []
     for level in range(DEEPER + 1):
         sizes = written(_distinct_nodes(at), "path-sizes")
         done.append(at.join(sizes.filter(F.col("n") <= TILE), "node"))
-        big = sizes.filter(F.col("n") > TILE)
-        if big.isEmpty():
-            break
+        members = at.join(sizes.filter(F.col("n") > TILE), "node")
         if level == DEEPER:
-            large_ones = at.join(big, "node").select("digest", "node", "n")
-            return written(_small(done, reps).unionByName(large_ones), "path-buckets")
-        large = at.join(big.select("node"), "node").join(reps.select("digest", "sig"), "digest")
+            large.append(members)
+            break
+        alike = written(_alike(members, reps), "path-alike")
+        large.append(members.join(alike, "node", "left_semi"))
+        split = members.join(alike, "node", "left_anti")
+        at = split.select("digest", "node").join(reps.select("digest", "sig"), "digest")
         at = written(
-            large.select("digest", "sig", "node")
+            at.select("digest", "sig", "node")
             .mapInArrow(_walk(False, runs, threshold), "digest string, node long")
             .distinct(),
             "path-nodes",
         )
-    return written(_small(done, reps), "path-buckets")
+        if at.isEmpty():
+            break
+    out = large[0].select("digest", "node", "n")
+    for x in large[1:]:
+        out = out.unionByName(x.select("digest", "node", "n"))
+    return written(_small(done, reps), "path-buckets"), written(out, "path-large-nodes")
+
+
+def _large_tiles(large: DataFrame) -> DataFrame:
+    """(digest, a, b, lo, hi, side): tiles of homes that meet in a node, each pair of members in one tile."""
+    home = large.groupBy("digest").agg(F.max(F.struct("n", "node"))["node"].alias("home"))
+    home = written(home, "path-homes")
+    sizes = home.groupBy("home").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    present = large.join(home, "digest").select("node", "home").distinct()
+    meet = present.join(present.select("node", F.col("home").alias("other")), "node").select("home", "other").distinct()
+    meet = meet.join(sizes.withColumnRenamed("home", "other").withColumnRenamed("blocks", "others"), "other")
+    mine = home.join(sizes, "home").select(
+        "digest", "home", F.pmod(F.xxhash64("digest", "home"), F.col("blocks")).cast("int").alias("k")
+    )
+    t = mine.join(meet, "home").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    second = F.when(F.col("home") == F.col("other"), F.col("k") > F.col("j")).otherwise(F.col("home") > F.col("other"))
+    return t.select(
+        "digest",
+        F.least("home", "other").alias("a"),
+        F.greatest("home", "other").alias("b"),
+        F.when(second, F.col("j")).otherwise(F.col("k")).alias("lo"),
+        F.when(second, F.col("k")).otherwise(F.col("j")).alias("hi"),
+        second.cast("int").alias("side"),
+    )
 
 
 def _small(done: list[DataFrame], reps: DataFrame) -> DataFrame:
-    """(digest, node, n) of nodes of one tile, without sets that have no plausible partner there.
+    """(digest, node) of nodes of one tile, without sets that have no plausible partner there.
 
     A pair at the threshold differs in a fifth of its coordinates; one that
     differs in half of all 64 is beyond six standard deviations.
@@ -254,7 +300,7 @@ def _small(done: list[DataFrame], reps: DataFrame) -> DataFrame:
     out = out.select("digest", "node").join(reps.select("digest", "short"), "digest")
     out = out.repartition("node").sortWithinPartitions("node").select("digest", "node", "short")
     kept = written(out.mapInArrow(_plausible, "digest string, node long"), "path-plausible")
-    return kept.join(_distinct_nodes(kept), "node").select("digest", "node", "n")
+    return kept.join(_distinct_nodes(kept), "node").select("digest", "node")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -294,7 +340,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _verify(threshold: float):
     def run(key, table):
         table = table.sort_by("digest")
-        node = key[0].as_py()
+        node, other, lo, hi = (x.as_py() for x in key)
         digests = table.column("digest").to_pylist()
         side = table.column("side").to_numpy()
         copies = table.column("copies").to_numpy()
@@ -303,13 +349,16 @@ def _verify(threshold: float):
         size = np.array([len(s) for s in sets], dtype=np.float64)
         same = overlaps(sets).astype(np.float64)
         linked = same >= threshold * (size[:, None] + size[None, :] - same) - 1e-9
-        tile_of_two = key[1].as_py() != key[2].as_py()
+        tile_of_two = (node, lo) != (other, hi)
         allowed = side[:, None] != side[None, :] if tile_of_two else np.True_
         a, b = np.nonzero(np.triu(linked & allowed, 1))
         root = _roots(len(sets), a, b)
-        mine = np.fromiter(
-            (min(met[i] & met[j]) == node for i, j in zip(a, b, strict=True)), dtype=bool, count=len(a)
-        )
+        pairs = zip(a.tolist(), b.tolist(), strict=True)
+        if lo < 0:  # a small node
+            owned = (min(met[i] & met[j]) == node for i, j in pairs)
+        else:
+            owned = (met[i].isdisjoint(met[j]) for i, j in pairs)
+        mine = np.fromiter(owned, dtype=bool, count=len(a))
         a, b = a[mine], b[mine]
         links = np.bincount(a, copies[b], len(sets)) + np.bincount(b, copies[a], len(sets))
         return pa.table(
@@ -371,24 +420,20 @@ def classes(
         .agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("short").alias("short")),
         "path-reps",
     )
-    buckets = _buckets(reps, runs_for(recall), threshold)
-    met = buckets.groupBy("digest").agg(F.collect_set("node").alias("nodes"))
+    small, large = _buckets(reps, runs_for(recall), threshold)
+    met = small.unionByName(large.select("digest", F.lit(None).cast("long").alias("node")).distinct())
+    met = met.groupBy("digest").agg(F.collect_set("node").alias("nodes"))
     asked = written(met.join(reps.select("digest", "copies", "id"), "digest"), "path-asked")
     # a representative whose rows all lack an id cannot be looked up by it
     no_ids = not asked.filter("id IS NULL").isEmpty()
     sets = asked.drop("id").join(_sets(df, key, text, None if no_ids else asked), "digest")
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    member = buckets.withColumn("block", F.pmod(F.xxhash64("digest", "node"), blocks).cast("int"))
-    tiles = member.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "digest",
-        "node",
-        F.least("block", "other").alias("lo"),
-        F.greatest("block", "other").alias("hi"),
-        F.col("block").alias("side"),
-    )
+    one = F.lit(-1)
+    tiles = small.select(
+        "digest", F.col("node").alias("a"), F.col("node").alias("b"), one.alias("lo"), one.alias("hi"), F.lit(0).alias("side")
+    ).unionByName(_large_tiles(large))
     found = (
         tiles.join(sets, "digest")
-        .groupBy("node", "lo", "hi")
+        .groupBy("a", "b", "lo", "hi")
         .applyInArrow(_verify(threshold), "digest string, root string, links long")
     )
     found = written(found, "path-found")

@@ -146,3 +146,24 @@ def test_html_text_leaves_the_article(spark):
 
 def test_html_text_of_no_pages(spark):
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_chosen_path_counts_a_large_group_whole(spark):
+    rnd = random.Random(5)
+    base, texts = [f"w{i}" for i in range(300)], []
+    for i in range(700):
+        copy = list(base)
+        for j in rnd.sample(range(300), rnd.choice([1, 2, 6])):
+            copy[j] = f"x{i}"
+        texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    n = [0] * len(texts)
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            n[a] += 1
+            n[b] += 1
+    got = {r.doc_id: r for r in chosen_path.join(frame(spark, texts)).collect()}
+    have = [got[i].n_links for i in range(len(texts))]
+    assert all(x <= y for x, y in zip(have, n, strict=True))
+    assert sum(have) >= 0.995 * sum(n)
+    assert {got[i].class_id for i in range(len(texts))} == {0}
