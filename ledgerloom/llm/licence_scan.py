@@ -5,7 +5,10 @@ digits and dots only), and each is looked up in a table of known licence
 sentences. The identifiers found, in text order, are then matched against
 ordered rules: a rule holds if its identifiers occur in the text in its order.
 
-The tables are fixed, about fifty short rows, and enter the plan as literals.
+Passages of licences as published are cut by the same rules when the tables are
+made, so that a rule joins the pieces that a text really yields.
+
+The tables are fixed, less than a hundred rows, and enter the plan as literals.
 Only texts that contain a cue, a word that some known sentence must contain,
 are cut up; the others cannot match. No shuffle: a hot source, a long text or
 a line that many texts share costs one scan like any other.
@@ -16,11 +19,16 @@ Defined results
       reported in table order.
     * a sentence may be broken over lines: both the lines and the running text
       are tried.
+    * a line of comment marks alone does not end a sentence: a notice that follows a copyright line without a
+      full stop is known by its later sentences, if it has some. Marks with ';' or letters break sentences.
+    * a BSD text without the known third clause is BSD, as its number of clauses is not known.
     * extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,12 +105,92 @@ RULES = (
     ("Unlicense", ("unlicense.free",)),
 )
 
-#: Words of which every known sentence contains one.
-CUES = ("licens", "permission", "warrant", "redistribut", "public domain", "copyright")
+_APACHE_WARRANTY = (
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+    'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+)
+_GPL = (
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+    "Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+)
+
+# fixed values: passages of licences as published; an empty line is a paragraph end. Passages start behind
+# what a comment block may glue to a copyright line, where a later sentence is enough to tell the licence.
+TEXTS = {
+    "mit.permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit.include": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit.asis": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "apache2.header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "apache2.obtain": "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+    "apache2.obtains": "You may obtain a copy of the License at\n\n    https://www.apache.org/licenses/LICENSE-2.0",
+    "apache2.at": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "apache2.asis": _APACHE_WARRANTY,
+    "apache2.run": f"You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 {_APACHE_WARRANTY}",
+    "apache2.runs": f"You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0 {_APACHE_WARRANTY}",
+    "gpl3.later": _GPL.format(",", 3),
+    "gpl3.later2": _GPL.format(";", 3),
+    "gpl2.later": _GPL.format(",", 2),
+    "gpl2.later2": _GPL.format(";", 2),
+    "gpl.useful": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "bsd.source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd.endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd.asis": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "isc.use": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mpl2.form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl2.copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl2.copy2": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+
+# fixed values: licence, and the passages it needs in this order
+TEXT_RULES = (
+    ("MIT", ("mit.permission", "mit.asis")),
+    ("MIT", ("mit.include", "mit.asis")),
+    *(("Apache-2.0", ("apache2.header", x)) for x in ("apache2.obtain", "apache2.obtains", "apache2.at", "apache2.copy")),
+    *(("Apache-2.0", (x, "apache2.asis")) for x in ("apache2.obtain", "apache2.obtains", "apache2.at")),
+    ("Apache-2.0", ("apache2.run",)),
+    ("Apache-2.0", ("apache2.runs",)),
+    ("GPL-3.0-or-later", ("gpl3.later", "gpl.useful")),
+    ("GPL-3.0-or-later", ("gpl3.later2", "gpl.useful")),
+    ("GPL-2.0-or-later", ("gpl2.later", "gpl.useful")),
+    ("GPL-2.0-or-later", ("gpl2.later2", "gpl.useful")),
+    ("BSD-3-Clause", ("bsd.source", "bsd.binary", "bsd.endorse")),
+    # without a known third clause the two- and the three-clause text cannot be told apart
+    ("BSD", ("bsd.source", "bsd.binary", "bsd.asis")),
+    ("MPL-2.0", ("mpl2.form",)),
+    ("MPL-2.0", ("mpl2.copy",)),
+    ("MPL-2.0", ("mpl2.copy2",)),
+)
 
 #: Sentence ends inside running text become line ends; this marker cannot occur in an identifier.
 _SENTENCE_END = r"([.!?:;])[ \t\r]+"
+_PARAGRAPH_END = r"\n[ \t\r]*\n"
 _DROPPED = r"[^a-z0-9.]+"
+_ENDS = r"^[ .]+|[ .]+$"
+
+
+def plain_pieces(text: str) -> list[str]:
+    """The normalised sentences that the running reading makes of a text, for the tables."""
+    flat = re.sub(_PARAGRAPH_END, ". ", text).replace("\n", " ")
+    cut = re.sub(_SENTENCE_END, "\\1\n", flat).split("\n")
+    return [x for p in cut if (x := re.sub(_ENDS, "", re.sub(_DROPPED, " ", p.lower())))]
+
+
+def _with_texts():
+    """The tables with the pieces of TEXTS; a sentence known already keeps its identifier."""
+    ids, pieces = {s: k for k, s in SENTENCES.items()}, {}
+    for name, text in TEXTS.items():
+        cut = plain_pieces(text)
+        pieces[name] = tuple(ids.setdefault(s, f"{name}.{i}" if len(cut) > 1 else name) for i, s in enumerate(cut, 1))
+    more = [(k, tuple(y for x in need for y in pieces.get(x, (x,)))) for k, need in TEXT_RULES]
+    rules, order = dict.fromkeys((*RULES, *more)), list(dict.fromkeys(k for k, _ in (*RULES, *more)))
+    return {k: s for s, k in ids.items()}, tuple(sorted(rules, key=lambda r: order.index(r[0])))
+
+
+SENTENCES, RULES = _with_texts()
+
+#: Words of which every known sentence contains one.
+CUES = ("licens", "permission", "warrant", "redistribut", "public domain", "copyright", "mozilla")
 
 if missing := [k for k, s in SENTENCES.items() if not any(c in s for c in CUES)]:
     raise ValueError(f"no cue in {missing}")
@@ -110,7 +198,7 @@ if missing := [k for k, s in SENTENCES.items() if not any(c in s for c in CUES)]
 
 def _normalised(sentence: Column) -> Column:
     flat = F.regexp_replace(F.lower(sentence), _DROPPED, " ")
-    return F.regexp_replace(flat, r"^[ .]+|[ .]+$", "")
+    return F.regexp_replace(flat, _ENDS, "")
 
 
 def _found(pieces: Column) -> Column:
@@ -135,7 +223,7 @@ def sentence_pieces(text: Column) -> Column:
 
 def running_pieces(text: Column) -> Column:
     """Sentences of the running text: line ends are blanks, empty lines separate."""
-    flat = F.regexp_replace(text, r"\n[ \t\r]*\n", ". ")
+    flat = F.regexp_replace(text, _PARAGRAPH_END, ". ")
     return sentence_pieces(F.regexp_replace(flat, r"\n", " "))
 
 
