@@ -68,6 +68,16 @@ SENTENCES = {
     "ccbync4.notice": "this work is licensed under a creative commons attribution noncommercial 4.0 international license",
     "cc0.notice": "this work is dedicated to the public domain under the cc0 1.0 license",
     "unlicense.free": "this is free and unencumbered software released into the public domain",
+    "ccby4.short": "licensed under cc by 4.0",
+    "ccby4.short2": "this work is licensed under cc by 4.0",
+    "ccby4.short3": "released under cc by 4.0",
+    "ccbysa4.short": "licensed under cc by sa 4.0",
+    "ccbysa4.short2": "this work is licensed under cc by sa 4.0",
+    "ccbysa4.short3": "released under cc by sa 4.0",
+    "ccbync4.short": "licensed under cc by nc 4.0",
+    "ccbync4.short2": "this work is licensed under cc by nc 4.0",
+    "ccbync4.short3": "released under cc by nc 4.0",
+    "reserved.all": "all rights reserved",
     "reserved": "copyright all rights reserved no license is granted",
 }
 
@@ -99,10 +109,16 @@ RULES = (
     ("MPL-2.0", ("mpl2.notice",)),
     ("MPL-2.0", ("mpl2.notice2",)),
     ("CC-BY-4.0", ("ccby4.notice",)),
+    *(("CC-BY-4.0", (f"ccby4.{x}",)) for x in ("short", "short2", "short3")),
     ("CC-BY-SA-4.0", ("ccbysa4.notice",)),
+    *(("CC-BY-SA-4.0", (f"ccbysa4.{x}",)) for x in ("short", "short2", "short3")),
     ("CC-BY-NC-4.0", ("ccbync4.notice",)),
+    *(("CC-BY-NC-4.0", (f"ccbync4.{x}",)) for x in ("short", "short2", "short3")),
     ("CC0-1.0", ("cc0.notice",)),
     ("Unlicense", ("unlicense.free",)),
+    # a notice, no licence: it is reported beside the licence of a text that has both
+    ("All-rights-reserved", ("reserved.all",)),
+    ("All-rights-reserved", ("reserved",)),
 )
 
 _APACHE_WARRANTY = (
@@ -189,11 +205,23 @@ def _with_texts():
 
 SENTENCES, RULES = _with_texts()
 
-#: Words of which every known sentence contains one.
-CUES = ("licens", "permission", "warrant", "redistribut", "public domain", "copyright", "mozilla")
 
-if missing := [k for k, s in SENTENCES.items() if not any(c in s for c in CUES)]:
-    raise ValueError(f"no cue in {missing}")
+# fixed values: words of too many texts to be a cue
+_ORDINARY = frozenset("without distributed software source following conditions public documentation materials binary under forms".split())
+
+
+def _cues(sentences) -> tuple[str, ...]:
+    """Words of which every sentence contains one: the word that most of the others contain, again and again."""
+    left, out = sorted(set(sentences)), []
+    while left:
+        words = sorted({w for s in left for w in s.split() if len(w) > 4} - _ORDINARY)
+        out.append(max(words, key=lambda w: sum(w in s for s in left)))
+        left = [s for s in left if out[-1] not in s]
+    return tuple(out)
+
+
+#: Words of which every known sentence contains one.
+CUES = _cues(SENTENCES.values())
 
 
 def _normalised(sentence: Column) -> Column:

@@ -110,3 +110,27 @@ def test_oracle_agrees(spark):
     con = duckdb.connect()
     con.register("documents", documents)
     assert sorted(map(tuple, licence_scan.scan(rows).collect())) == sorted(con.execute(licence_scan.oracle_sql()).fetchall())
+
+
+NOTICES = {
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "Licensed under CC BY 4.0": "CC-BY-4.0",
+    "This work is licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "All rights reserved.": "All-rights-reserved",
+    "ALL RIGHTS RESERVED": "All-rights-reserved",
+    "(c) 2020 Someone. All rights reserved.": "All-rights-reserved",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+    "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+}
+
+
+def test_every_notice_is_known_and_no_other_text(spark):
+    notices = list(NOTICES)
+    around = [f"Of rain and sea.\n{n}\nMore of it." for n in notices]
+    none = ["Rights were reserved for all.", "He has a licence to sail.", "Licensed under CC BY-NC 3.0."]
+    assert licences(spark, notices + around + none) == [[NOTICES[n]] for n in notices] * 2 + [[""]] * 3
+
+
+def test_cues_cover_the_table():
+    assert all(any(c in s for c in licence_scan.CUES) for s in licence_scan.SENTENCES.values())
