@@ -2,8 +2,9 @@
 
 Pages become small DOM trees in which a run of like siblings is one node. Every
 task aligns the trees of its pages, host by host, with simple tree matching and
-keeps one template per host: for each node how many pages have it and whether
-its text was always the same. Templates of one host merge by the same matching,
+keeps one template per host: for each node how many pages have it and how
+many each of its texts. No node goes before the counts of all pages are in: a
+template is as large as the different structure of its host, and so is the work. Templates of one host merge by the same matching,
 first within salted parts, then across them, so no task sees a host's pages
 together. Each page is then aligned with its host's template: nodes whose text
 is the same on nearly all pages are template, slots that vary are content.
@@ -35,7 +36,10 @@ from .common import written
 MIN_PAGES = 8
 SAME_SHARE = 0.9
 SALT = 32
-MAX_TEMPLATE_NODES = 400
+#: Texts counted for each node. A text that all but a share x of the pages have is undercounted by x / 64 at most.
+TEXTS = 64
+#: Nodes of partial templates that a task holds before it hands them on.
+HELD_NODES = 200_000
 
 # fixed values: element and class vocabularies
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -74,12 +78,13 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "sig", "kids", "drop", "outer", "count", "same", "text")
+    __slots__ = ("tag", "sig", "kids", "drop", "outer", "count", "texts", "text")
 
     def __init__(self, tag, sig="", drop=False, outer=False):
         self.tag, self.sig, self.drop, self.outer = tag, sig, drop, outer
         self.kids: list = []  # Nodes and strings
-        self.count, self.same, self.text = 1, 1, None
+        self.count, self.text = 1, None
+        self.texts: dict | None = None  # pages by checksum, in templates
 
 
 def _judged(tag: str, attrs: str) -> Node:
@@ -184,12 +189,18 @@ def simple_tree_matching(a: Node, b: Node, memo: dict):
     key = (id(a), id(b))
     if key in memo:
         return memo[key]
-    n, m = len(a.kids), len(b.kids)
+    # children that no child of the other has the signature of match nothing
+    sigs = {x.sig for x in a.kids} & {x.sig for x in b.kids}
+    left = [i for i, x in enumerate(a.kids) if x.sig in sigs]
+    right = [j for j, x in enumerate(b.kids) if x.sig in sigs]
+    n, m = len(left), len(right)
     score = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n):
+        x, row, above = a.kids[left[i]], score[i + 1], score[i]
         for j in range(m):
-            w = simple_tree_matching(a.kids[i], b.kids[j], memo)[0]
-            score[i + 1][j + 1] = max(score[i][j + 1], score[i + 1][j], score[i][j] + w if w else 0)
+            y = b.kids[right[j]]
+            w = simple_tree_matching(x, y, memo)[0] if x.sig == y.sig else 0
+            row[j + 1] = max(above[j + 1], row[j], above[j] + w if w else 0)
     pairs, i, j = [], n, m
     while i and j:
         if score[i][j] == score[i - 1][j]:
@@ -198,7 +209,7 @@ def simple_tree_matching(a: Node, b: Node, memo: dict):
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
+            pairs.append((left[i], right[j]))
     memo[key] = (1 + score[n][m], tuple(reversed(pairs)))
     return memo[key]
 
@@ -207,10 +218,7 @@ def merge(a: Node, b: Node, memo: dict | None = None) -> Node:
     """Add template ``b`` to template ``a``: matched nodes count together, others are kept."""
     memo = {} if memo is None else memo
     _, pairs = simple_tree_matching(a, b, memo)
-    if a.text == b.text:
-        a.same += b.same
-    elif b.same > a.same:
-        a.text, a.same = b.text, b.same
+    a.texts = _counted(_texts(a), _texts(b))
     a.count += b.count
     taken, kids, j0 = dict(pairs), [], 0
     for i, x in enumerate(a.kids):
@@ -225,38 +233,45 @@ def merge(a: Node, b: Node, memo: dict | None = None) -> Node:
     return a
 
 
-def pruned(node: Node, budget: int = MAX_TEMPLATE_NODES) -> Node:
-    """The template without its rarest nodes once it has more than ``budget``."""
-    def nodes(x):
-        yield x
-        for y in x.kids:
-            yield from nodes(y)
+def _texts(node: Node) -> dict:
+    return {node.text: 1} if node.texts is None else node.texts
 
-    counts = sorted((x.count for x in nodes(node)), reverse=True)
-    if len(counts) > budget:
-        least = counts[budget]
 
-        def cut(x):
-            x.kids = [cut(y) for y in x.kids if y.count > least]
-            return x
+def _counted(a: dict, b: dict) -> dict:
+    """Sums of two counts; beyond TEXTS entries the next largest count is taken off all (Misra and Gries)."""
+    out = dict(a)
+    for text, n in b.items():
+        out[text] = out.get(text, 0) + n
+    if len(out) > TEXTS:
+        off = sorted(out.values(), reverse=True)[TEXTS]
+        out = {text: n - off for text, n in out.items() if n > off}
+    return out
+
 
-        cut(node)
+def usable(node: Node) -> Node:
+    """The finished template of a host without nodes, and with them their children, of fewer than MIN_PAGES pages."""
+    node.kids = [usable(x) for x in node.kids if x.count >= MIN_PAGES]
     return node
 
 
+def _size(node: Node) -> int:
+    return 1 + sum(map(_size, node.kids))
+
+
 def dumps(node: Node) -> list:
-    return [node.sig, node.text, node.count, node.same, [dumps(x) for x in node.kids]]
+    return [node.sig, sorted(_texts(node).items()), node.count, [dumps(x) for x in node.kids]]
 
 
 def loads(data: list) -> Node:
     out = Node(data[0].split(".")[0], data[0])
-    out.text, out.count, out.same = data[1], data[2], data[3]
-    out.kids = [loads(x) for x in data[4]]
+    out.texts, out.count = {t: n for t, n in data[1]}, data[2]
+    out.text = max(out.texts, key=out.texts.get, default=None)
+    out.kids = [loads(x) for x in data[3]]
     return out
 
 
 def _constant(t: Node) -> bool:
-    return bool(t.text) and t.count >= MIN_PAGES and t.same >= SAME_SHARE * t.count
+    return bool(t.text) and t.count >= MIN_PAGES and t.texts[t.text] >= SAME_SHARE * t.count
 
 
 def main_text(source: str | None, template: Node | None = None) -> str:
@@ -349,29 +364,36 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def partial(batches):
         kept: dict[str, Node] = {}
+        held = 0
         for batch in batches:
             for host, source in zip(batch.column(0), batch.column(1), strict=True):
                 source, host = source.as_py(), host.as_py()
                 if source:
                     tree = skeleton(parse(source))
-                    kept[host] = pruned(merge(kept[host], tree)) if host in kept else tree
+                    held += _size(tree)
+                    kept[host] = merge(kept[host], tree) if host in kept else tree
                 if len(kept) >= 5_000:
                     yield _template_rows(kept)
-                    kept = {}
+                    kept, held = {}, 0
+                elif held >= HELD_NODES:
+                    held = sum(map(_size, kept.values()))
+                    if held >= HELD_NODES // 2:
+                        yield _template_rows(kept)
+                        kept, held = {}, 0
         if kept:
             yield _template_rows(kept)
 
     first = pages.filter(F.col("host") != "").mapInArrow(partial, TEMPLATE_SCHEMA)
 
-    def merged(keys, pdf):
+    def merged(pdf, last):
         out = None
         for x in sorted(pdf["template"]):
             tree = loads(json.loads(x))
-            out = tree if out is None else pruned(merge(out, tree))
-        return pdf.iloc[:1].assign(template=json.dumps(dumps(out)))
+            out = tree if out is None else merge(out, tree)
+        return pdf.iloc[:1].assign(template=json.dumps(dumps(usable(out) if last else out)))
 
-    some = first.groupBy("host", "part").applyInPandas(merged, TEMPLATE_SCHEMA)
-    return some.groupBy("host").applyInPandas(merged, TEMPLATE_SCHEMA).select("host", "template")
+    some = first.groupBy("host", "part").applyInPandas(lambda pdf: merged(pdf, False), TEMPLATE_SCHEMA)
+    return some.groupBy("host").applyInPandas(lambda pdf: merged(pdf, True), TEMPLATE_SCHEMA).select("host", "template")
 
 
 def _template_rows(kept: dict):
