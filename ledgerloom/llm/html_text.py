@@ -13,7 +13,11 @@ Elements that are page furniture by their tag, role or class never are content.
 Defined results
     * null or empty html, or no content: empty text, 0 characters.
     * a page whose host has few pages, or no url, is judged by tags alone; so is
-      one whose article is the same all over its host and would be lost.
+      all that lies in an article or main element.
+    * rows with the same html have one vote on the template of their host.
+    * a page without such an element that shares half or more of its text with
+      nearly all pages of its host is a near copy and judged by tags alone too:
+      its furniture stays, its content does not go.
     * character references are decoded within one run of text, never across tags.
     * unclosed and cut-off markup is closed where HTML would close it.
     * repeated rows give repeated results; extra columns are ignored.
@@ -282,10 +286,12 @@ def main_text(source: str | None, template: Node | None = None) -> str:
     mains = _mains(root)
     blocks: list[list[str]] = [[]]
     in_template: set[int] = set()
-    if template is not None:
+    if template is not None and not mains:
         _mark(template, root, in_template)
+    shared = total = 0
 
     def walk(node: Node, inside: bool) -> None:
+        nonlocal shared, total
         if node.drop or (node.outer and not inside):
             return
         inside = inside or node.tag in ("article", "main")
@@ -294,9 +300,14 @@ def main_text(source: str | None, template: Node | None = None) -> str:
             blocks.append([])
         elif node.tag == "br":
             blocks[-1].append(" ")
-        skip = id(node) in in_template or (mains and not inside)
+        same = id(node) in in_template
+        skip = same or (mains and not inside)
         for x in node.kids:
             if isinstance(x, str):
+                n = len(x) - x.count(" ")
+                total += n
+                if same:
+                    shared += n
                 if not skip:
                     blocks[-1].append(html_lib.unescape(x))
             else:
@@ -306,10 +317,9 @@ def main_text(source: str | None, template: Node | None = None) -> str:
 
     walk(root, False)
     texts = (" ".join("".join(b).split()) for b in blocks)
-    found = "\n".join(t for t in texts if t)
-    if not found and in_template and mains:
+    if shared and 2 * shared >= total:
         return main_text(source)
-    return found
+    return "\n".join(t for t in texts if t)
 
 
 def _mains(node: Node) -> bool:
@@ -396,6 +406,16 @@ def induce(pages: DataFrame) -> DataFrame:
     return some.groupBy("host").applyInPandas(lambda pdf: merged(pdf, True), TEMPLATE_SCHEMA).select("host", "template")
 
 
+def _distinct(d: DataFrame) -> DataFrame:
+    """(host, html), the pages of a host that are equal byte by byte once. Only pages that occur again are grouped."""
+    d = d.filter("host != '' AND html != ''").select("host", "html", F.sha1("html").alias("sha1"))
+    again = d.groupBy("host", "sha1").count().filter("count > 1").drop("count")
+    again = written(again, "html-repeats")
+    once = d.join(again, ["host", "sha1"], "left_anti").select("host", "html")
+    one = d.join(again, ["host", "sha1"], "left_semi").groupBy("host", "sha1").agg(F.first("html").alias("html"))
+    return once.unionByName(one.select("host", "html"))
+
+
 def _template_rows(kept: dict):
     hosts = list(kept)
     texts = [json.dumps(dumps(kept[h])) for h in hosts]
@@ -416,7 +436,7 @@ def extract(pages: DataFrame, key="page_id", url="url", html="html") -> DataFram
         F.col(f"`{url}`").alias("url"),
         F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"),
     ).withColumn("host", _host(F.col("url")))
-    templates = written(induce(d.select("host", "html")), "html-templates")
+    templates = written(induce(_distinct(d)), "html-templates")
     d = d.join(templates, "host", "left").select(key, "url", "html", "template")
     kind = d.schema[key].dataType.simpleString()
 

@@ -28,3 +28,25 @@ def test_first_page_of_a_task_does_not_decide(spark):
     pages = [f"<body><ul><li>{m}</ul><div>{' '.join(str(rnd.random()) for _ in range(9))}</div></body>" for m in menus]
     got = texts(spark, pages)
     assert "Other" in got[0] and not any("Menu" in t for t in got)
+
+
+def near_copies(wrap):
+    def page(i):
+        changed = f"changed {i}" if i < 95 else " ".join(f"own{i}w{k}" for k in range(30))
+        lead = "<h1>Shared head</h1><p>Shared lead of the story, with many words.</p><table><tr><td>Shared cell</table>"
+        return f"<body>{wrap[0]}{lead if i < 95 else f'<h1>Head {i}</h1>'}<p>{changed}</p>{wrap[1]}</body>"
+
+    return [page(i) for i in range(100)]
+
+
+def test_near_copies_keep_their_shared_text(spark):
+    for wrap in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>")):
+        got = texts(spark, near_copies(wrap), 3)
+        for i in range(95):
+            assert got[i] == f"Shared head\nShared lead of the story, with many words.\nShared cell\nchanged {i}"
+
+
+def test_equal_pages_have_one_vote(spark):
+    copy = "<body><div><h2>Copied head</h2></div><p>Copied text of the page that is longer than its head by far.</p></body>"
+    others = [f"<body><div><h2>Head {i}</h2></div><p>Text {i}</p></body>" for i in range(4)]
+    assert texts(spark, [copy] * 200 + others)[0].startswith("Copied head")
