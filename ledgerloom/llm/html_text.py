@@ -62,10 +62,14 @@ FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent notice "
     "popup modal overlay newsletter subscribe subscription share sharing social related recommended "
-    "comment comments reply replies respond disqus widget pagination pager toolbar login signup".split()
+    "comment comments reply replies respond disqus widget pagination pager toolbar login signup "
+    # whole tokens only: these compounds are furniture, others may be wrappers such as has-sidebar
+    "ad-banner ad-slot ad-container ad-unit cookie-banner cookie-notice cookie-consent nav-menu nav-bar nav-links "
+    "main-nav main-menu site-nav site-footer page-footer site-navigation share-buttons social-share social-links "
+    "related-posts related-articles comments-area comment-list comment-form sidebar-left sidebar-right".split()
 )
 #: Dropped only outside an article: an article may have a head of its own.
-OUTER_WORDS = frozenset("header masthead topbar".split())
+OUTER_WORDS = frozenset("header masthead topbar site-header page-header".split())
 IMPLIED_END = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -77,22 +81,22 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Node:
-    __slots__ = ("tag", "sig", "kids", "drop", "outer", "count", "texts", "text")
+    __slots__ = ("tag", "sig", "kids", "drop", "outer", "word", "head", "count", "texts", "text")
 
     def __init__(self, tag, sig="", drop=False, outer=False):
         self.tag, self.sig, self.drop, self.outer = tag, sig, drop, outer
+        self.word = self.head = False  # by a word of class or id: furniture, or so outside an article
         self.kids: list = []  # Nodes and strings
         self.count, self.text = 1, None
         self.texts: dict | None = None  # pages by checksum, in templates
 
 
 def _judged(tag: str, attrs: str) -> Node:
-    drop, outer, sig, hidden = tag in DROPPED, tag == "header", tag, False
+    drop, outer, sig, hidden, words = tag in DROPPED, tag == "header", tag, False, set()
     if attrs and "=" in attrs or "hidden" in attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
@@ -100,14 +104,26 @@ def _judged(tag: str, attrs: str) -> Node:
                 hidden = True
             elif name == "role":
                 drop = drop or value in FURNITURE_ROLES
-            else:
-                found = set(_WORDS.findall(value))
-                if tag not in ("html", "body", "article", "main"):
-                    drop = drop or bool(found & FURNITURE_WORDS)
-                    outer = outer or bool(found & OUTER_WORDS)
+            elif name in ("class", "id"):
+                words.update(value.split())
                 if name == "class":
                     sig = f"{tag}.{'.'.join(sorted(value.split()))}"
-    return Node(tag, sig, drop or hidden, outer)
+    out = Node(tag, sig, drop or hidden, outer)
+    out.word, out.head = bool(words & FURNITURE_WORDS), bool(words & OUTER_WORDS)
+    return out
+
+
+def _settled(node: Node) -> bool:
+    """Drop nodes by their words unless an article lies in them; whether one is in this node."""
+    holds = False
+    for x in node.kids:
+        if not isinstance(x, str):
+            holds = _settled(x) or holds
+    if node.tag in ("article", "main"):
+        holds = holds or not node.word
+    elif node.tag not in ("html", "body") and not holds:
+        node.drop, node.outer = node.drop or node.word, node.outer or node.head
+    return holds and not node.drop
 
 
 def parse(source: str) -> Node:
@@ -152,6 +168,7 @@ def parse(source: str) -> Node:
             stack.append(node)
         elif tag not in VOID and tag in BLOCK:
             stack.append(node)
+    _settled(root)
     return root
 
 

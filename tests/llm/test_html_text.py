@@ -50,3 +50,23 @@ def test_equal_pages_have_one_vote(spark):
     copy = "<body><div><h2>Copied head</h2></div><p>Copied text of the page that is longer than its head by far.</p></body>"
     others = [f"<body><div><h2>Head {i}</h2></div><p>Text {i}</p></body>" for i in range(4)]
     assert texts(spark, [copy] * 200 + others)[0].startswith("Copied head")
+
+
+def test_wrappers_with_furniture_words_keep_their_content():
+    inner = "<h1>Head</h1><p>Text</p>"
+    for attrs in (
+        'class="layout has-sidebar"', 'id="content-with-comments"', 'class="no-banner"', 'data-id="related"',
+        'data-class="menu"', 'title="a class=menu b"', "title='x hidden y'", 'aria-hidden="false"',
+    ):
+        assert html_text.main_text(f"<body><div {attrs}>{inner}</div></body>") == "Head\nText", attrs
+    for name in ("sidebar", "widget menu", "header", "masthead"):
+        for tag in ("article", "main"):
+            page = f'<body><div class="{name}"><{tag}>{inner}</{tag}></div><div class="ad">Buy</div></body>'
+            assert html_text.main_text(page) == "Head\nText", (name, tag)
+
+
+def test_furniture_by_whole_words_is_still_dropped():
+    for attrs in ('class="ad"', "id=related", 'class="box sidebar"', 'id="cookie-banner"', 'role="navigation"', "hidden", 'class="x"id="menu"'):
+        assert html_text.main_text(f"<body><div {attrs}>Out</div><p>Text</p></body>") == "Text", attrs
+    comments = '<div class="comments"><article class="comment">Out</article></div>'
+    assert html_text.main_text(f"<body><article>Text</article>{comments}</body>") == "Text"
