@@ -220,7 +220,10 @@ def _read_chunks(batches):
                 data = memoryview(datas[i].as_buffer())
                 if no == 0:
                     pending = bytes(data[: 64 * 1024])
-                    end = pending.index(END)
+                    end = pending.find(END)
+                    if end < 0:  # a longer head, which lies in this chunk whole
+                        pending = bytes(data)
+                        end = pending.index(END)
                     fields, sha1, got, chained = parse_head(pending[:end]), hashlib.sha1(), 0, True
                     data = data[end + len(END) :]
                     left = int(fields["content-length"])
