@@ -26,16 +26,39 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
+#: Shuffle files of a finished write are of no more use; the session may still say otherwise.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS = "ledgerloom_path"
+
+
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     The copy survives the loss of any executor and is read as often as needed
-    without recomputing what is above it.
+    without recomputing what is above it. Its shuffle files go once it is whole.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATHS, path)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read any more, recomputation included."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, _PATHS)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def words(text):

@@ -1,18 +1,21 @@
 """Suffix-array removal of long byte strings that repeat across documents.
 
-Every 50-byte string holds the least-hashed of its 16-byte grams, so equal
-strings share that anchor at the same place. A first pass emits anchors only;
+Every 50-byte string owns one anchor: the leftmost of its 16-byte grams of least
+hash, so equal strings have equal anchors at the same place. Consecutive strings
+of a document with one anchor form a context. A first pass emits anchors only;
 those seen under one document id are dropped after a pre-aggregation. A second
-pass cuts the context of each anchor that is left: all 50-byte strings around
-it. Equal contexts are one row with their least document id. Shards of distinct
-contexts then get a suffix array by induced sorting: suffixes are classified,
-the leftmost-smaller substrings are sorted (recursively where they repeat), and
-the array is induced linearly. Permuted common prefixes cut the array into
-groups of suffixes that share 50 bytes; the least document id of a group says
-who may keep the string.
-
-An anchor that a third of all documents share is one context or few, so no
-task sees its rows together; rows meet their contexts in a join that splits.
+pass cuts the contexts of the anchors that are left. Equal contexts are one row
+with their least document id. Shards of distinct contexts get a suffix array by
+induced sorting: suffixes are classified, the leftmost-smaller substrings are
+sorted (recursively where they repeat), and the array is induced linearly.
+Permuted common prefixes cut the array into groups of suffixes that share 50
+bytes; the least document id of a group says who may keep the string.
+
+An anchor with many different contexts (a common phrase) is split: the strings
+that hold it at an early place and those that hold it at a late one share more
+than the gram, so each half gets a longer anchor of its own, as often as needed.
+No task sees the occurrences of a hot anchor or context together; rows meet
+their contexts in joins that split.
 
 Defined results
     * null or empty text: 0 bytes, nothing removed, the hash of no bytes.
@@ -31,162 +34,277 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 LENGTH = 50
 GRAM = 16
-BEFORE = LENGTH - GRAM
-SHARD_CONTEXTS = 2_000
-_FACTOR = 0x9E3779B97F4A7C15
-_FINISH = 0xD6E8FEB86659FD93
+#: Places that the gram can take in a string.
+PLACES = LENGTH - GRAM + 1
+#: Distinct contexts a shard holds on average, and those above which an anchor is split.
+SHARD_CONTEXTS = 5_000
+SPLIT_ABOVE = 3_000
+#: Bytes of text that a pass takes at once; a longer text is taken whole.
+CHUNK = 1 << 17
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FINISH = np.uint64(0xD6E8FEB86659FD93)
+#: Low bits of a hash that give way to the gram's place, so that the least is the leftmost.
+_PLACE_BITS = np.uint64(31)
 
 
 # ---- induced sorting --------------------------------------------------------
 
+#: Buckets of fewer suffixes are swept together, up to so many at once.
+_FEW = 256
+_TOGETHER = 1024
+
 
-def suffix_array(s: list[int], top: int) -> list[int]:
-    """Suffix array of ``s`` (values 0..top) by induced sorting, in linear time."""
+def _sweep(sa, kinds, lands, heads, tails, first=-1):
+    """Scan ``sa`` upwards; append each entry's predecessor to the front part of its bucket.
+
+    ``lands`` has, per suffix, the bucket of its predecessor, the number of
+    buckets where it is not to be placed. Buckets hold their given entries at the
+    end; free places are -1. A bucket is scanned in rounds, as it may receive
+    entries while it is scanned. Small buckets are scanned together as far as
+    none of them receives any.
+    """
+    n = len(heads)
+    free = heads.copy()
+
+    def push(entries, c):
+        some = c < n
+        entries, c = entries[some], c[some]
+        if not len(c):
+            return
+        order = c.argsort(kind="stable")
+        c = c[order]
+        edge = np.flatnonzero(c[1:] != c[:-1])
+        edge += 1
+        if not len(edge):  # one bucket
+            at = free[c[0]]
+            sa[at : at + len(c)] = entries - 1
+            free[c[0]] += len(c)
+            return
+        bounds = np.empty(len(edge) + 2, dtype=np.int64)
+        bounds[0], bounds[1:-1], bounds[-1] = 0, edge, len(c)
+        count = bounds[1:] - bounds[:-1]
+        bucket = c[bounds[:-1]]
+        sa[(free[bucket] - bounds[:-1]).repeat(count) + np.arange(len(c))] = entries[order] - 1
+        free[bucket] += count
+
+    def rounds(b):
+        lo = heads[b]
+        while lo < free[b]:
+            hi = free[b]
+            part = sa[lo:hi].copy()
+            push(part, lands[part])
+            lo = hi
+        rest = sa[lo : tails[b]]
+        rest = rest[rest >= 0]
+        push(rest, lands[rest])
+
+    if first >= 0:
+        b = kinds[first]
+        sa[free[b]] = first
+        free[b] += 1
+    b = 0
+    while b < n:
+        if tails[b] - heads[b] >= _FEW:
+            rounds(b)
+            b += 1
+            continue
+        end = max(b + 1, int(tails.searchsorted(heads[b] + _TOGETHER, side="right")))
+        entries = sa[heads[b] : tails[end - 1]]
+        entries = entries[entries >= 0]
+        if not len(entries):
+            b = end
+            continue
+        c = lands[entries]
+        least = np.minimum.accumulate(c)
+        own = kinds[entries]
+        late = (own[1:] >= least[:-1]).argmax() if len(own) > 1 else 0
+        stop = int(least[late] if len(own) > 1 and own[late + 1] >= least[late] else least[-1])
+        if stop <= b:
+            rounds(b)
+            b += 1
+            continue
+        if stop < end:
+            some = own < stop
+            entries, c = entries[some], c[some]
+        push(entries, c)
+        b = min(stop, end)
+
+
+def _induce(s, smaller, seeds, heads, tails):
+    """Suffix array from its sorted leftmost-smaller suffixes ``seeds``."""
+    n, top = len(s), len(heads)
+    sa = np.full(n, -1, dtype=np.int32)
+    c = s[seeds]
+    order = np.argsort(c, kind="stable")
+    count = np.bincount(c, minlength=top)
+    first = np.cumsum(count) - count
+    at = (tails - count)[c[order]] + np.arange(len(c)) - first[c[order]]
+    sa[at] = seeds[order]
+    lands = np.full(n, top, dtype=s.dtype)
+    np.copyto(lands[1:], s[:-1], where=~smaller[:-1])
+    _sweep(sa, s, lands, heads, tails, first=n - 1)
+    sa[at] = -1
+    # the other half goes downwards: the same sweep over the mirrored array
+    mirrored = (top - 1 - s).astype(s.dtype)
+    lands[:] = top
+    np.copyto(lands[1:], mirrored[:-1], where=smaller[:-1])
+    _sweep(sa[::-1], mirrored, lands, (n - tails)[::-1].copy(), (n - heads)[::-1].copy())
+    return sa
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffix array of the integers ``s`` by induced sorting; the end is less than any value."""
     n = len(s)
     if n < 2:
-        return list(range(n))
-    smaller = bytearray(n)  # 1: the suffix is smaller than the next one
-    for i in range(n - 2, -1, -1):
-        smaller[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and smaller[i + 1])
-    starts = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-    counts = [0] * (top + 1)
-    for c in s:
-        counts[c] += 1
-    heads, tails, total = [], [], 0
-    for c in counts:
-        heads.append(total)
-        total += c
-        tails.append(total)
-
-    def induce(seeds: list[int]) -> list[int]:
-        sa = [-1] * n
-        free = tails[:]
-        for i in reversed(seeds):
-            free[s[i]] -= 1
-            sa[free[s[i]]] = i
-        free = heads[:]
-        sa[free[s[n - 1]]] = n - 1  # the end of the string comes before everything
-        free[s[n - 1]] += 1
-        for k in range(n):
-            i = sa[k] - 1
-            if i >= 0 and not smaller[i]:
-                sa[free[s[i]]] = i
-                free[s[i]] += 1
-        free = tails[:]
-        for k in range(n - 1, -1, -1):
-            i = sa[k] - 1
-            if i >= 0 and smaller[i]:
-                free[s[i]] -= 1
-                sa[free[s[i]]] = i
-        return sa
-
-    if not starts:
-        return induce([])
-    at = dict(zip(starts, range(len(starts)), strict=True))
-    ends = [*(b + 1 for b in starts[1:]), n]
-    names, last, name = [0] * len(starts), None, -1
-    for i in induce(starts):
-        j = at.get(i)
-        if j is not None:
-            piece = (s[i : ends[j]], j == len(starts) - 1)
-            if piece != last:
-                name, last = name + 1, piece
-            names[j] = name
-    if name + 1 < len(starts):
-        order = suffix_array(names, name)
-    else:
-        order = [0] * len(starts)
-        for j, x in enumerate(names):
-            order[x] = j
-    return induce([starts[j] for j in order])
-
-
-def common_prefixes(s: list[int], sa: list[int]) -> np.ndarray:
-    """Length of the prefix each suffix shares with the one before it in ``sa``, in ``sa`` order.
-
-    Computed in text order (permuted), where it falls by at most one per step.
+        return np.arange(n)
+    kinds, s = np.unique(s, return_inverse=True)
+    s = s.astype(np.uint16 if len(kinds) < 1 << 16 else np.int32)  # 16 bits sort by radix
+    count = np.bincount(s, minlength=len(kinds))
+    tails = np.cumsum(count)
+    heads = tails - count
+    # a suffix is smaller than the next one if the next different value is larger
+    change = np.append(np.flatnonzero(s[1:] != s[:-1]), n - 1)
+    up = np.append(s[change[:-1]] < s[change[:-1] + 1], False)
+    smaller = np.repeat(up, np.diff(np.concatenate(([-1], change))))
+    starts = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    if not len(starts):
+        return _induce(s, smaller, starts, heads, tails)
+    sa = _induce(s, smaller, starts, heads, tails)
+    is_start = np.zeros(n, dtype=bool)
+    is_start[starts] = True
+    order = sa[is_start[sa]]
+    ends = np.append(starts[1:] + 1, n)
+    which = np.empty(n, dtype=np.int64)
+    which[starts] = np.arange(len(starts))
+    length = (ends - starts)[which[order]]
+    same = length[1:] == length[:-1]
+    same &= (which[order[1:]] != len(starts) - 1) & (which[order[:-1]] != len(starts) - 1)
+    left = np.flatnonzero(same)
+    step = 0
+    while len(left):
+        equal = s[order[left] + step] == s[order[left + 1] + step]
+        same[left[~equal]] = False
+        step += 1
+        left = left[equal & (length[left] > step)]
+    name = np.concatenate(([0], np.cumsum(~same)))
+    if name[-1] + 1 < len(starts):
+        names = np.empty(len(starts), dtype=np.int64)
+        names[which[order]] = name
+        order = starts[suffix_array(names)]
+    return _induce(s, smaller, order, heads, tails)
+
+
+def common_prefixes(s: np.ndarray, sa: np.ndarray, firsts: np.ndarray, steps: np.ndarray, most: int) -> np.ndarray:
+    """Per place of the texts that begin at ``firsts`` (``steps`` places each), the prefix it shares with the suffix before it in ``sa``, up to ``most``.
+
+    Computed in text order (permuted), where it falls by at most one per step,
+    for all texts side by side. Other places are 0.
     """
     n = len(s)
     before = np.full(n, -1, dtype=np.int64)
-    order = np.asarray(sa, dtype=np.int64)
-    before[order[1:]] = order[:-1]
-    before = before.tolist()
-    permuted, h = [0] * n, 0
-    for i in range(n):
+    before[sa[1:]] = sa[:-1]
+    padded = np.concatenate((s, np.full(most + 1, -1, dtype=s.dtype)))
+    out = np.zeros(n, dtype=np.int64)
+    lanes = np.flatnonzero(steps > 0)
+    held = np.zeros(len(firsts), dtype=np.int64)
+    t = 0
+    while len(lanes):
+        i = firsts[lanes] + t
         j = before[i]
-        if j < 0:
-            h = 0
-            continue
-        while i + h < n and j + h < n and s[i + h] == s[j + h]:
-            h += 1
-        permuted[i] = h
-        if h:
-            h -= 1
-    return np.asarray(permuted, dtype=np.int64)[order]
-
-
-def least_owner(contexts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Per context, for each place where ``length`` bytes start, the least owner of those bytes."""
-    s: list[int] = []
-    left: list[int] = []
-    for c in contexts:
-        s += [b + 1 for b in c]
-        s.append(0)
-        left += range(len(c), -1, -1)
-    sa = np.asarray(suffix_array(s, 256), dtype=np.int64)
-    shared = common_prefixes(s, sa.tolist())
-    room = np.asarray(left, dtype=np.int64)
-    owner = np.repeat(owners, [len(c) + 1 for c in contexts])
-    full = room[sa] >= length
-    group = np.cumsum((shared < length) | ~full | ~np.concatenate(([False], full[:-1])))
-    low = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(low, group, owner[sa])
-    best = np.empty(len(s), dtype=np.int64)
-    best[sa] = low[group]
-    out, at = [], 0
-    for c in contexts:
-        out.append(best[at : at + max(0, len(c) - length + 1)])
-        at += len(c) + 1
+        h = np.maximum(held[lanes] - 1, 0)
+        h[j < 0] = 0
+        live = np.flatnonzero((j >= 0) & (h < most))
+        while len(live):
+            x, y = i[live] + h[live], j[live] + h[live]
+            live = live[(padded[x] == padded[y]) & (x < n) & (y < n)]
+            h[live] += 1
+            live = live[h[live] < most]
+        out[i] = h
+        held[lanes] = h
+        t += 1
+        lanes = lanes[steps[lanes] > t]
     return out
 
 
+def least_owner(data: np.ndarray, ends: np.ndarray, owners: np.ndarray, length: int = LENGTH):
+    """For each place of the contexts where ``length`` bytes start, the least owner of those bytes.
+
+    Contexts are ``data`` cut at ``ends``. Returns (owners, places per context).
+    """
+    size = np.diff(np.concatenate(([0], ends)))
+    places = np.maximum(size - length + 1, 0)
+    n = len(data) + len(ends)
+    s = np.zeros(n, dtype=np.int32)  # 0 ends a context
+    body = np.ones(n, dtype=bool)
+    body[ends + np.arange(len(ends))] = False
+    s[body] = data.astype(np.int32) + 1
+    firsts = ends - size + np.arange(len(ends))
+    sa = suffix_array(s)
+    shared = common_prefixes(s, sa, firsts, places, length)
+    owner = np.full(n, -1, dtype=np.int64)
+    at = np.repeat(firsts - (np.cumsum(places) - places), places) + np.arange(places.sum())
+    owner[at] = np.repeat(owners, places)
+    full = np.zeros(n, dtype=bool)
+    full[at] = True
+    # suffixes that share their first bytes with a full one are full themselves
+    ranked = sa[full[sa]]
+    if not len(ranked):
+        return np.empty(0, np.int64), places
+    edge = np.flatnonzero(np.concatenate(([True], shared[ranked[1:]] < length)))
+    low = np.minimum.reduceat(owner[ranked], edge)
+    best = np.empty(n, dtype=np.int64)
+    best[ranked] = np.repeat(low, np.diff(np.append(edge, len(ranked))))
+    return best[at], places
+
+
 # ---- anchors and contexts ---------------------------------------------------
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the grams that are least in some run of ``BEFORE + 1`` grams."""
-    b = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
-    n = len(b) - GRAM + 1
-    if len(b) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h, width = (b + np.uint64(1)) * np.uint64(_FACTOR), 1
-    while width < GRAM:  # doubling: a gram of 2w bytes from two of w bytes
-        h = h ^ (h >> np.uint64(29))
-        h = (h[:-width] * np.uint64(_FINISH)) + (h[width:] ^ np.uint64(width)) * np.uint64(_FACTOR)
+def gram_hashes(b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of ``GRAM`` bytes, by doubling."""
+    h, width = (b.astype(np.uint64) + np.uint64(1)) * _FACTOR, 1
+    while width < GRAM:
+        h ^= h >> np.uint64(29)
+        h = h[:-width] * _FINISH + (h[width:] ^ np.uint64(width)) * _FACTOR
         width *= 2
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(_FINISH)
-    h = h ^ (h >> np.uint64(31))
-    # sliding minimum by doubling, then the grams that equal the least of a run they are in
-    low, width = h, 1
-    while 2 * width <= BEFORE + 1:
+    h ^= h >> np.uint64(32)
+    h *= _FINISH
+    return h ^ (h >> np.uint64(31))
+
+
+def context_runs(b: np.ndarray, begins: np.ndarray):
+    """(anchor hash, first start, last start, anchor place) of the runs of strings with one anchor.
+
+    ``b`` holds texts from ``begins`` (ascending, the last entry is the end);
+    strings never cross texts.
+    """
+    none = np.empty(0, np.int64)
+    if len(b) < LENGTH:
+        return none, none, none, none
+    h = gram_hashes(b)
+    low = ((h >> _PLACE_BITS) << _PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
+    width = 1
+    while 2 * width <= PLACES:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    rest = BEFORE + 1 - width
-    low = np.minimum(low[: n - BEFORE], low[rest : rest + n - BEFORE])
-    padded = np.concatenate((np.zeros(BEFORE, np.uint64), low, np.zeros(BEFORE, np.uint64)))
-    top, width = padded, 1
-    while 2 * width <= BEFORE + 1:
-        top = np.maximum(top[:-width], top[width:])
-        width *= 2
-    rest = BEFORE + 1 - width
-    top = np.maximum(top[:n], top[rest : rest + n])
-    at = np.flatnonzero(h == top)
-    return h[at].view(np.int64), at
+    rest = PLACES - width
+    low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+    anchor = (low & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    sizes = np.maximum(np.diff(begins) - LENGTH + 1, 0)  # strings of each text
+    ends = np.cumsum(sizes)
+    starts = np.repeat(begins[:-1] - (ends - sizes), sizes) + np.arange(ends[-1])
+    if not len(starts):
+        return none, none, none, none
+    a = anchor[starts]
+    new = np.concatenate(([True], a[1:] != a[:-1]))
+    new[(ends - sizes)[sizes > 0]] = True
+    edge = np.flatnonzero(new)
+    last = np.append(edge[1:], len(starts)) - 1
+    return h[a[edge]].view(np.int64), starts[edge], starts[last], a[edge]
 
 
 _SLIM = "id long, h long"
@@ -199,90 +317,201 @@ def _slim(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _chunks(batch, column):
+    """(rows, bytes, begins) of runs of rows, about ``CHUNK`` bytes at once."""
+    x = batch.column(column).cast(pa.large_binary())
+    offsets = np.frombuffer(x.buffers()[1], dtype=np.int64)[x.offset : x.offset + len(x) + 1]
+    data = np.frombuffer(x.buffers()[2] or b"", dtype=np.uint8)
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, side="right")) - 1)
+        hi = min(hi, len(x))
+        yield slice(lo, hi), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
 def _emit_anchors(batches):
     for batch in batches:
-        ids, hs, found = [], [], []
-        for i in range(batch.num_rows):
-            a = np.unique(anchors(batch.column(2)[i].as_py())[0])
-            ids.append(np.full(len(a), batch.column(0)[i].as_py(), dtype=np.int64))
-            hs.append(np.full(len(a), batch.column(1)[i].as_py(), dtype=np.int64))
-            found.append(a)
-        if ids:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x), pa.int64()) for x in (ids, hs, found)], names=["id", "h", "anchor"]
-            )
+        ids = batch.column(0).to_numpy()
+        for rows, data, begins in _chunks(batch, 1):
+            anchor, start, _, _ = context_runs(data, begins)
+            row = np.searchsorted(begins, start, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows][row]), pa.array(anchor)], names=["id", "anchor"])
+
+
+def _cut_bytes(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.cumsum(size)
+    at = np.repeat(lo - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets), pa.py_buffer(data[at].tobytes())])
 
 
 def _emit_contexts(batches):
-    names = ["id", "h", "anchor", "start", "context"]
+    names = ["id", "h", "anchor", "start", "place", "context"]
     for batch in batches:
-        rows = [[] for _ in names]
-        for i in range(batch.num_rows):
-            data = batch.column(2)[i].as_py()
-            wanted = batch.column(3)[i].values.to_numpy()
-            a, at = anchors(data)
-            hit = np.isin(a, wanted)
-            for x, p in zip(a[hit].tolist(), at[hit].tolist(), strict=True):
-                lo = max(0, p - BEFORE)
-                got = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), x, lo, data[lo : p + LENGTH])
-                for column, value in zip(rows, got, strict=True):
-                    column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
+        ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        wanted = batch.column(3)
+        for rows, data, begins in _chunks(batch, 2):
+            anchor, start, last, at = context_runs(data, begins)
+            shared = np.isin(anchor, wanted.slice(rows.start, rows.stop - rows.start).flatten().to_numpy())
+            anchor, start, last, at = anchor[shared], start[shared], last[shared], at[shared]
+            row = np.searchsorted(begins, start, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[rows][row]),
+                    pa.array(hs[rows][row]),
+                    pa.array(anchor),
+                    pa.array(start - begins[row]),
+                    pa.array((at - start).astype(np.int32)),
+                    _cut_bytes(data, start, last - start + LENGTH),
+                ],
+                names=names,
+            )
 
 
 def _sort_shard(table):
-    contexts = table.column("context").to_pylist()
-    low = least_owner(contexts, table.column("owner").to_numpy())
+    table = table.combine_chunks()
+    context = table.column("context").combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(context.buffers()[1], dtype=np.int64)[context.offset : context.offset + len(context) + 1]
+    data = np.frombuffer(context.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    low, places = least_owner(data, offsets[1:] - offsets[0], table.column("owner").to_numpy())
+    begin = np.cumsum(places) - places
+    new = np.ones(len(low), dtype=bool)  # a run of places with one owner begins
+    new[1:] = low[1:] != low[:-1]
+    new[begin[begin < len(low)]] = True
+    edge = np.flatnonzero(new)
+    row = np.searchsorted(begin, edge, side="right") - 1
+    runs = np.bincount(row, minlength=len(places))
+    ends = np.concatenate(([0], np.cumsum(runs)))
+    # offsets of the runs, and after each context's last run its number of places
+    offs = np.empty(len(edge) + len(places), dtype=np.int32)
+    offs[np.arange(len(edge)) + row] = edge - begin[row]
+    offs[ends[1:] + np.arange(len(places))] = places
     return pa.table(
         {
             "anchor": table.column("anchor"),
-            "context": table.column("context"),
-            "owners": pa.array([x.tolist() for x in low], pa.list_(pa.int64())),
+            "ck": table.column("ck"),
+            "offs": pa.ListArray.from_arrays((ends + np.arange(len(places) + 1)).astype(np.int32), offs),
+            "owners": pa.ListArray.from_arrays(ends.astype(np.int32), low[edge]),
         }
     )
 
 
-def spans(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, h, starts): per document where the 50-byte strings start that it must give up."""
-    slim = _slim(df, key, text).filter("id IS NOT NULL")
-    seen = written(slim.mapInArrow(_emit_anchors, f"{_SLIM}, anchor long"), "suffix-anchors")
-    twice = written(
-        seen.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"),
-        "suffix-twice",
+def _shared(rows: DataFrame) -> DataFrame:
+    """Anchors that more than one document id has."""
+    return rows.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor")
+
+
+def _halves(rows: DataFrame) -> DataFrame:
+    """Contexts whose strings hold the anchor at places ``first`` to ``last``, cut at the middle of that range.
+
+    What all strings of a half have in common is longer than the anchor and becomes its new one.
+    """
+    middle = "(first + last) DIV 2"
+    sides = F.explode(
+        F.expr(
+            f"array(struct(first AS lo, {middle} AS hi), struct({middle} + 1 AS lo, last AS hi))"
+        )
     )
-    wanted = seen.join(twice, "anchor").groupBy("id", "h").agg(F.collect_set("anchor").alias("anchors"))
-    found = slim.dropDuplicates(["id", "h"]).join(wanted, ["id", "h"]).select("id", "h", "body", "anchors")
-    found = written(
-        found.mapInArrow(_emit_contexts, f"{_SLIM}, anchor long, start long, context binary"), "suffix-contexts"
+    cut = rows.withColumn("half", sides).withColumns(
+        {
+            "i": F.expr("greatest(0, place - half.hi)"),
+            "j": F.expr(f"least(length(context) - {LENGTH}, place - half.lo)"),
+        }
     )
-    distinct = written(found.groupBy("anchor", "context").agg(F.min("id").alias("owner")), "suffix-distinct")
-    shards = max(1, -(-distinct.count() // SHARD_CONTEXTS))
-    # an anchor's contexts stay together: its equal strings are all in one shard
-    sorted_ = distinct.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(
-        _sort_shard, "anchor long, context binary, owners array<long>"
+    cut = cut.filter("i <= j")
+    common = F.expr(f"substring(context, place - half.lo + 1, {LENGTH} - half.hi + half.lo)")
+    return cut.select(
+        "id",
+        "h",
+        F.xxhash64("anchor", "half.lo", common).alias("anchor"),
+        (F.col("start") + F.col("i")).alias("start"),
+        (F.col("place") - F.col("i")).alias("place"),
+        F.expr(f"substring(context, i + 1, j - i + {LENGTH})").alias("context"),
+        F.col("half.lo").alias("first"),
+        F.col("half.hi").alias("last"),
+    )
+
+
+def _distinct(found: DataFrame) -> DataFrame:
+    return written(found.groupBy("anchor", "context").agg(F.min("id").alias("owner")), "suffix-distinct")
+
+
+def _found_and_distinct(found: DataFrame):
+    """Written contexts and their distinct ones, with hot anchors split until each has few contexts."""
+    parts, distinct = [], []
+    while True:
+        d = _distinct(found)
+        hot = written(d.groupBy("anchor").count().filter(F.col("count") > SPLIT_ABOVE).select("anchor"), "suffix-hot")
+        if hot.isEmpty():
+            return [*parts, found], [*distinct, d]
+        parts.append(written(found.join(hot, "anchor", "left_anti"), "suffix-contexts"))
+        distinct.append(written(d.join(hot, "anchor", "left_anti"), "suffix-distinct"))
+        halves = written(_halves(found.join(hot, "anchor", "left_semi")), "suffix-halves")
+        dropped(found, d, hot)
+        found = written(halves.join(written(_shared(halves), "suffix-twice"), "anchor", "left_semi"), "suffix-contexts")
+        dropped(halves)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def spans(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, h, spans): per document the runs of bytes (lo, hi) that it must give up; they may overlap."""
+    slim = _slim(df, key, text).filter("id IS NOT NULL")
+    seen = written(slim.select("id", "body").mapInArrow(_emit_anchors, "id long, anchor long"), "suffix-anchors")
+    twice = written(_shared(seen), "suffix-twice")
+    wanted = seen.join(twice, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = written(wanted, "suffix-wanted")
+    dropped(seen, twice)
+    found = slim.dropDuplicates(["id", "h"]).join(wanted, "id").select("id", "h", "body", "anchors")
+    kinds = f"{_SLIM}, anchor long, start long, place int, context binary"
+    found = found.mapInArrow(_emit_contexts, kinds)
+    found = found.withColumns({"first": F.lit(0), "last": F.lit(PLACES - 1)})
+    found, distinct = _found_and_distinct(written(found, "suffix-contexts"))
+    dropped(wanted)
+    contexts = _all(distinct)
+    shards = max(1, -(-contexts.count() // SHARD_CONTEXTS))
+    keyed = contexts.select("anchor", F.xxhash64("context").alias("ck"), "context", "owner")
+    low = keyed.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(
+        _sort_shard, "anchor long, ck long, offs array<int>, owners array<long>"
     )
-    sorted_ = written(sorted_, "suffix-owners")
-    hit = found.join(sorted_, ["anchor", "context"]).select(
+    low = written(low, "suffix-owners")
+    dropped(*distinct)
+    mine = _all(found).select("id", "h", "anchor", F.xxhash64("context").alias("ck"), "start")
+    hit = mine.join(low, ["anchor", "ck"]).select(
         "id",
         "h",
         F.filter(
-            F.transform("owners", lambda x, i: F.when(x < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull()
-        ).alias("starts"),
+            F.transform(
+                "owners",
+                lambda x, i: F.struct(
+                    (F.col("start") + F.get("offs", i)).alias("lo"),
+                    (F.col("start") + F.get("offs", i + 1) + LENGTH - 1).alias("hi"),
+                    (x < F.col("id")).alias("gone"),
+                ),
+            ),
+            lambda x: x["gone"],
+        ).alias("spans"),
     )
-    hit = hit.filter(F.size("starts") > 0)
-    return written(hit.groupBy("id", "h").agg(F.flatten(F.collect_set("starts")).alias("starts")), "suffix-spans")
+    hit = hit.filter(F.size("spans") > 0).select("id", "h", F.explode("spans").alias("s"))
+    hit = hit.groupBy("id", "h").agg(F.collect_list(F.struct("s.lo", "s.hi")).alias("spans"))
+    hit = written(hit, "suffix-spans")
+    dropped(*found, low)
+    return hit
 
 
-def runs(n: int, starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Maximal covered runs of ``length``-byte strings at ``starts`` in ``n`` bytes."""
-    delta = np.zeros(n + 1, dtype=np.int64)
-    starts = np.unique(starts)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, starts + length, -1)
-    covered = np.concatenate(([0], (np.cumsum(delta[:n]) > 0).astype(np.int8), [0]))
-    edge = np.diff(covered)
-    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal covered runs of the runs (lo, hi)."""
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.concatenate(([True], lo[1:] > reach[:-1])))
+    last = np.append(first[1:], len(lo)) - 1
+    return list(zip(lo[first].tolist(), reach[last].tolist(), strict=True))
 
 
 def cut(data: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -294,20 +523,23 @@ def cut(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def _starts(x) -> np.ndarray:
-    return x.values.to_numpy() if x.is_valid else np.empty(0, np.int64)
+def _gone(x) -> list[tuple[int, int]]:
+    """Maximal runs of a row's spans; none where the row has none."""
+    if not x.is_valid:
+        return []
+    lo, hi = (x.values.field(k).to_numpy() for k in (0, 1))
+    return merged(lo, hi) if len(lo) else []
 
 
 def dedup(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) per row."""
-    d = _slim(df, key, text).join(spans(df, key, text), ["id", "h"], "left").select("id", "body", "starts")
+    d = _slim(df, key, text).join(spans(df, key, text), ["id", "h"], "left").select("id", "body", "spans")
 
     def run(batches):
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                data, starts = batch.column(1)[i].as_py(), _starts(batch.column(2)[i])
-                gone = runs(len(data), starts) if len(starts) else []
+                data, gone = batch.column(1)[i].as_py(), _gone(batch.column(2)[i])
                 kept = hashlib.sha256(cut(data, gone)).hexdigest()
                 rows.append((len(data), sum(hi - lo for lo, hi in gone), len(gone), kept))
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
@@ -326,7 +558,7 @@ def dedup_documents(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     A character that loses only some of its bytes is dropped whole.
     """
     names = df.columns
-    s = spans(df, key, text).withColumnsRenamed({"id": "__s_id", "h": "__s_h", "starts": "__s_starts"})
+    s = spans(df, key, text).withColumnsRenamed({"id": "__s_id", "h": "__s_h", "spans": "__s_spans"})
     body = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     d = df.join(s, (df[f"`{key}`"] == s["__s_id"]) & (body == s["__s_h"]), "left").drop("__s_id", "__s_h")
     at = names.index(text)
@@ -335,10 +567,9 @@ def dedup_documents(df: DataFrame, key="doc_id", text="text") -> DataFrame:
         for batch in batches:
             texts = []
             for i in range(batch.num_rows):
-                value, starts = batch.column(at)[i].as_py(), _starts(batch.column(len(names))[i])
-                if len(starts):
-                    data = value.encode("utf-8")
-                    value = cut(data, runs(len(data), starts)).decode("utf-8", "ignore")
+                value, gone = batch.column(at)[i].as_py(), _gone(batch.column(len(names))[i])
+                if gone:
+                    value = cut(value.encode("utf-8"), gone).decode("utf-8", "ignore")
                 texts.append(value)
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
