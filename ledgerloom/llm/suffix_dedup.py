@@ -41,8 +41,8 @@ GRAM = 16
 #: Places that the gram can take in a string.
 PLACES = LENGTH - GRAM + 1
 #: Distinct contexts a shard holds on average, and those above which an anchor is split.
-SHARD_CONTEXTS = 5_000
-SPLIT_ABOVE = 3_000
+SHARD_CONTEXTS = 4_000
+SPLIT_ABOVE = 2_000
 #: Bytes of text that a pass takes at once; a longer text is taken whole.
 CHUNK = 1 << 17
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -157,13 +157,17 @@ def _induce(s, smaller, seeds, heads, tails):
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of the integers ``s`` by induced sorting; the end is less than any value."""
+    """Suffix array of the integers ``s``, 0 or more and not much above ``len(s)``, by induced sorting.
+
+    The end of ``s`` is less than any value.
+    """
     n = len(s)
     if n < 2:
         return np.arange(n)
-    kinds, s = np.unique(s, return_inverse=True)
-    s = s.astype(np.uint16 if len(kinds) < 1 << 16 else np.int32)  # 16 bits sort by radix
-    count = np.bincount(s, minlength=len(kinds))
+    count = np.bincount(s)
+    rank = np.cumsum(count > 0) - 1
+    count = count[count > 0]
+    s = rank.astype(np.uint16 if len(count) < 1 << 16 else np.int32)[s]  # 16 bits sort by radix
     tails = np.cumsum(count)
     heads = tails - count
     # a suffix is smaller than the next one if the next different value is larger
@@ -238,10 +242,11 @@ def least_owner(data: np.ndarray, ends: np.ndarray, owners: np.ndarray, length:
     size = np.diff(np.concatenate(([0], ends)))
     places = np.maximum(size - length + 1, 0)
     n = len(data) + len(ends)
-    s = np.zeros(n, dtype=np.int32)  # 0 ends a context
+    s = np.empty(n, dtype=np.int32)
+    s[ends + np.arange(len(ends))] = np.arange(len(ends))  # a context ends with a value of its own
     body = np.ones(n, dtype=bool)
     body[ends + np.arange(len(ends))] = False
-    s[body] = data.astype(np.int32) + 1
+    s[body] = data.astype(np.int32) + len(ends)
     firsts = ends - size + np.arange(len(ends))
     sa = suffix_array(s)
     shared = common_prefixes(s, sa, firsts, places, length)
@@ -370,31 +375,34 @@ def _emit_contexts(batches):
 
 
 def _sort_shard(table):
-    table = table.combine_chunks()
+    """(anchor, ck, lo, hi, owner): per context its runs of strings with one least owner.
+
+    A context that is its anchor's only one has nothing to be sorted against.
+    """
+    anchor = table.column("anchor").to_numpy()
+    ck, owner = table.column("ck").to_numpy(), table.column("owner").to_numpy()
     context = table.column("context").combine_chunks().cast(pa.large_binary())
     offsets = np.frombuffer(context.buffers()[1], dtype=np.int64)[context.offset : context.offset + len(context) + 1]
-    data = np.frombuffer(context.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-    low, places = least_owner(data, offsets[1:] - offsets[0], table.column("owner").to_numpy())
+    data = np.frombuffer(context.buffers()[2], dtype=np.uint8)
+    _, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
+    places = np.diff(offsets) - LENGTH + 1
     begin = np.cumsum(places) - places
+    low = np.repeat(owner, places)
+    many = np.flatnonzero(times[which] > 1)
+    if len(many):
+        size = np.diff(offsets)[many]
+        ends = np.cumsum(size)
+        at = np.repeat(offsets[:-1][many] - (ends - size), size) + np.arange(ends[-1])
+        best, n = least_owner(data[at], ends, owner[many])
+        low[np.repeat(begin[many] - (np.cumsum(n) - n), n) + np.arange(len(best))] = best
     new = np.ones(len(low), dtype=bool)  # a run of places with one owner begins
     new[1:] = low[1:] != low[:-1]
-    new[begin[begin < len(low)]] = True
+    new[begin] = True
     edge = np.flatnonzero(new)
     row = np.searchsorted(begin, edge, side="right") - 1
-    runs = np.bincount(row, minlength=len(places))
-    ends = np.concatenate(([0], np.cumsum(runs)))
-    # offsets of the runs, and after each context's last run its number of places
-    offs = np.empty(len(edge) + len(places), dtype=np.int32)
-    offs[np.arange(len(edge)) + row] = edge - begin[row]
-    offs[ends[1:] + np.arange(len(places))] = places
-    return pa.table(
-        {
-            "anchor": table.column("anchor"),
-            "ck": table.column("ck"),
-            "offs": pa.ListArray.from_arrays((ends + np.arange(len(places) + 1)).astype(np.int32), offs),
-            "owners": pa.ListArray.from_arrays(ends.astype(np.int32), low[edge]),
-        }
-    )
+    after = np.append(edge[1:], len(low))
+    lists = {"anchor": anchor[row], "ck": ck[row], "lo": edge - begin[row], "hi": after - begin[row], "owner": low[edge]}
+    return pa.table(lists)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -433,75 +441,64 @@ def _halves(rows: DataFrame) -> DataFrame:
     )
 
 
-def _distinct(found: DataFrame) -> DataFrame:
-    return written(found.groupBy("anchor", "context").agg(F.min("id").alias("owner")), "suffix-distinct")
-
-
 def _found_and_distinct(found: DataFrame):
-    """Written contexts and their distinct ones, with hot anchors split until each has few contexts."""
-    parts, distinct = [], []
+    """Written contexts and their distinct ones, with hot anchors split until each has few contexts.
+
+    Split contexts stay among the written ones, where nothing will match them.
+    """
+    parts, distinct, used = [found], [], []
     while True:
-        d = _distinct(found)
-        hot = written(d.groupBy("anchor").count().filter(F.col("count") > SPLIT_ABOVE).select("anchor"), "suffix-hot")
+        d = written(found.groupBy("anchor", "context").agg(F.min("id").alias("owner")), "suffix-distinct")
+        used.append(d)
+        hot = d.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_ABOVE).select("anchor")
+        hot = written(hot, "suffix-hot")
+        used.append(hot)
         if hot.isEmpty():
-            return [*parts, found], [*distinct, d]
-        parts.append(written(found.join(hot, "anchor", "left_anti"), "suffix-contexts"))
-        distinct.append(written(d.join(hot, "anchor", "left_anti"), "suffix-distinct"))
+            return parts, [*distinct, d], used
+        distinct.append(d.join(hot, "anchor", "left_anti"))
         halves = written(_halves(found.join(hot, "anchor", "left_semi")), "suffix-halves")
-        dropped(found, d, hot)
-        found = written(halves.join(written(_shared(halves), "suffix-twice"), "anchor", "left_semi"), "suffix-contexts")
-        dropped(halves)
+        twice = written(_shared(halves), "suffix-twice")
+        found = halves.join(twice, "anchor", "left_semi").withColumn("ck", F.xxhash64("context"))
+        found = written(found, "suffix-contexts")
+        dropped(halves, twice)
+        parts.append(found)
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
+def _all(parts: list[DataFrame], *columns: str) -> DataFrame:
+    out = parts[0].select(*columns)
     for x in parts[1:]:
-        out = out.unionByName(x)
+        out = out.unionByName(x.select(*columns))
     return out
 
 
 def spans(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, h, spans): per document the runs of bytes (lo, hi) that it must give up; they may overlap."""
+    """(id, h, spans): per document the runs of bytes that it must give up, as lo << 32 | hi; they may overlap."""
     slim = _slim(df, key, text).filter("id IS NOT NULL")
     seen = written(slim.select("id", "body").mapInArrow(_emit_anchors, "id long, anchor long"), "suffix-anchors")
     twice = written(_shared(seen), "suffix-twice")
     wanted = seen.join(twice, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     wanted = written(wanted, "suffix-wanted")
     dropped(seen, twice)
-    found = slim.dropDuplicates(["id", "h"]).join(wanted, "id").select("id", "h", "body", "anchors")
+    found = slim.join(wanted, "id").select("id", "h", "body", "anchors")
     kinds = f"{_SLIM}, anchor long, start long, place int, context binary"
     found = found.mapInArrow(_emit_contexts, kinds)
-    found = found.withColumns({"first": F.lit(0), "last": F.lit(PLACES - 1)})
-    found, distinct = _found_and_distinct(written(found, "suffix-contexts"))
+    found = found.withColumns({"first": F.lit(0), "last": F.lit(PLACES - 1), "ck": F.xxhash64("context")})
+    found = written(found, "suffix-contexts")
     dropped(wanted)
-    contexts = _all(distinct)
+    parts, distinct, used = _found_and_distinct(found)
+    contexts = _all(distinct, "anchor", "context", "owner")
     shards = max(1, -(-contexts.count() // SHARD_CONTEXTS))
     keyed = contexts.select("anchor", F.xxhash64("context").alias("ck"), "context", "owner")
     low = keyed.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(
-        _sort_shard, "anchor long, ck long, offs array<int>, owners array<long>"
+        _sort_shard, "anchor long, ck long, lo long, hi long, owner long"
     )
     low = written(low, "suffix-owners")
-    dropped(*distinct)
-    mine = _all(found).select("id", "h", "anchor", F.xxhash64("context").alias("ck"), "start")
-    hit = mine.join(low, ["anchor", "ck"]).select(
-        "id",
-        "h",
-        F.filter(
-            F.transform(
-                "owners",
-                lambda x, i: F.struct(
-                    (F.col("start") + F.get("offs", i)).alias("lo"),
-                    (F.col("start") + F.get("offs", i + 1) + LENGTH - 1).alias("hi"),
-                    (x < F.col("id")).alias("gone"),
-                ),
-            ),
-            lambda x: x["gone"],
-        ).alias("spans"),
-    )
-    hit = hit.filter(F.size("spans") > 0).select("id", "h", F.explode("spans").alias("s"))
-    hit = hit.groupBy("id", "h").agg(F.collect_list(F.struct("s.lo", "s.hi")).alias("spans"))
+    dropped(*used)
+    hit = _all(parts, "id", "h", "anchor", "ck", "start").join(low, ["anchor", "ck"]).filter("owner < id")
+    run = F.expr(f"shiftleft(start + lo, 32) + start + hi + {LENGTH - 1}")
+    hit = hit.select("id", "h", run.alias("run")).groupBy("id", "h").agg(F.collect_set("run").alias("spans"))
     hit = written(hit, "suffix-spans")
-    dropped(*found, low)
+    dropped(*parts, low)
     return hit
 
 
@@ -527,8 +524,8 @@ def _gone(x) -> list[tuple[int, int]]:
     """Maximal runs of a row's spans; none where the row has none."""
     if not x.is_valid:
         return []
-    lo, hi = (x.values.field(k).to_numpy() for k in (0, 1))
-    return merged(lo, hi) if len(lo) else []
+    both = x.values.to_numpy()
+    return merged(both >> 32, both & 0xFFFFFFFF) if len(both) else []
 
 
 def dedup(df: DataFrame, key="doc_id", text="text") -> DataFrame:
