@@ -10,8 +10,8 @@ Nodes above ``TILE`` sets are split further, with a wider choice so that recall
 holds; small ones are brute-forced with exact intersections. What stays large,
 or has members so alike that splitting only repeats them, is a group of like
 texts. Each member of such nodes has one home, the largest of them, and homes
-that meet in a node are compared once, in tiles, one task each, however many
-nodes their members share. No tile returns pairs: only link counts and a
+that meet in a node are one group, whose members are compared once, in tiles,
+one task each, however many nodes they share. No tile returns pairs: only link counts and a
 spanning forest leave it.
 
 Equal sets are one representative, so copies are never paired. A pair that
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import dropped, words, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -49,6 +49,9 @@ DEEPER_CHILDREN = 3.0
 LIKE = 0.5
 LIKE_PROBES = 4
 COLUMN_BLOCK = 8192
+#: Members and shingles of one side of a tile of a group of like texts.
+LARGE_TILE = 1024
+LARGE_TILE_SHINGLES = 3_000_000
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -120,8 +123,8 @@ def _hashed(df: DataFrame, text: str):
     return F.transform(words(F.col(f"`{text}`")), lambda w: F.xxhash64(w))
 
 
-def _digest(s: np.ndarray) -> str:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _rows(column):
@@ -131,25 +134,26 @@ def _rows(column):
 
 
 def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, digest, sig, short) per row; no digest where the text has no word."""
+    """(id, digest, sig, short, size) per row; no digest where the text has no word."""
     kind = df.schema[key].dataType.simpleString()
     slim = df.select(F.col(f"`{key}`").alias("id"), _hashed(df, text).alias("w"))
 
     def run(batches):
         for batch in batches:
-            digests, sigs, shorts = [], [], []
+            digests, sigs, shorts, sizes = [], [], [], []
             for w in _rows(batch.column(1)):
                 s = shingles(w)
                 digests.append(_digest(s) if len(s) else None)
+                sizes.append(len(s))
                 sig = signature(s) if len(s) else None
                 sigs.append(None if sig is None else sig.tobytes())
                 shorts.append(None if sig is None else mix64(sig).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.string()), pa.array(sigs, pa.binary()), pa.array(shorts, pa.binary())],
-                names=["id", "digest", "sig", "short"],
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(shorts, pa.binary()), pa.array(sizes, pa.int64())],
+                names=["id", "digest", "sig", "short", "size"],
             )
 
-    return slim.mapInArrow(run, f"id {kind}, digest string, sig binary, short binary")
+    return slim.mapInArrow(run, f"id {kind}, digest binary, sig binary, short binary, size long")
 
 
 def _signatures(column) -> np.ndarray:
@@ -236,10 +240,10 @@ def _alike(members: DataFrame, reps: DataFrame) -> DataFrame:
 def _buckets(reps: DataFrame, runs: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(digest, node) of small nodes and of large ones, one node per distinct member list."""
     at = written(
-        reps.select("digest", "sig").mapInArrow(_walk(True, runs, threshold), "digest string, node long"),
+        reps.select("digest", "sig").mapInArrow(_walk(True, runs, threshold), "digest binary, node long"),
         "path-nodes",
     )
-    done, large = [], []
+    done, large, used = [], [], [at]
     for level in range(DEEPER + 1):
         sizes = written(_distinct_nodes(at), "path-sizes")
         done.append(at.join(sizes.filter(F.col("n") <= TILE), "node"))
@@ -253,38 +257,47 @@ def _buckets(reps: DataFrame, runs: int, threshold: float) -> tuple[DataFrame, D
         at = split.select("digest", "node").join(reps.select("digest", "sig"), "digest")
         at = written(
             at.select("digest", "sig", "node")
-            .mapInArrow(_walk(False, runs, threshold), "digest string, node long")
+            .mapInArrow(_walk(False, runs, threshold), "digest binary, node long")
             .distinct(),
             "path-nodes",
         )
+        used.append(at)
         if at.isEmpty():
             break
     out = large[0].select("digest", "node", "n")
     for x in large[1:]:
         out = out.unionByName(x.select("digest", "node", "n"))
-    return written(_small(done, reps), "path-buckets"), written(out, "path-large-nodes")
+    small, out = written(_small(done, reps), "path-buckets"), written(out, "path-large-nodes")
+    dropped(*used)
+    return small, out
 
 
-def _large_tiles(large: DataFrame) -> DataFrame:
-    """(digest, a, b, lo, hi, side): tiles of homes that meet in a node, each pair of members in one tile."""
+def _large_tiles(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """(digest, a, b, lo, hi, side): tiles of groups of like texts, each pair of members in one tile.
+
+    Each member has one home, the largest of its nodes. Homes that meet in a node
+    are one group, named by its least node, so a pair is never met twice.
+    """
     home = large.groupBy("digest").agg(F.max(F.struct("n", "node"))["node"].alias("home"))
     home = written(home, "path-homes")
-    sizes = home.groupBy("home").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    present = large.join(home, "digest").select("node", "home").distinct()
-    meet = present.join(present.select("node", F.col("home").alias("other")), "node").select("home", "other").distinct()
-    meet = meet.join(sizes.withColumnRenamed("home", "other").withColumnRenamed("blocks", "others"), "other")
-    mine = home.join(sizes, "home").select(
-        "digest", "home", F.pmod(F.xxhash64("digest", "home"), F.col("blocks")).cast("int").alias("k")
-    )
-    t = mine.join(meet, "home").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    second = F.when(F.col("home") == F.col("other"), F.col("k") > F.col("j")).otherwise(F.col("home") > F.col("other"))
+    meet = large.select("digest", "node").join(home, "digest").filter("node <> home")
+    named = components(meet.select(F.col("home").alias("u"), F.col("node").alias("v")))
+    named = named.select(F.col("digest").alias("home"), F.col("root"))
+    mine = home.join(named, "home", "left").select("digest", F.coalesce("root", "home").alias("a"))
+    mine = written(mine.join(reps.select("digest", "size"), "digest"), "path-groups")
+    dropped(home)
+    blocks = F.ceil(F.greatest(F.count("*") / LARGE_TILE, F.sum("size") / LARGE_TILE_SHINGLES)).cast("int")
+    sizes = written(mine.groupBy("a").agg(blocks.alias("blocks")), "path-blocks")
+    k = F.pmod(F.xxhash64("digest", "a"), F.col("blocks")).cast("int")
+    t = mine.join(sizes, "a").withColumn("k", k)
+    t = t.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return t.select(
         "digest",
-        F.least("home", "other").alias("a"),
-        F.greatest("home", "other").alias("b"),
-        F.when(second, F.col("j")).otherwise(F.col("k")).alias("lo"),
-        F.when(second, F.col("k")).otherwise(F.col("j")).alias("hi"),
-        second.cast("int").alias("side"),
+        "a",
+        F.col("a").alias("b"),
+        F.least("k", "j").alias("lo"),
+        F.greatest("k", "j").alias("hi"),
+        (F.col("k") > F.col("j")).cast("int").alias("side"),
     )
 
 
@@ -299,14 +312,17 @@ def _small(done: list[DataFrame], reps: DataFrame) -> DataFrame:
         out = out.unionByName(x)
     out = out.select("digest", "node").join(reps.select("digest", "short"), "digest")
     out = out.repartition("node").sortWithinPartitions("node").select("digest", "node", "short")
-    kept = written(out.mapInArrow(_plausible, "digest string, node long"), "path-plausible")
+    kept = written(out.mapInArrow(_plausible, "digest binary, node long"), "path-plausible")
     return kept.join(_distinct_nodes(kept), "node").select("digest", "node")
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections: tokens seen once are dropped, the rest multiplied by blocks."""
+def overlaps(sets: list[np.ndarray], cut: int = 0) -> np.ndarray:
+    """Sizes of all intersections, or of those of the first ``cut`` sets with the others.
+
+    Tokens seen once are dropped, the rest multiplied by blocks.
+    """
     n = len(sets)
-    out = np.zeros((n, n), dtype=np.float32)
+    out = np.zeros((cut or n, n - cut), dtype=np.float32)
     who = np.repeat(np.arange(n), [len(s) for s in sets])
     _, token, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = seen[token] > 1
@@ -319,7 +335,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
             a, b = np.searchsorted(token, [lo, lo + COLUMN_BLOCK])
             m = np.zeros((n, COLUMN_BLOCK), dtype=np.float32)
             m[who[a:b], token[a:b] - lo] = 1
-            out += m @ m.T
+            out += m[: cut or n] @ m[cut:].T
     return out
 
 
@@ -339,19 +355,27 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _verify(threshold: float):
     def run(key, table):
-        table = table.sort_by("digest")
-        node, other, lo, hi = (x.as_py() for x in key)
+        table = table.sort_by([("side", "ascending"), ("digest", "ascending")])
+        node, _, lo, hi = (x.as_py() for x in key)
         digests = table.column("digest").to_pylist()
         side = table.column("side").to_numpy()
         copies = table.column("copies").to_numpy()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("s").to_pylist()]
         met = [set(x) for x in table.column("nodes").to_pylist()]
         size = np.array([len(s) for s in sets], dtype=np.float64)
-        same = overlaps(sets).astype(np.float64)
-        linked = same >= threshold * (size[:, None] + size[None, :] - same) - 1e-9
-        tile_of_two = (node, lo) != (other, hi)
-        allowed = side[:, None] != side[None, :] if tile_of_two else np.True_
-        a, b = np.nonzero(np.triu(linked & allowed, 1))
+        cut = int((side == 0).sum()) if lo != hi else 0
+        if lo != hi and cut in (0, len(sets)):  # the other side has no members
+            a = b = np.empty(0, dtype=np.int64)
+        else:
+            same = overlaps(sets, cut)
+            a, b = [], []
+            for i in range(len(same)):  # a row at a time, as the matrix may be large
+                linked = same[i] >= threshold * (size[i] + size[cut:] - same[i]) - 1e-9
+                j = np.flatnonzero(linked) + cut
+                j = j[j > i]
+                a.append(np.full(len(j), i))
+                b.append(j)
+            a, b = np.concatenate(a), np.concatenate(b)
         root = _roots(len(sets), a, b)
         pairs = zip(a.tolist(), b.tolist(), strict=True)
         if lo < 0:  # a small node
@@ -363,8 +387,8 @@ def _verify(threshold: float):
         links = np.bincount(a, copies[b], len(sets)) + np.bincount(b, copies[a], len(sets))
         return pa.table(
             {
-                "digest": pa.array(digests, pa.string()),
-                "root": pa.array([digests[r] for r in root], pa.string()),
+                "digest": pa.array(digests, pa.binary()),
+                "root": pa.array([digests[r] for r in root], pa.binary()),
                 "links": pa.array(links.astype(np.int64)),
             }
         )
@@ -373,39 +397,51 @@ def _verify(threshold: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(digest, root) of linked nodes, by alternating large and small stars."""
+    """(digest, root) of linked nodes, by alternating large and small stars.
+
+    The least neighbours are written before the joins, so that joins split at hubs.
+    """
     e = written(edges.filter("u <> v").select("u", "v").distinct(), "path-edges")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(low, "path-low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.filter("u <> v").distinct(), "path-large")
+        dropped(low)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(down.groupBy("u").agg(F.min("v").alias("m")), "path-low")
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v")))
         new = written(small.filter("u <> v").distinct(), "path-small")
         mark = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
-        if new.agg(*mark).first() == e.agg(*mark).first():
+        done = new.agg(*mark).first() == e.agg(*mark).first()
+        dropped(low, large, e)
+        if done:
             return new.select(F.col("u").alias("digest"), F.col("v").alias("root"))
         e = new
 
 
 def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(digest, s) of the wanted representatives, from the texts of their rows."""
-    rows = df.select(F.col(f"`{key}`").alias("id"), _hashed(df, text).alias("w"))
-    rows = rows.join(wanted.select("id").distinct(), "id", "left_semi") if wanted is not None else rows
+    """(digest, s) of the wanted representatives, from the texts of their rows.
+
+    Whole texts are dealt out, which are smaller than the hashes of their words.
+    """
+    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    if wanted is not None:
+        rows = rows.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi")
+    rows = rows.select(_hashed(rows, "text").alias("w"))
 
     def run(batches):
         for batch in batches:
             got = [shingles(w) for w in _rows(batch.column(0))]
             got = [s for s in got if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_digest(s) for s in got], pa.string()), pa.array([s.tobytes() for s in got], pa.binary())],
+                [pa.array([_digest(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())],
                 names=["digest", "s"],
             )
 
-    found = rows.select("w").mapInArrow(run, "digest string, s binary")
+    found = rows.mapInArrow(run, "digest binary, s binary")
     return found.dropDuplicates(["digest"])
 
 
@@ -417,44 +453,55 @@ def classes(
     reps = written(
         prints.filter("digest IS NOT NULL")
         .groupBy("digest")
-        .agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("short").alias("short")),
+        .agg(
+            F.count("*").alias("copies"),
+            F.min("id").alias("id"),
+            *(F.first(c).alias(c) for c in ("sig", "short", "size")),
+        ),
         "path-reps",
     )
+    ids = written(prints.select("id", "digest"), "path-ids")
+    dropped(prints)
     small, large = _buckets(reps, runs_for(recall), threshold)
     met = small.unionByName(large.select("digest", F.lit(None).cast("long").alias("node")).distinct())
     met = met.groupBy("digest").agg(F.collect_set("node").alias("nodes"))
     asked = written(met.join(reps.select("digest", "copies", "id"), "digest"), "path-asked")
-    # a representative whose rows all lack an id cannot be looked up by it
-    no_ids = not asked.filter("id IS NULL").isEmpty()
-    sets = asked.drop("id").join(_sets(df, key, text, None if no_ids else asked), "digest")
     one = F.lit(-1)
     tiles = small.select(
         "digest", F.col("node").alias("a"), F.col("node").alias("b"), one.alias("lo"), one.alias("hi"), F.lit(0).alias("side")
-    ).unionByName(_large_tiles(large))
+    ).unionByName(_large_tiles(large, reps))
+    tiles = written(tiles, "path-tiles")
+    slim = written(reps.select("digest", "copies", "id"), "path-slim")
+    dropped(reps, small, large)
+    # a representative whose rows all lack an id cannot be looked up by it
+    no_ids = not asked.filter("id IS NULL").isEmpty()
+    sets = written(_sets(df, key, text, None if no_ids else asked), "path-sets")
     found = (
-        tiles.join(sets, "digest")
+        tiles.join(asked.drop("id").join(sets, "digest"), "digest")
         .groupBy("a", "b", "lo", "hi")
-        .applyInArrow(_verify(threshold), "digest string, root string, links long")
+        .applyInArrow(_verify(threshold), "digest binary, root binary, links long")
     )
     found = written(found, "path-found")
+    dropped(tiles, asked, sets)
     roots = components(found.select(F.col("digest").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     known = (
-        reps.select("digest", "copies", "id")
-        .join(links, "digest", "left")
-        .join(roots, "digest", "left")
-        .withColumn("root", F.coalesce("root", "digest"))
+        slim.join(links, "digest", "left").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     )
     known = written(known, "path-known")
+    dropped(found, slim)
     first = known.groupBy("root").agg(F.min("id").alias("class_id"))
     named = known.join(first, "root").select(
         "digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    return prints.join(named, "digest", "left").select(
+    out = ids.join(named, "digest", "left").select(
         "id",
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+    out = written(out, "path-classes")
+    dropped(ids, known)
+    return out
 
 
 def join(df: DataFrame, key="doc_id", text="text", **options) -> DataFrame:
