@@ -75,7 +75,7 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 def parse_date(x: Column) -> Column:
     """The first of six day-first or ISO forms that fits; null where none does."""
-    x = F.trim(x)
+    x = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     got = F.coalesce(*(F.try_to_date(x, f) for f in DATE_FORMATS))
     short = x.rlike(r"[-/][0-9]{2}$") & ~x.rlike(r"^[0-9]{4}-")
     return F.when(short & (F.year(got) >= 2069), F.add_months(got, -1200)).otherwise(got)

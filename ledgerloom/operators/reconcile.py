@@ -74,9 +74,16 @@ def candidates(books: DataFrame, statement: DataFrame, tol=0, number_floor=NUMBE
     else:
         band = bb.join(gg, _same("doc_type", "gstin_norm", "taxable", *HEADS) & other_day)
     found = same_day.unionByName(_pair(band, *cols))
-    number = F.when(_same("strict"), F.lit(100.0)).otherwise(text.indel_ratio(F.col("b.loose"), F.col("g.loose")))
+    # a pair whose edit distance rules the floor out matters only if all else agrees
+    room = (1 - number_floor / 100.0) * (F.length("b.loose") + F.length("g.loose"))
+    near_enough = F.levenshtein("b.loose", "g.loose") <= room
+    else_fine = F.coalesce(_same("invoice_date"), F.lit(False)) & _near("taxable", tol) & _near("total", tol) & _heads_near(tol)
+    ratio = text.indel_ratio(F.col("b.loose"), F.col("g.loose"))
+    number = F.when(_same("strict"), F.lit(100.0)).when(near_enough | else_fine, ratio).otherwise(F.lit(0.0))
     # written once: the checks below name the similarity many times and it is not cheap
-    found = durable(found.withColumn("number_sim", number), "scored")
+    found = found.withColumn("number_sim", number)
+    possible = _same("strict") | (F.col("number_sim") >= number_floor) | else_fine
+    found = durable(found.filter(possible), "scored")
     date_ok = F.coalesce(_same("invoice_date"), F.lit(False))
     number_ok = _same("strict") | (F.col("number_sim") >= number_floor)
     checks = {

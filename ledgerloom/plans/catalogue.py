@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import findings, reconcile, retrieve
-from ..sources.durable import durable
-from . import derived
+from ..operators import chunk, evaluate, findings, reconcile, retrieve
+from ..sources import ledger, statement, writers
+from ..sources.durable import durable, shared
+from ..streaming import rollup
+from . import cases, derived
 
 BOOK_COLUMNS = ["ord", "doc_type", "gstin", "number", "invoice_date", "taxable", "igst", "cgst", "sgst", "cess"]
 
@@ -74,24 +79,110 @@ def _surplus(spark, sf_dir):
     return reconcile.numbered_copies(b).filter("copy_no > 1").select("ord", "number", F.col("copy_no").cast("long").alias("copy_no"))
 
 
+def _labelled(spark, sf_dir):
+    """(truth, (case_id, code) found, findings without a case) of the labelled cases."""
+    made = durable(cases.labelled(spark, sf_dir), "cases")
+    b, g = (durable(x, f"cases-{i}") for i, x in enumerate(cases.sides(made)))
+    found = findings.register(*reconcile.reconcile_full(b, g), b, g)
+    found = findings.described(found, b, g).withColumn("case_id", evaluate.case_id(F.col("b.number"), F.col("g.number")))
+    found = durable(found.select("case_id", "code", "evidence", "label"), "case-findings")
+    return cases.truth(made), found.filter("case_id IS NOT NULL").select("case_id", "code"), found.filter("case_id IS NULL")
+
+
 def _evaluation(spark, sf_dir):
-    """Per code: injected, reported and both, counted over documents by their stem."""
-    stem = F.floor(F.col("ord") / 8)
-    truth = derived.documents(spark, sf_dir, "books").unionByName(derived.documents(spark, sf_dir, "statement"))
-    truth = truth.filter("defect BETWEEN 1 AND 12").select(
-        stem.alias("stem"), F.format_string("EX-%02d", F.col("defect")).alias("code")
-    ).distinct().withColumn("t", F.lit(1))
-    got = _register(spark, sf_dir).select(F.floor(F.coalesce("b_ord", "g_ord") / 8).alias("stem"), "code").distinct().withColumn("a", F.lit(1))
-    both = truth.join(got, ["stem", "code"], "full")
-    return both.groupBy("code").agg(
-        F.count_if(F.col("t").isNotNull() & F.col("a").isNotNull()).alias("tp"),
-        F.count_if(F.col("t").isNull()).alias("fp"),
-        F.count_if(F.col("a").isNull()).alias("fn"),
+    truth, actual, _ = _labelled(spark, sf_dir)
+    return evaluate.by_code(truth, actual)
+
+
+def _clean(spark, sf_dir):
+    truth, actual, lost = _labelled(spark, sf_dir)
+    n = lost.agg(F.count("*").alias("unrecovered"))
+    return evaluate.clean(truth, actual).crossJoin(n)  # one row with one row
+
+
+def _described(spark, sf_dir):
+    full = _full(spark, sf_dir)
+    d = findings.described(findings.register(*full), *full[3:])
+    return d.select("b_ord", "g_ord", "label", "evidence")
+
+
+def _written_sides(spark, sf_dir):
+    b, g = _sides(spark, sf_dir)
+    folder = f"{shared(spark)}/samples-{uuid.uuid4().hex}"
+    writers.write_ledgers(b.withColumn("state", F.substring("gstin", 1, 2)), f"{folder}/books")
+    writers.write_statements(g, f"{folder}/statement")
+    return ledger.scan_ledgers(spark, f"{folder}/books"), statement.scan_statements(spark, f"{folder}/statement")
+
+
+def _ingested(side):
+    def run(spark, sf_dir):
+        return _written_sides(spark, sf_dir)[side].select(*[c for c in BOOK_COLUMNS if c != "ord"], "itc", "period", "problem")
+
+    return run
+
+
+def _statute(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").withColumn(
+        "r", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     )
+    k = F.expr("(r - 1) DIV 7")
+    heading = F.when((F.col("r") - 1) % 7 == 0, F.concat(F.lit("CHAPTER "), F.expr("repeat('X', CAST(1 + (r - 1) DIV 7 % 9 AS INT))"), F.lit("  OF PART "), k.cast("string"), F.lit(" \n")))
+    line = F.concat(
+        F.coalesce(heading, F.lit("")), F.lit(" "), (F.col("p_partkey") % 900 + 1).cast("string"), F.lit(". On "), "p_name",
+        F.lit(".  - (1) The "), "p_type", F.lit("\tis  supplied.\n\n(2) Of size "), F.col("p_size").cast("string"), F.lit(".\n"),
+    )
+    docs = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("r", line.alias("line")))).alias("x"))
+    docs = docs.select("p_brand", F.concat(F.lit("Contents\n"), F.array_join("x.line", "")).alias("text"))
+    c = chunk.provisions(docs, "p_brand", "text")
+    cite = chunk.citation(F.col("source_document"), F.col("section_number"), F.col("section_title"))
+    return c.select("source_document", "chapter", "section_number", "section_title", "text", "part", cite.alias("citation"))
+
+
+def _quotas(spark, sf_dir):
+    """Cases of each code where a share of the orders is clean: equal, the first codes one more."""
+    n = _read(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
+    codes = spark.createDataFrame([(i, c) for i, c in enumerate(findings.SEVERITY)], "i int, code string")
+    return codes.crossJoin(n).select("code", F.expr("n DIV 12 + IF(i < n % 12, 1, 0)").cast("long").alias("quota"))
+
+
+def _vouchers(spark, sf_dir):
+    kinds = F.array(*(F.lit(x) for x in ("Purchase", " CREDIT Note", "Debit note", "Credit against debit", "")))
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.get(kinds, (F.col("o_orderkey") % 6).cast("int")).alias("v"))
+    return o.select("o_orderkey", text.doc_type(F.col("v")).alias("doc_type"))
+
+
+def _nested(spark, sf_dir):
+    """Numbers of each supplier's documents in order, as one JSON text."""
+    b, _ = _sides(spark, sf_dir)
+    by = b.groupBy("gstin", "doc_type").agg(F.array_sort(F.collect_list(F.struct("ord", "number"))).alias("x"))
+    return by.select("gstin", "doc_type", F.size("x").cast("long").alias("n"), F.md5(F.to_json("x.number")).alias("numbers_md5"))
+
+
+def _tolerant(spark, sf_dir):
+    b, g = _sides(spark, sf_dir)
+    r = reconcile.reconcile_full(b, g, 5)[0]
+    return r.select(F.col("b.ord").alias("b_ord"), F.col("g.ord").alias("g_ord"), "category", F.array_join("mismatches", ",").alias("mismatches"))
+
+
+def _daily(spark, sf_dir):
+    """The rollup run as a stream over the file until it is read."""
+    path = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    folder = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    counted = rollup(source, "ts", "event_type", "value", late="3650 days")
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    done = counted.writeStream.outputMode("complete").foreachBatch(keep)
+    done.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    return got.select(F.col("window_start").cast("date").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def _validity(spark, sf_dir):
-    b = derived.documents(spark, sf_dir, "statement").select("gstin").distinct()
+    sides = [derived.documents(spark, sf_dir, s).select("gstin") for s in ("books", "statement")]
+    b = sides[0].unionByName(sides[1]).distinct()
     return b.select("gstin", text.is_valid_gstin(F.col("gstin")).alias("valid"), text.check_digit(F.col("gstin")).alias("digit"))
 
 
@@ -184,6 +275,16 @@ QUERIES = {
     "chunk_windows": _windows,
     "vector_topk": _topk(None),
     "vector_floor": _topk(retrieve.FLOOR),
+    "eval_clean_cases": _clean,
+    "finding_texts": _described,
+    "ingest_books": _ingested(0),
+    "ingest_statements": _ingested(1),
+    "statute_chunks": _statute,
+    "plan_quotas": _quotas,
+    "voucher_types": _vouchers,
+    "supplier_nested": _nested,
+    "tolerance_results": _tolerant,
+    "event_rollup": _daily,
 }
 
 
@@ -205,34 +306,42 @@ def _lcs_ratio(a: str, b: str) -> str:
     return f"(CASE WHEN {a} = {b} THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * {lcs} / (length({a}) + length({b})) END)"
 
 
-def _with(final: str) -> str:
-    s = derived.sides(_digit)
+def _folded() -> str:
+    """The pairs of a group that commit, best first, each document once."""
+    return """list_reduce(list({'e': [[b.ord, g.ord]], 'mb': [b.ord], 'mg': [g.ord]} ORDER BY r), lambda acc, x:
+    CASE WHEN list_contains(acc.mb, x.mb[1]) OR list_contains(acc.mg, x.mg[1]) THEN acc
+    ELSE {'e': list_concat(acc.e, x.e), 'mb': list_concat(acc.mb, x.mb), 'mg': list_concat(acc.mg, x.mg)} END).e"""
+
+
+def _with(final: str, tol: int = 0) -> str:
+    s = derived.sides()
+    heads = ("igst", "cgst", "sgst", "cess")
+    near = lambda c: f"abs(b.{c} - g.{c}) <= {tol}" if tol else f"b.{c} = g.{c}"
+    values = " AND ".join(near(c) for c in ("taxable", "total", *heads))
+    heads_near = " AND ".join(near(c) for c in heads)
     key = "partition by upper(trim(gstin)), doc_type, upper(trim(number)) order by ord"
     return f"""
-WITH base AS ({derived.BASE}), shaped AS ({derived.SHAPED}), books AS ({s["books"]}), statement AS ({s["statement"]}),
+WITH base AS ({derived.BASE}), who AS ({derived.suppliers(_digit)}), shaped AS ({derived.SHAPED}), books AS ({s["books"]}), statement AS ({s["statement"]}),
 bk AS (SELECT *, igst + cgst + sgst + cess AS total, row_number() OVER ({key}) AS copy_no, regexp_replace(number, '[^A-Z0-9]', '', 'g') AS loose FROM books),
 gk AS (SELECT *, igst + cgst + sgst + cess AS total, row_number() OVER ({key}) AS copy_no, regexp_replace(number, '[^A-Z0-9]', '', 'g') AS loose FROM statement),
 b1 AS (SELECT * FROM bk WHERE copy_no = 1), g1 AS (SELECT * FROM gk WHERE copy_no = 1),
 pairs AS (SELECT b, g FROM b1 b JOIN g1 g ON b.doc_type = g.doc_type AND b.gstin = g.gstin AND b.invoice_date = g.invoice_date
-  UNION ALL SELECT b, g FROM b1 b JOIN g1 g ON b.doc_type = g.doc_type AND b.gstin = g.gstin AND b.taxable = g.taxable AND b.igst = g.igst
-    AND b.cgst = g.cgst AND b.sgst = g.sgst AND b.cess = g.cess AND b.invoice_date <> g.invoice_date),
+  UNION ALL SELECT b, g FROM b1 b JOIN g1 g ON b.doc_type = g.doc_type AND b.gstin = g.gstin AND {values} AND b.invoice_date <> g.invoice_date),
 scored AS (SELECT b, g, CASE WHEN b.number = g.number THEN 100.0::DOUBLE ELSE {_lcs_ratio("b.loose", "g.loose")} END AS nsim FROM pairs),
 checked AS (SELECT b, g, nsim, (b.number = g.number OR nsim >= 88) AS nok, b.invoice_date = g.invoice_date AS dok,
   list_filter([CASE WHEN NOT (b.number = g.number OR nsim >= 88) THEN 'doc_number' END, CASE WHEN b.invoice_date <> g.invoice_date THEN 'document_date' END,
-    CASE WHEN b.taxable <> g.taxable THEN 'taxable_value' END, CASE WHEN b.total <> g.total THEN 'total_tax' END,
-    CASE WHEN b.igst <> g.igst OR b.cgst <> g.cgst OR b.sgst <> g.sgst OR b.cess <> g.cess THEN 'head_wise' END], lambda x: x IS NOT NULL) AS wrong FROM scored),
+    CASE WHEN NOT ({near('taxable')}) THEN 'taxable_value' END, CASE WHEN NOT ({near('total')}) THEN 'total_tax' END,
+    CASE WHEN NOT ({heads_near}) THEN 'head_wise' END], lambda x: x IS NOT NULL) AS wrong FROM scored),
 anchored AS (SELECT b, g, CASE WHEN len(wrong) = 0 THEN 'EXACT' WHEN NOT nok AND NOT dok THEN NULL WHEN len(wrong) = 1 THEN 'PARTIAL'
     WHEN nok AND dok THEN 'UNMATCHED' END AS category, array_to_string(wrong, ',') AS mismatches, 5 - len(wrong) AS n_ok, nsim + 100 AS similarity FROM checked),
 relaxed AS (SELECT b, g, {_lcs_ratio("b.gstin", "g.gstin")} AS gsim FROM b1 b JOIN g1 g ON b.doc_type = g.doc_type AND b.number = g.number
-    AND b.invoice_date = g.invoice_date AND b.gstin <> g.gstin AND b.taxable = g.taxable AND b.igst = g.igst AND b.cgst = g.cgst AND b.sgst = g.sgst AND b.cess = g.cess),
+    AND b.invoice_date = g.invoice_date AND b.gstin <> g.gstin AND {values}),
 cands AS (SELECT b, g, category, mismatches, n_ok, similarity FROM anchored WHERE category IS NOT NULL
   UNION ALL SELECT b, g, 'PROBABLE', 'gstin', 5, gsim + 100 FROM relaxed WHERE gsim >= 85),
-ranked AS (SELECT *, row_number() OVER (ORDER BY CASE category WHEN 'EXACT' THEN 0 WHEN 'PARTIAL' THEN 1 WHEN 'UNMATCHED' THEN 2 ELSE 3 END, -n_ok, -similarity, b.ord, g.ord) AS r,
-  count(*) OVER (PARTITION BY b.ord) AS nb, count(*) OVER (PARTITION BY g.ord) AS ng FROM cands),
-folded AS (SELECT list_reduce(list({{'e': [[b.ord, g.ord]], 'mb': [b.ord], 'mg': [g.ord]}} ORDER BY r), lambda acc, x:
-    CASE WHEN list_contains(acc.mb, x.mb[1]) OR list_contains(acc.mg, x.mg[1]) THEN acc
-    ELSE {{'e': list_concat(acc.e, x.e), 'mb': list_concat(acc.mb, x.mb), 'mg': list_concat(acc.mg, x.mg)}} END).e AS e FROM ranked WHERE nb > 1 OR ng > 1),
-won AS (SELECT x[1] AS wb, x[2] AS wg FROM (SELECT unnest(e) AS x FROM folded) UNION ALL SELECT b.ord, g.ord FROM ranked WHERE nb = 1 AND ng = 1),
+ranked AS (SELECT *, row_number() OVER (ORDER BY CASE category WHEN 'EXACT' THEN 0 WHEN 'PARTIAL' THEN 1 WHEN 'UNMATCHED' THEN 2 ELSE 3 END, -n_ok, -similarity, b.ord, g.ord) AS r FROM cands),
+first_won AS (SELECT x[1] AS wb, x[2] AS wg FROM (SELECT unnest({_folded()}) AS x FROM ranked WHERE category <> 'PROBABLE' GROUP BY b.doc_type, b.gstin)),
+rest AS (SELECT * FROM ranked WHERE category = 'PROBABLE' AND b.ord NOT IN (SELECT wb FROM first_won) AND g.ord NOT IN (SELECT wg FROM first_won)),
+won AS (SELECT * FROM first_won UNION ALL SELECT x[1], x[2] FROM (SELECT unnest({_folded()}) AS x FROM rest GROUP BY b.doc_type, b.number, b.invoice_date)),
 results AS (SELECT b, g, category, mismatches FROM cands JOIN won ON b.ord = wb AND g.ord = wg
   UNION ALL SELECT b1, NULL, 'IN_BOOKS_NOT_2B', '' FROM b1 WHERE ord NOT IN (SELECT wb FROM won)
   UNION ALL SELECT NULL, g1, 'IN_2B_NOT_BOOKS', '' FROM g1 WHERE ord NOT IN (SELECT wg FROM won)),
@@ -248,7 +357,9 @@ register AS (
   UNION ALL SELECT b.ord, g.ord, 'EX-07', 0 FROM results WHERE contains(mismatches, 'doc_number')
   UNION ALL SELECT b.ord, g.ord, 'EX-09', b.total FROM results WHERE b.ord IS NOT NULL AND g.itc = 'N' AND b.doc_type <> 'credit_note'
   UNION ALL SELECT b.ord, g.ord, 'EX-08', 0 FROM results WHERE b.ord IS NOT NULL AND g.period <> strftime(g.invoice_date, '%m%Y')
-  UNION ALL SELECT ord, NULL, 'EX-10', total FROM bk WHERE copy_no > 1 UNION ALL SELECT NULL, ord, 'EX-10', total FROM gk WHERE copy_no > 1),
+  UNION ALL SELECT ord, NULL, 'EX-10', total FROM bk WHERE copy_no > 1 UNION ALL SELECT NULL, ord, 'EX-10', total FROM gk WHERE copy_no > 1
+  UNION ALL SELECT ord, NULL, 'EX-06', CASE WHEN doc_type = 'credit_note' THEN 0 ELSE total END FROM bk WHERE gstin IN (SELECT bad FROM who)
+  UNION ALL SELECT NULL, ord, 'EX-06', CASE WHEN doc_type = 'credit_note' THEN 0 ELSE total END FROM gk WHERE gstin IN (SELECT bad FROM who)),
 named AS (SELECT b_ord, g_ord, code, CASE WHEN code IN ('EX-02', 'EX-07', 'EX-08', 'EX-12') THEN 'low' WHEN code IN ('EX-03', 'EX-05') THEN 'medium' ELSE 'high' END AS severity,
   CAST(itc_at_risk AS DECIMAL(18,2)) AS itc_at_risk FROM register),
 signed AS (SELECT 'books_only' AS line, CASE WHEN b.doc_type = 'credit_note' THEN b.total ELSE -b.total END AS amount FROM results WHERE category = 'IN_BOOKS_NOT_2B'
@@ -267,6 +378,29 @@ WITH p AS (SELECT q.vec_id AS query_id, x.vec_id AS point_id, round(list_cosine_
   FROM embeddings q, embeddings x WHERE q.vec_id % 100 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank, point_id, score FROM p {} QUALIFY rank <= 5"""
 
+_TEXTS = """SELECT b_ord, g_ord, code || ': ' || CASE code WHEN 'EX-01' THEN 'In books, not in GSTR-2B' WHEN 'EX-02' THEN 'In GSTR-2B, not in books'
+  WHEN 'EX-03' THEN 'Taxable value mismatch' WHEN 'EX-04' THEN 'Tax amount mismatch' WHEN 'EX-05' THEN 'Tax head mismatch (total agrees, head-wise split doesn''t)'
+  WHEN 'EX-06' THEN 'GSTIN invalid or mismatched' || CASE WHEN b_ord IS NULL OR g_ord IS NULL THEN ' (structurally invalid GSTIN)' ELSE '' END
+  WHEN 'EX-07' THEN 'Invoice number variance' WHEN 'EX-08' THEN 'Period timing difference' WHEN 'EX-09' THEN 'ITC flagged unavailable in 2B but claimed in books'
+  WHEN 'EX-10' THEN 'Duplicate booking' WHEN 'EX-11' THEN 'Credit note in 2B with no reversal in books' ELSE 'Credit note booked but not yet reflected in 2B' END AS label,
+  CASE WHEN code IN ('EX-01', 'EX-12') THEN 'books=' || b_ord WHEN code IN ('EX-02', 'EX-11') THEN 'gstr2b=' || g_ord
+  WHEN code = 'EX-06' AND b_ord IS NOT NULL AND g_ord IS NOT NULL THEN b.gstin || ' vs ' || g.gstin
+  WHEN code = 'EX-06' THEN 'invalid_gstin=' || chr(39) || coalesce(b.gstin, g.gstin) || chr(39) || ' at ' || coalesce(b_ord, g_ord)
+  WHEN code = 'EX-03' THEN b.taxable || ' vs ' || g.taxable WHEN code = 'EX-04' THEN b.total || ' vs ' || g.total
+  WHEN code = 'EX-05' THEN concat_ws('/', b.igst, b.cgst, b.sgst, b.cess) || ' vs ' || concat_ws('/', g.igst, g.cgst, g.sgst, g.cess)
+  WHEN code = 'EX-07' THEN b.number || ' vs ' || g.number WHEN code = 'EX-08' THEN 'invoice month=' || strftime(g.invoice_date, '%m%Y') || ' return_period=' || g.period
+  WHEN code = 'EX-09' THEN '2b itc_availability=N for ' || g_ord
+  ELSE 'duplicate of ' || concat_ws('|', coalesce(b.gstin, g.gstin), coalesce(b.doc_type, g.doc_type), coalesce(b.number, g.number)) || ' at ' || coalesce(b_ord, g_ord) END AS evidence
+FROM named LEFT JOIN bk b ON b.ord = b_ord LEFT JOIN gk g ON g.ord = g_ord"""
+
+_STATUTE = """
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+h AS (SELECT *, (r - 1) // 7 AS k, r // 7 AS k2, CAST(p_partkey % 900 + 1 AS STRING) AS number FROM p)
+SELECT p_brand AS source_document, 'Chapter ' || repeat('X', CAST(1 + k % 9 AS BIGINT)) || ': OF PART ' || k AS chapter, number AS section_number,
+  'On ' || p_name AS section_title, 'On ' || p_name || '. (1) The ' || p_type || ' is supplied.' || chr(10) || chr(10) || '(2) Of size ' || p_size || '.'
+  || CASE WHEN r % 7 = 0 AND r < n THEN chr(10) || 'CHAPTER ' || repeat('X', CAST(1 + k2 % 9 AS BIGINT)) || ' OF PART ' || k2 ELSE '' END AS text,
+  CAST(NULL AS INTEGER) AS part, p_brand || ', Section ' || number || ' (On ' || p_name || ')' AS citation FROM h"""
+
 ORACLES = {
     "match_category_counts": _with("SELECT category, count(*) AS n FROM results GROUP BY 1"),
     "match_results": _with("SELECT b.ord AS b_ord, g.ord AS g_ord, category, mismatches FROM results"),
@@ -287,12 +421,18 @@ ORACLES = {
         "CAST(sum(CASE WHEN itc = 'N' THEN total ELSE 0 END) AS DECIMAL(18,2)) AS blocked FROM gk)"
     ),
     "supplier_rollup": _with("SELECT gstin, count(*) AS n, CAST(sum(taxable) AS DECIMAL(18,2)) AS taxable, CAST(sum(total) AS DECIMAL(18,2)) AS tax FROM bk GROUP BY 1"),
-    "eval_precision_recall": _with(
-        "SELECT code, count(t) FILTER (a IS NOT NULL) AS tp, count(*) FILTER (t IS NULL) AS fp, count(*) FILTER (a IS NULL) AS fn FROM "
-        "(SELECT DISTINCT ord // 8 AS stem, 'EX-' || lpad(CAST(defect AS STRING), 2, '0') AS code, 1 AS t FROM (SELECT ord, defect FROM books UNION ALL SELECT ord, defect FROM statement) WHERE defect BETWEEN 1 AND 12) "
-        "FULL JOIN (SELECT DISTINCT coalesce(b_ord, g_ord) // 8 AS stem, code, 1 AS a FROM named) USING (stem, code) GROUP BY code"
-    ),
-    "gstin_validity": _with(f"SELECT DISTINCT gstin, {_digit('gstin')} = substr(gstin, 15, 1) AS valid, {_digit('gstin')} AS digit FROM statement"),
+    "eval_precision_recall": f"SELECT 'EX-' || lpad(CAST(code AS STRING), 2, '0') AS code, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM (SELECT CASE WHEN o_orderkey % 18 = 13 THEN 6 ELSE o_orderkey % 18 END AS code FROM orders) WHERE code BETWEEN 1 AND 12 GROUP BY 1",
+    "eval_clean_cases": "SELECT count(*) AS clean_cases, CAST(0 AS BIGINT) AS false_positives, CAST(0 AS BIGINT) AS unrecovered FROM orders WHERE o_orderkey % 18 NOT BETWEEN 1 AND 13",
+    "finding_texts": _with(_TEXTS),
+    "ingest_books": _with(f"SELECT {', '.join(c for c in BOOK_COLUMNS if c != 'ord')}, CAST(NULL AS STRING) AS itc, CAST(NULL AS STRING) AS period, CAST(NULL AS STRING) AS problem FROM books"),
+    "ingest_statements": _with(f"SELECT {', '.join(c for c in BOOK_COLUMNS if c != 'ord')}, itc, period, CAST(NULL AS STRING) AS problem FROM statement"),
+    "statute_chunks": _STATUTE,
+    "plan_quotas": "SELECT 'EX-' || lpad(CAST(i AS STRING), 2, '0') AS code, (SELECT count(*) FROM orders) // 12 + CASE WHEN i <= (SELECT count(*) FROM orders) % 12 THEN 1 ELSE 0 END AS quota FROM range(1, 13) t(i)",
+    "voucher_types": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 3) THEN 'credit_note' WHEN o_orderkey % 6 = 2 THEN 'debit_note' ELSE 'invoice' END AS doc_type FROM orders",
+    "supplier_nested": _with("SELECT gstin, doc_type, count(*) AS n, md5('[' || string_agg('\"' || number || '\"', ',' ORDER BY ord, number) || ']') AS numbers_md5 FROM books GROUP BY 1, 2"),
+    "tolerance_results": _with("SELECT b.ord AS b_ord, g.ord AS g_ord, category, mismatches FROM results", 5),
+    "event_rollup": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "gstin_validity": _with(f"SELECT DISTINCT gstin, {_digit('gstin')} = substr(gstin, 15, 1) AS valid, {_digit('gstin')} AS digit FROM (SELECT gstin FROM books UNION ALL SELECT gstin FROM statement)"),
     "invoice_keys": "SELECT o_orderkey, 'INV/00-' || o_orderkey AS strict, 'INV00' || o_orderkey AS loose FROM orders",
     "parse_amounts": "SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN -CAST(o_totalprice AS DECIMAL(18,2)) WHEN 1 THEN CAST('1' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS DECIMAL(18,2)) ELSE 0 END AS DECIMAL(18,2)) AS amount FROM orders",
     "parse_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed FROM orders",

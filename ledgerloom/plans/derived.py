@@ -1,7 +1,7 @@
 """Both sides of a reconciliation derived from the order tables, with one injected defect class each.
 
 The class of a document is (31 * orderkey + 7 * suppkey) % 24: 1 to 12 name the
-exception it should raise, everything else is clean.
+exception it should raise, 13 an invalid registration number, everything else is clean.
 """
 
 from __future__ import annotations
@@ -24,36 +24,46 @@ FROM lineitem GROUP BY l_orderkey, l_suppkey, l_returnflag
 SHAPED = """
 SELECT (stem * 8 + CASE flag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END) AS ord, okey, defect, invoice_date, taxable,
        CASE flag WHEN 'N' THEN 'invoice' WHEN 'R' THEN 'credit_note' ELSE 'debit_note' END AS doc_type,
-       lpad(CAST(s_nationkey + 1 AS STRING), 2, '0') AS state, lpad(CAST(skey AS STRING), 4, '0') AS who,
-       CASE WHEN s_nationkey = c_nationkey THEN CAST(0 AS DECIMAL(18,2)) ELSE tax END AS igst,
-       CASE WHEN s_nationkey = c_nationkey THEN CAST(round(tax * CAST(0.5 AS DECIMAL(2,1)), 2) AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS cgst,
-       CASE WHEN s_nationkey = c_nationkey THEN CAST(tax - round(tax * CAST(0.5 AS DECIMAL(2,1)), 2) AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS sgst,
+       CASE WHEN defect = 13 THEN bad ELSE good END AS own, near,
+       CASE WHEN w_nation = c_nationkey THEN CAST(0 AS DECIMAL(18,2)) ELSE tax END AS igst,
+       CASE WHEN w_nation = c_nationkey THEN CAST(round(tax * CAST(0.5 AS DECIMAL(2,1)), 2) AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS cgst,
+       CASE WHEN w_nation = c_nationkey THEN CAST(tax - round(tax * CAST(0.5 AS DECIMAL(2,1)), 2) AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS sgst,
        CAST(0 AS DECIMAL(18,2)) AS cess
-FROM base JOIN orders ON o_orderkey = okey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = skey
+FROM base JOIN orders ON o_orderkey = okey JOIN customer ON c_custkey = o_custkey JOIN who ON w_key = skey
 """
 
 
-def sides(check) -> dict[str, str]:
-    """SQL of both sides; ``check(expr)`` is the dialect's check digit of 14 characters."""
+def suppliers(check) -> str:
+    """SQL of the registration numbers of each supplier: good, one letter off, and with a wrong check digit."""
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ0"
 
-    def gstin(letters: str) -> str:
-        body = f"state || '{letters}' || who || 'A1Z'"
-        return f"({body} || {check('(' + body + ')')})"
+    def body(letters: str) -> str:
+        return f"(lpad(CAST(s_nationkey + 1 AS STRING), 2, '0') || '{letters}' || lpad(CAST(s_suppkey AS STRING), 4, '0') || 'A1Z')"
 
-    number = "'INV/' || lpad(CAST({} AS STRING), 6, '0')"
+    good, near = body("AAAPA"), body("AABPA")
+    wrong = f"substr('{alphabet}', CAST(1 + instr('{alphabet}', {check(good)}) AS INT), 1)"
+    return (
+        f"SELECT s_suppkey AS w_key, s_nationkey AS w_nation, {good} || {check(good)} AS good, "
+        f"{near} || {check(near)} AS near, {good} || {wrong} AS bad FROM supplier"
+    )
+
+
+def sides() -> dict[str, str]:
+    """SQL of both sides, in words that both dialects know."""
+    number = "'INV/' || lpad(CAST(okey AS STRING), 6, '0')"
     heads = "taxable, igst, cgst, sgst, cess"
     none = "CAST(NULL AS STRING)"
     keep = "defect NOT IN (2, 11)"
     books = (
-        f"SELECT ord, doc_type, {gstin('AAAPA')} AS gstin, {number.format('okey')} AS number, invoice_date, {heads}, "
+        f"SELECT ord, doc_type, own AS gstin, {number} AS number, invoice_date, {heads}, "
         f"{none} AS itc, {none} AS period, defect FROM shaped WHERE {keep}"
     )
     books += " UNION ALL " + books.replace("SELECT ord,", "SELECT ord + 1 AS ord,", 1).replace(keep, "defect = 10")
     period = "lpad(CAST(month({0}) AS STRING), 2, '0') || CAST(year({0}) AS STRING)"
     late = period.format("invoice_date").replace("month(invoice_date)", "(month(invoice_date) % 12 + 1)")
     statement = (
-        f"SELECT ord, doc_type, CASE WHEN defect = 6 THEN {gstin('AABPA')} ELSE {gstin('AAAPA')} END AS gstin, "
-        f"CASE WHEN defect = 7 THEN {number.format('okey')} || '/X' ELSE {number.format('okey')} END AS number, invoice_date, "
+        "SELECT ord, doc_type, CASE WHEN defect = 6 THEN near ELSE own END AS gstin, "
+        f"CASE WHEN defect = 7 THEN 'BILL/' || CAST(okey AS STRING) ELSE {number} END AS number, invoice_date, "
         "CASE WHEN defect = 3 THEN CAST(taxable + 10 AS DECIMAL(18,2)) ELSE taxable END AS taxable, "
         "CASE WHEN defect = 4 THEN CAST(igst + 5 AS DECIMAL(18,2)) ELSE igst END AS igst, "
         "CASE WHEN defect = 5 THEN CAST(cgst + 1 AS DECIMAL(18,2)) ELSE cgst END AS cgst, "
@@ -68,8 +78,9 @@ def documents(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """``books`` or ``statement`` over the tables of ``sf_dir``."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     base = spark.sql(BASE.replace("FROM lineitem", "FROM {lineitem}"), lineitem=frames["lineitem"])
+    who = spark.sql(suppliers(check_digit_sql).replace("FROM supplier", "FROM {supplier}"), supplier=frames["supplier"])
     shaped = SHAPED.replace("FROM base", "FROM {base}")
-    for t in TABLES[1:]:
+    for t in ("orders", "customer", "who"):
         shaped = shaped.replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-    shaped = spark.sql(shaped, base=base, **{t: frames[t] for t in TABLES[1:]})
-    return spark.sql(sides(check_digit_sql)[side].replace("FROM shaped", "FROM {shaped}"), shaped=shaped)
+    shaped = spark.sql(shaped, base=base, who=who, orders=frames["orders"], customer=frames["customer"])
+    return spark.sql(sides()[side].replace("FROM shaped", "FROM {shaped}"), shaped=shaped)

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session sets no spark.checkpoint.dir, as in local tests.
 LOCAL_FOLDER = "/tmp/checkpoints/ledgerloom"
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` and read it back: a short plan that outlives lost executors."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1 +1,5 @@
+"""Streams of documents: files as they arrive, and rollups over event time."""
 
+from .documents import rollup, watch_statements
+
+__all__ = ["rollup", "watch_statements"]
