@@ -20,6 +20,7 @@ Defined results
       its furniture stays, its content does not go.
     * character references are decoded within one run of text, never across tags.
     * unclosed and cut-off markup is closed where HTML would close it.
+    * elements nested more than MAX_DEPTH deep are put side by side at that depth.
     * repeated rows give repeated results; extra columns are ignored.
 """
 
@@ -42,6 +43,8 @@ SAME_SHARE = 0.9
 SALT = 32
 #: Texts counted for each node. A text that all but a share x of the pages have is undercounted by x / 64 at most.
 TEXTS = 64
+#: Elements nest this deep at most, as browsers bound it too; deeper ones are siblings, their text stays in place.
+MAX_DEPTH = 256
 #: Nodes of partial templates that a task holds before it hands them on.
 HELD_NODES = 200_000
 
@@ -130,13 +133,16 @@ def parse(source: str) -> Node:
     """A DOM tree good enough for text: implied ends, void and raw-text elements, cut-off input."""
     root = Node("#root", "#root")
     stack, at, n = [root], 0, len(source)
+    deep: list[Node] = []  # open elements below MAX_DEPTH
+    hidden = 0  # how many of them are furniture
     find = _TOKEN.search
     while at < n:
         m = find(source, at)
         if m is None:
-            stack[-1].kids.append(source[at:])
+            if not hidden:
+                stack[-1].kids.append(source[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not hidden:
             stack[-1].kids.append(source[at : m.start()])
         at = m.end()
         tag = m.group(2)
@@ -145,7 +151,17 @@ def parse(source: str) -> Node:
         tag = tag.lower()
         if m.group(4) == "":  # cut off inside a tag
             break
+        if m.group(1) and any(x.tag == tag for x in deep):
+            while True:
+                x = deep.pop()
+                hidden -= x.drop or x.word
+                if x.tag == tag:
+                    break
+            if tag in BLOCK:
+                stack[-1].kids.append(Node(tag, tag))
+            continue
         if m.group(1):
+            deep, hidden = [], 0
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -153,9 +169,9 @@ def parse(source: str) -> Node:
                 if tag not in BLOCK and stack[i].tag in BLOCK:
                     break
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and not deep:
             _close(stack, {"p"}, BLOCK - {"p"})
-        if tag in IMPLIED_END:
+        if tag in IMPLIED_END and not deep:
             _close(stack, IMPLIED_END[tag], SCOPE)
         node = _judged(tag, m.group(3))
         stack[-1].kids.append(node)
@@ -164,10 +180,12 @@ def parse(source: str) -> Node:
             if tag in ("title", "textarea"):
                 node.kids.append(source[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not m.group(3).endswith("/"):
-            stack.append(node)
-        elif tag not in VOID and tag in BLOCK:
-            stack.append(node)
+        elif tag not in VOID and (tag in BLOCK or not m.group(3).endswith("/")):
+            if len(stack) < MAX_DEPTH:
+                stack.append(node)
+            else:
+                deep.append(node)
+                hidden += node.drop or node.word
     _settled(root)
     return root
 
