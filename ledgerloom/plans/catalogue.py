@@ -166,8 +166,8 @@ def _tolerant(spark, sf_dir):
 
 def _daily(spark, sf_dir):
     """The rollup run as a stream over the file until it is read."""
-    path = f"{sf_dir}/events.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    kinds = _read(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(kinds).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     folder = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     counted = rollup(source, "ts", "event_type", "value", late="3650 days")
 
