@@ -151,7 +151,7 @@ def parse(source: str) -> Node:
         tag = tag.lower()
         if m.group(4) == "":  # cut off inside a tag
             break
-        if m.group(1) and any(x.tag == tag for x in deep):
+        if m.group(1) and any(x.tag == tag for x in reversed(deep)):
             while True:
                 x = deep.pop()
                 hidden -= x.drop or x.word
