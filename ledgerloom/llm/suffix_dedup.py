@@ -5,8 +5,9 @@ hash, so equal strings have equal anchors at the same place. Consecutive strings
 of a document with one anchor form a context. A first pass emits anchors only;
 those seen under one document id are dropped after a pre-aggregation. A second
 pass cuts the contexts of the anchors that are left. Equal contexts are one row
-with their least document id. Shards of distinct contexts get a suffix array by
-induced sorting: suffixes are classified, the leftmost-smaller substrings are
+with their least document id. Contexts are cut to the
+strings that another context of their anchor may hold. Shards of them get a
+suffix array by induced sorting: suffixes are classified, the leftmost-smaller substrings are
 sorted (recursively where they repeat), and the array is induced linearly.
 Permuted common prefixes cut the array into groups of suffixes that share 50
 bytes; the least document id of a group says who may keep the string.
@@ -374,34 +375,61 @@ def _emit_contexts(batches):
             )
 
 
+def _reach(data, begin, size, anchor, origin, step):
+    """Per context, how many bytes from ``origin`` on (``step`` 1) or back (-1) it shares with another of its anchor."""
+    keys = np.zeros((len(begin), 8 + LENGTH), dtype=np.uint8)
+    keys[:, :8] = anchor.astype(">i8").view(np.uint8).reshape(-1, 8)
+    room = np.minimum(begin + size - origin if step > 0 else origin - begin + 1, LENGTH)
+    for j in range(LENGTH):
+        some = np.flatnonzero(room > j)
+        keys[some, 8 + j] = data[origin[some] + step * j]
+    order = np.argsort(keys.view(f"V{8 + LENGTH}").ravel(), kind="stable")
+    keys, room = keys[order], room[order]
+    equal = keys[1:] == keys[:-1]
+    shared = np.where(equal.all(axis=1), LENGTH, equal.argmin(axis=1) - 8)  # neighbours in this order share most
+    shared = np.maximum(np.minimum(shared, np.minimum(room[1:], room[:-1])), 0)
+    out = np.zeros(len(begin), dtype=np.int64)
+    out[order[1:]] = shared
+    out[order[:-1]] = np.maximum(out[order[:-1]], shared)
+    return out
+
+
 def _sort_shard(table):
     """(anchor, ck, lo, hi, owner): per context its runs of strings with one least owner.
 
-    A context that is its anchor's only one has nothing to be sorted against.
+    A context is cut to the strings whose bytes before and after the gram may
+    each occur in another context of its anchor: no other string can be equal to
+    one there. What is left is sorted.
     """
     anchor = table.column("anchor").to_numpy()
     ck, owner = table.column("ck").to_numpy(), table.column("owner").to_numpy()
     context = table.column("context").combine_chunks().cast(pa.large_binary())
     offsets = np.frombuffer(context.buffers()[1], dtype=np.int64)[context.offset : context.offset + len(context) + 1]
     data = np.frombuffer(context.buffers()[2], dtype=np.uint8)
-    _, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
-    places = np.diff(offsets) - LENGTH + 1
+    size = np.diff(offsets)
+    places = size - LENGTH + 1
     begin = np.cumsum(places) - places
     low = np.repeat(owner, places)
-    many = np.flatnonzero(times[which] > 1)
+    gram = table.column("place").to_numpy().astype(np.int64)  # where it begins in the context
+    after = _reach(data, offsets[:-1], size, anchor, offsets[:-1] + gram, 1)
+    before = _reach(data, offsets[:-1], size, anchor, offsets[:-1] + gram + GRAM - 1, -1) - GRAM
+    # strings by where they begin
+    first = np.maximum(0, gram - before)
+    last = np.minimum(places - 1, gram + after - LENGTH)
+    many = np.flatnonzero((before >= 0) & (first <= last))
     if len(many):
-        size = np.diff(offsets)[many]
+        first, size = first[many], (last - first)[many] + LENGTH
         ends = np.cumsum(size)
-        at = np.repeat(offsets[:-1][many] - (ends - size), size) + np.arange(ends[-1])
+        at = np.repeat(offsets[:-1][many] + first - (ends - size), size) + np.arange(ends[-1])
         best, n = least_owner(data[at], ends, owner[many])
-        low[np.repeat(begin[many] - (np.cumsum(n) - n), n) + np.arange(len(best))] = best
+        low[np.repeat((begin[many] + first) - (np.cumsum(n) - n), n) + np.arange(len(best))] = best
     new = np.ones(len(low), dtype=bool)  # a run of places with one owner begins
     new[1:] = low[1:] != low[:-1]
     new[begin] = True
     edge = np.flatnonzero(new)
     row = np.searchsorted(begin, edge, side="right") - 1
-    after = np.append(edge[1:], len(low))
-    lists = {"anchor": anchor[row], "ck": ck[row], "lo": edge - begin[row], "hi": after - begin[row], "owner": low[edge]}
+    end = np.append(edge[1:], len(low))
+    lists = {"anchor": anchor[row], "ck": ck[row], "lo": edge - begin[row], "hi": end - begin[row], "owner": low[edge]}
     return pa.table(lists)
 
 
@@ -448,7 +476,8 @@ def _found_and_distinct(found: DataFrame):
     """
     parts, distinct, used = [found], [], []
     while True:
-        d = written(found.groupBy("anchor", "context").agg(F.min("id").alias("owner")), "suffix-distinct")
+        d = found.groupBy("anchor", "context").agg(F.min("id").alias("owner"), F.min("place").alias("place"))
+        d = written(d, "suffix-distinct")
         used.append(d)
         hot = d.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_ABOVE).select("anchor")
         hot = written(hot, "suffix-hot")
@@ -486,9 +515,9 @@ def spans(df: DataFrame, key: str, text: str) -> DataFrame:
     found = written(found, "suffix-contexts")
     dropped(wanted)
     parts, distinct, used = _found_and_distinct(found)
-    contexts = _all(distinct, "anchor", "context", "owner")
+    contexts = _all(distinct, "anchor", "context", "owner", "place")
     shards = max(1, -(-contexts.count() // SHARD_CONTEXTS))
-    keyed = contexts.select("anchor", F.xxhash64("context").alias("ck"), "context", "owner")
+    keyed = contexts.select("anchor", F.xxhash64("context").alias("ck"), "context", "owner", "place")
     low = keyed.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(
         _sort_shard, "anchor long, ck long, lo long, hi long, owner long"
     )
