@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each on all its predecessor kept."""
 
 from ledgerloom.llm import byte_bpe, chosen_path, quality_rules, source_mix, suffix_dedup
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import dropped, written
 
 
 def keep_quality(spark, docs, sf_dir):
@@ -40,7 +40,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
