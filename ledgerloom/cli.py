@@ -70,7 +70,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         tolerance = Decimal(args.tax_tolerance)
         for path in (args.books, args.statement):
-            open(path, "rb").close()
+            with open(path, "rb") as f:
+                if not f.read(1):  # Spark does not list files of no bytes
+                    raise SchemaMismatchError(f"{path} is empty")
         got = working_paper(spark, args.books, args.statement, args.output, tolerance)
     except (SchemaMismatchError, InvalidOperation, FileNotFoundError) as problem:
         print(f"Input format error: {problem}", file=sys.stderr)
