@@ -56,7 +56,10 @@ def near_copies(rnd, n, length=120):
 
 @pytest.mark.parametrize("tile", [256, 8])
 def test_equals_brute_force(spark, monkeypatch, tile):
-    """Small leaves, and with tile 8 groups dealt over tiles; null ids, repeated rows and short texts."""
+    """Small leaves, and with tile 8 groups dealt over tiles; null ids, repeated rows and short texts.
+
+    Classes are exact, no link is made up, and no more are lost than the target recall of 0.999 lets go.
+    """
     monkeypatch.setattr(chosen_path, "TILE", tile)
     monkeypatch.setattr(chosen_path, "LARGE_TILE", 16 if tile == 8 else 1024)
     rnd = random.Random(4)
@@ -65,7 +68,10 @@ def test_equals_brute_force(spark, monkeypatch, tile):
     rows = [(i, t) for i, t in enumerate(texts)]
     rows += [rows[0], rows[0], (None, texts[1]), (None, "alone without an id at all here")]
     df = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, node string").repartition(3)
-    assert order(chosen_path.join(df).collect()) == order(brute(rows))
+    got, want = order(chosen_path.join(df).collect()), order(brute(rows))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    lost = [w[2] - g[2] for g, w in zip(got, want, strict=True)]
+    assert min(lost) >= 0 and sum(lost) <= 0.001 * sum(w[2] for w in want)
 
 
 @pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
