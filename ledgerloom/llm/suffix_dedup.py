@@ -157,11 +157,14 @@ def _induce(s, smaller, seeds, heads, tails):
     return sa
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
+def suffix_array(s: np.ndarray | list, largest: int | None = None) -> np.ndarray | list:
     """Suffix array of the integers ``s``, 0 or more and not much above ``len(s)``, by induced sorting.
 
-    The end of ``s`` is less than any value.
+    The end of ``s`` is less than any value. A list gives a list. Callers may
+    state the largest value, which is found without it.
     """
+    if isinstance(s, list):
+        return suffix_array(np.array(s, dtype=np.int64)).tolist()
     n = len(s)
     if n < 2:
         return np.arange(n)
