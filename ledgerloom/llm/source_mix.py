@@ -1,25 +1,33 @@
 """Mixing sources to target weights by entropy balancing, without user functions.
 
-Among all document rates r_d that give each source its target of tokens, take
-those closest to 1 in token-weighted relative entropy
-    sum_d size_d (r_d log r_d - r_d + 1)   subject to   sum_{d in s} size_d r_d = T_s.
-The convex dual has one multiplier per source and its optimum tilts the rates
-exponentially, r_d = exp(lambda_s). Its gradient and curvature need only the
-source's token sum, a distributed pre-aggregate; Newton steps then run for all
-sources in parallel, one row each. Rates stay at or below the cap because the
-targets do.
-
-Rates become whole copies: everybody gets floor(r), and documents in order of a
-hash of their id get one more until the source's remaining tokens are met. The
-order's cut is found by two rounds of per-source histograms of the hash (4096
-bins each), so no task ever sees a source's documents together; two further
-rounds exchange one document per source against what is left over.
+Among all document rates 0 <= r_d <= cap that give each source its target of
+words, take those closest to 1 in relative entropy
+    sum_d (r_d log r_d - r_d + 1)   subject to   sum_{d in s} size_d r_d = T_s.
+The convex dual has one multiplier per source, and its optimum tilts each
+document's rate exponentially by its size: r_d = min(cap, exp(lambda_s size_d)).
+A source that must shrink so gives up long documents before short ones, one that
+must grow repeats long ones first: the fewest documents change their rate.
+
+Newton iterations run for all sources at once. Each adds up gradient
+    sum_d size_d r_d - T_s   and curvature   sum_{d below the cap} size_d^2 r_d
+over a distributed table of the documents, which holds one row per source and
+size since documents of one size share their rate; steps are taken on the
+logarithm of the words reached, kept inside a bracket, and end when every
+source's residual is below TOLERANCE. Terms are added as decimals, exactly, so
+no order of addition changes a digit and reruns agree.
+
+Rates become whole copies by sequential Poisson sampling: everybody gets
+floor(r), and documents in order of hash / (r - floor(r)) get one more until the
+source's remaining words are met. The order's cut is found by two rounds of
+per-source histograms (4096 bins each), so no task ever sees a source's
+documents together; two further rounds exchange one document per source against
+what is left over.
 
 Everything a document needs is in its row and in one row per source, so
 ``apply_mix`` never shuffles texts unless there are too many sources to send.
 
 Defined results
-    * null text: size 0, nothing taken. A null source is a source, the last one.
+    * null text: size 0; a document without words has rate 1 and adds no words. A null source is a source, the last one.
     * an empty table gives an empty result; sources without words get target 0.
     * rows with equal id and size are decided alike; reruns agree.
     * a column of the input that has the name of a result column is not used.
@@ -31,13 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 BINS = 4096
-NEWTON_STEPS = 60
+NEWTON_STEPS = 100
+TOLERANCE = 1e-7
+EXACT = "decimal(34,10)"
 EXCHANGES = 2
 
 
@@ -48,9 +58,19 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
 
 
-def _bin(key: Column, level: int) -> Column:
-    """The level-th group of 12 bits of the id's hash."""
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit("mix")), 52 - 12 * level).bitwiseAND(BINS - 1)
+def tilted(size: Column, lam: Column, cap) -> Column:
+    """Rate of a document; one that is whole up to rounding errors is whole."""
+    rate = F.least(F.lit(cap).cast("double"), F.exp(lam * size))
+    return F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
+
+
+def _bin(key: Column, rate: Column, level: int) -> Column:
+    """The level-th 12 bits of a document's place in the order; null where the rate is whole."""
+    u = F.shiftrightunsigned(F.xxhash64(key, F.lit("mix")), 12) / F.lit(float(1 << 52))
+    rest = rate - F.floor(rate)
+    place = F.least((u / (u + rest) * F.lit(float(BINS * BINS))).cast("long"), F.lit(BINS * BINS - 1))
+    bits = F.shiftright(place, 12) if level == 0 else place.bitwiseAND(BINS - 1)
+    return F.when(rest > 0, bits)
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
@@ -93,14 +113,59 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFram
     )
 
 
-def newton_rate(size: Column, target: Column) -> Column:
-    """exp(lambda), lambda by Newton's method on the dual size * exp(x) - target * x."""
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(NEWTON_STEPS)),
-        F.lit(0.0),
-        lambda x, _: F.greatest(x - 1.0 + target / size * F.exp(-x), F.lit(-700.0)),
+def balanced(lengths: DataFrame, goals: DataFrame, cap=CAP) -> DataFrame:
+    """``goals`` (source, source_size, target) with ``lambda``, from (source, size, n)."""
+    top = F.log(F.lit(float(cap)))
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
+    full = share >= F.lit(float(cap)) * (1 - 1e-12)
+    state = goals.select(
+        "source",
+        "source_size",
+        "target",
+        F.when(full, top).otherwise(F.lit(0.0)).alias("lambda"),
+        # sizes are 1 at least, so these rates fall short of the target and exceed it
+        F.when(share < 1, F.log(share)).otherwise(F.lit(0.0)).alias("lo"),
+        F.when(share < 1, F.lit(0.0)).otherwise(top).alias("hi"),
+        F.lit(None).cast("double").alias("residual"),
     )
-    return F.when((size > 0) & (target > 0), F.exp(step)).otherwise(F.lit(0.0))
+    state = written(state, "mix-newton")
+    for _ in range(NEWTON_STEPS):
+        lam, size = F.col("lambda"), F.col("size")
+        rate = F.least(F.lit(float(cap)), F.exp(lam * size))
+        sums = (
+            _same_source(lengths, state.select("source", "lambda"), "inner")
+            .groupBy("source")
+            .agg(
+                F.sum((F.col("n") * size * rate).cast(EXACT)).cast("double").alias("reached"),
+                F.sum(F.when(lam * size < top, F.col("n") * size * size * rate).otherwise(0.0).cast(EXACT))
+                .cast("double")
+                .alias("slope"),
+            )
+        )
+        at = _same_source(state, sums)
+        residual = F.when(F.col("target") > 0, F.abs(F.col("reached") / F.col("target") - 1)).otherwise(F.lit(0.0))
+        over = F.col("reached") > F.col("target")
+        at = at.withColumns(
+            {
+                "residual": residual,
+                "lo": F.when(over, F.col("lo")).otherwise(F.greatest("lo", "lambda")),
+                "hi": F.when(over, F.least("hi", "lambda")).otherwise(F.col("hi")),
+            }
+        )
+        to = F.when(
+            F.col("slope") > 0, lam - F.col("reached") / F.col("slope") * F.log(F.col("reached") / F.col("target"))
+        )
+        middle = F.when(F.col("lo") > 0, F.sqrt(F.col("lo") * F.col("hi"))).otherwise((F.col("lo") + F.col("hi")) / 2)
+        to = F.when((to > F.col("lo")) & (to < F.col("hi")), to).otherwise(middle)
+        after = written(
+            at.withColumn("lambda", F.when(F.col("residual") <= TOLERANCE, lam).otherwise(to)).drop("reached", "slope"),
+            "mix-newton",
+        )
+        dropped(state)
+        state = after
+        if (state.agg(F.max("residual")).first()[0] or 0.0) <= TOLERANCE:
+            break
+    return state.drop("lo", "hi", "residual")
 
 
 def _same_source(a: DataFrame, b: DataFrame, how: str = "left") -> DataFrame:
@@ -130,12 +195,14 @@ def _cut(hist: DataFrame, need: str, level: int) -> DataFrame:
 
 def _copies(key: Column, size: Column) -> Column:
     """Copies of a row, from the columns that ``fit`` found for its source."""
-    b0, b1 = _bin(key, 0), _bin(key, 1)
+    rate = tilted(size, F.col("lambda"), F.col("cap"))
+    b0, b1 = _bin(key, rate, 0), _bin(key, rate, 1)
     inside = (b0 == F.col("bin0")) & (
         (b1 < F.col("bin1")) | ((b1 == F.col("bin1")) & F.col("take_last"))
     )
-    more = F.coalesce((b0 < F.col("bin0")) | inside, F.lit(True)) & (F.col("extra") > 0)
-    n = F.col("base_copies") + F.when(more, 1).otherwise(0)
+    # without a bin at which the words are met, all documents get one more
+    more = b0.isNotNull() & F.coalesce((b0 < F.col("bin0")) | inside, F.lit(True))
+    n = F.floor(rate) + F.when(more, 1).otherwise(0)
     for i in range(EXCHANGES):
         hit = F.coalesce(
             key.eqNullSafe(F.col(f"swap{i}.id")) & (size == F.col(f"swap{i}.size")), F.lit(False)
@@ -145,32 +212,33 @@ def _copies(key: Column, size: Column) -> Column:
 
 
 def fit(slim: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
-    """One row per source with its target, rate and rounding, from (id, source, size)."""
+    """One row per source with its target, multiplier and rounding, from (id, source, size)."""
     none = F.lit(None)
-    hist0 = written(
-        slim.groupBy("source", _bin(F.col("id"), 0).alias("bin")).agg(F.sum("size").alias("mass")),
-        "mix-hist",
-    )
-    sums = hist0.groupBy("source").agg(F.sum("mass").alias("source_size"))
-    rated = (
-        targets(sums, weights, share, cap)
-        .withColumn(
-            "rate",
-            F.least(newton_rate(F.col("source_size"), F.col("target")), F.lit(float(cap))),
-        )
-        # a rate that is whole up to rounding errors is whole
-        .withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate")))
-        .withColumn("base_copies", F.floor("rate").cast("int"))
-        .withColumn("extra", F.col("target") - F.col("base_copies") * F.col("source_size"))
-        .withColumn("extra", F.when(F.col("rate") == F.col("base_copies"), F.lit(0.0)).otherwise(F.col("extra")))
+    lengths = written(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
+    sums = lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    rated = balanced(lengths, targets(sums, weights, share, cap), cap).withColumn("cap", F.lit(float(cap)))
+    sized = tilted(F.col("size"), F.col("lambda"), F.col("cap"))
+    base = (
+        _same_source(lengths, rated.select("source", "lambda", "cap"), "inner")
+        .groupBy("source")
+        .agg(F.sum(F.col("n") * F.col("size") * F.floor(sized)).alias("base"))
     )
+    rated = _same_source(rated, base).withColumn("extra", F.col("target") - F.col("base")).drop("base")
     rated = written(rated, "mix-rates")
-    cut0 = _cut(_same_source(hist0, rated.select("source", "extra")), "extra", 0)
-    found = written(_same_source(rated, cut0), "mix-cut0")
+    # from here on the order: per row its place, in the first round by its upper half
+    slim_rate = tilted(F.col("size"), F.col("lambda"), F.col("cap"))
+    hist0 = (
+        _same_source(slim, rated.select("source", "lambda", "cap", "extra"), "inner")
+        .withColumn("bin", _bin(F.col("id"), slim_rate, 0))
+        .filter("bin IS NOT NULL")
+        .groupBy("source", "bin")
+        .agg(F.sum("size").alias("mass"), F.first("extra").alias("extra"))
+    )
+    found = written(_same_source(rated, _cut(hist0, "extra", 0)), "mix-cut0")
     hist1 = (
-        _same_source(slim, found.select("source", "bin0", "extra", "before0"), "inner")
-        .filter(_bin(F.col("id"), 0) == F.col("bin0"))
-        .groupBy("source", _bin(F.col("id"), 1).alias("bin"))
+        _same_source(slim, found.select("source", "lambda", "cap", "bin0", "extra", "before0"), "inner")
+        .filter(_bin(F.col("id"), slim_rate, 0) == F.col("bin0"))
+        .groupBy("source", _bin(F.col("id"), slim_rate, 1).alias("bin"))
         .agg(
             F.sum("size").alias("mass"),
             F.first(F.col("extra") - F.col("before0")).alias("need"),
@@ -240,7 +308,7 @@ def apply_mix(df: DataFrame, fitted: DataFrame, key: str, size: Column, source:
         *(F.col(f"__m_row.`{c}`").alias(c) for c in df.columns),
         F.col("source_size").alias("__m_source_size"),
         F.col("target").alias("__m_target"),
-        F.col("rate").alias("__m_rate"),
+        tilted(F.col("__m_row.__m_size"), F.col("lambda"), F.col("cap")).alias("__m_rate"),
         F.col("copies").alias("__m_copies"),
     )
 

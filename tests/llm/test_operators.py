@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -80,6 +81,30 @@ def test_mix_equals_the_rule(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_rates_are_the_tilt_that_meets_each_target(spark):
+    rnd = random.Random(5)
+    rows = []
+    for s, n, long in (("a", 60, 30), ("b", 300, 900), ("c", 200, 25), ("d", 40, 20_000), ("e", 1, 7)):
+        rows += [(len(rows) + i, " ".join(["w"] * rnd.randint(1, long)), s) for i in range(n)]
+    rows += [(9_000, "", "a"), (9_001, None, "only empty")]
+    got = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source_of = {k: s for k, _, s in rows}
+    for s in set(source_of.values()):
+        mine = [r for r in got if source_of[r.doc_id] == s]
+        target = mine[0].target
+        lo, hi = -800.0, math.log(2.0)  # bisection on the one multiplier
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            reached = sum(r["size"] * min(2.0, math.exp(min(mid * r["size"], 1))) for r in mine)
+            lo, hi = (mid, hi) if reached < target else (lo, mid)
+        for r in mine:
+            want = min(2.0, math.exp(min(hi * r["size"], 1))) if target else 1.0
+            assert abs(r.rate - want) <= 1e-5, (s, r)
+        moved = [r for r in mine if r.copies not in {math.floor(r.rate), math.ceil(r.rate)}]
+        assert len(moved) <= source_mix.EXCHANGES
+        assert abs(sum(r.taken for r in mine) - target) <= max(r["size"] for r in mine)
+
+
 def test_nearest_codes_equal_brute_force(spark):
     rnd = np.random.default_rng(1)
     vectors = rnd.normal(size=(300, 16)).round(3)
