@@ -7,15 +7,19 @@ and verifies the codes found there. After radius r every code within
 4 (r + 1) - 1 bits has been seen, since it must be within r in some segment;
 the search of a query ends when its k-th verified distance is that near.
 
-Queries meet the index in blocks: a query block and a shard are one task, whose
-memory both sizes bound. Equal codes are searched once; of equal codes only the
-k + 1 smallest ids can be in an answer, and a limited window prunes the others
-before its shuffle, so one vector that a third of all rows share stays small.
+The index is cut into shards of bounded size by a hash of the code. Each shard is
+built LANES times, whatever the number of queries, and every lane streams its
+part of all queries through the index it holds: what is shuffled are LANES
+copies of the codes, one code per query and shard, and the k + 1 answers to it.
+Memory is one shard and one batch of queries. Equal codes are searched once; of
+equal codes only the k + 1 smallest ids can be in an answer, and a limited
+window prunes the others before its shuffle, so one vector that a third of all
+rows share stays small.
 
 Defined results
     * a null or empty embedding has no code: it is neither found nor a query.
     * neighbours are ordered by distance, then id; a row is not its own
-      neighbour; rows that repeat an id are one row.
+      neighbour; rows that repeat an id are one row, with the least of their codes.
     * with fewer than k other rows there are fewer neighbours.
     * coordinates past the 64th are ignored, missing ones count as bit 0.
 """
@@ -36,8 +40,8 @@ BITS = 64
 SEGMENTS = 4
 WIDTH = BITS // SEGMENTS
 K = 10
-SHARD_CODES = 1 << 18
-QUERY_BLOCK = 64
+SHARD_CODES = 1 << 20
+LANES = 8
 
 
 def sign_code(embedding):
@@ -110,18 +114,33 @@ _FOUND = "q_code long, distance int, vec_id long"
 
 
 def _search(k: int):
+    """Over rows (task, is_query, code, vec_id) in that order: a task's codes, then its queries."""
+
     def run(batches):
+        task, codes, ids, index = None, [], [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column(0)[i].as_buffer(), dtype=np.uint64)
-                ids = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.int64)
-                queries = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.uint64)
-                index = SegmentIndex(codes, ids)
+            tasks, asks, code, vec_id = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            code = code.astype(np.int64).view(np.uint64)
+            cuts = np.flatnonzero((np.diff(tasks) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if lo == hi:
+                    continue
+                if tasks[lo] != task:
+                    task, codes, ids, index = tasks[lo], [], [], None
+                if not asks[lo]:
+                    codes.append(code[lo:hi])
+                    ids.append(vec_id[lo:hi].astype(np.int64))
+                    continue
+                if index is None:
+                    index = SegmentIndex(
+                        np.concatenate([np.empty(0, np.uint64), *codes]), np.concatenate([np.empty(0, np.int64), *ids])
+                    )
+                    codes, ids = [], []
+                queries = code[lo:hi]
                 got = [index.search(q, k) for q in queries]
-                n = [len(d) for d, _ in got]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(queries, n).view(np.int64)),
+                        pa.array(np.repeat(queries, [len(d) for d, _ in got]).view(np.int64)),
                         pa.array(np.concatenate([d for d, _ in got]).astype(np.int32)),
                         pa.array(np.concatenate([x for _, x in got])),
                     ],
@@ -131,18 +150,8 @@ def _search(k: int):
     return run
 
 
-def _packed(df: DataFrame, columns: list[str], part: str) -> DataFrame:
-    """One row per value of ``part`` with each long column as packed bytes."""
-
-    def pack(key, table):
-        out = [pa.array([key[0].as_py()], pa.int64())]
-        for c in columns:
-            out.append(pa.array([table.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()))
-        return pa.Table.from_arrays(out, names=[part, *columns])
-
-    return df.groupBy(part).applyInArrow(
-        pack, f"{part} long, " + ", ".join(f"{c} binary" for c in columns)
-    )
+def _numbers(n: int):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
 def nearest(
@@ -158,7 +167,8 @@ def nearest(
         sign_code(F.col(f"`{embedding}`")).alias("code"),
         is_query.alias("is_query"),
     ).filter("code IS NOT NULL AND vec_id IS NOT NULL")
-    coded = written(coded.dropDuplicates(["vec_id", "code"]), "mih-codes")
+    one = coded.groupBy("vec_id").agg(F.min("code").alias("code"), F.max("is_query").alias("is_query"))
+    coded = written(one, "mih-codes")
     by_code = W.partitionBy("code").orderBy("vec_id")
     index = (
         coded.withColumn("r", F.row_number().over(by_code)).filter(F.col("r") <= k + 1).select("vec_id", "code")
@@ -167,18 +177,18 @@ def nearest(
     queries = coded.filter("is_query").select("vec_id", "code")
     asked = queries.select("code").distinct()
     n_shards = max(1, -(-index.count() // SHARD_CODES))
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    shards = _packed(
-        index.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(n_shards))), ["code", "vec_id"], "shard"
+    lane = F.pmod(F.xxhash64("code", F.lit("lane")), F.lit(LANES))
+    held = index.withColumn("lane", _numbers(LANES)).select(
+        (F.pmod(F.xxhash64("code"), F.lit(n_shards)) * LANES + F.col("lane")).alias("task"),
+        F.lit(False).alias("asks"),
+        "code",
+        "vec_id",
     )
-    blocks = _packed(
-        asked.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(n_blocks))), ["code"], "block"
-    ).withColumnRenamed("code", "q_codes")
-    pairs = blocks.join(
-        shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))), "block"
+    sent = asked.withColumn("shard", _numbers(n_shards)).select(
+        (F.col("shard") * LANES + lane).alias("task"), F.lit(True).alias("asks"), "code", F.lit(0).cast("long").alias("vec_id")
     )
-    pairs = pairs.select("code", "vec_id", "q_codes").repartition(n_shards * n_blocks)
-    found = pairs.mapInArrow(_search(k + 1), _FOUND)
+    dealt = held.unionAll(sent).repartition(n_shards * LANES, "task").sortWithinPartitions("task", "asks")
+    found = dealt.mapInArrow(_search(k + 1), _FOUND)
     best = W.partitionBy("q_code").orderBy("distance", "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     answers = (
@@ -197,7 +207,7 @@ def nearest(
 
 
 def oracle_sql(k: int = K) -> str:
-    """Brute force in DuckDB SQL."""
+    """Brute force in DuckDB SQL, for tables whose ids have one vector each."""
     return f"""
 WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding[1:{BITS}], lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS bits
            FROM embeddings WHERE len(embedding) > 0 AND vec_id IS NOT NULL),

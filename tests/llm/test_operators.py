@@ -122,6 +122,32 @@ def test_nearest_codes_equal_brute_force(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_shards_and_batches_do_not_change_neighbours(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rnd.normal(size=(1_500, 64)))]
+    rows += [(2_000 + i, rows[0][1]) for i in range(40)]  # a vector that many rows share
+    rows += [(5, rows[9][1]), (None, rows[3][1]), (6_000, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = binary_topk.nearest(df, F.col("vec_id") % 20 == 0, k=7).collect()
+    monkeypatch.setattr(binary_topk, "SHARD_CODES", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        cut = binary_topk.nearest(df.repartition(3), F.col("vec_id") % 20 == 0, k=7).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, cut)) and len(whole) == 77 * 7
+    codes = df.select("vec_id", binary_topk.sign_code(F.col("embedding")).alias("code")).dropna()
+    code = {r.vec_id: r.code for r in codes.groupBy("vec_id").agg(F.min("code").alias("code")).collect()}
+    for q in (0, 20, 2_020):
+        near = sorted(((code[q] ^ code[x]) & (2**64 - 1)).bit_count() * 10**6 + x for x in code if x != q)[:7]
+        assert [(r.distance * 10**6 + r.neighbour_id) for r in sorted(whole, key=lambda r: r["rank"]) if r.query_id == q] == near
+
+
+def test_no_rows_no_neighbours(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert binary_topk.nearest(df, F.col("vec_id") % 100 == 0).collect() == []
+
+
 def archived(rows):
     """What the archive says of each page, by the rule."""
     digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
