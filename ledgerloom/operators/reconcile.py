@@ -2,8 +2,9 @@
 
 Documents have the columns ord (unique), doc_type, gstin, number, invoice_date,
 taxable, igst, cgst, sgst, cess, itc and period. Candidates come from three
-disjoint equi-join blocks. Pairs whose two documents have no other candidate
-commit at once; only contested ones are folded, in groups that no candidate leaves.
+disjoint equi-join blocks. Pairs that are the best candidate of both their documents
+commit at once, as the greedy order would commit them, in ROUNDS rounds of
+aggregates; only what is contested after them is folded, in groups that no candidate leaves.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ HEADS = ("igst", "cgst", "sgst", "cess")
 PRIORITY = {"EXACT": 0, "PARTIAL": 1, "UNMATCHED": 2, "PROBABLE": 3}
 NUMBER_FLOOR = 88.0
 GSTIN_FLOOR = 85.0
+ROUNDS = 3
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -139,12 +141,22 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _greedy(edges: DataFrame, *group: str) -> DataFrame:
-    counted = edges.withColumn("in_b", F.count("*").over(Window.partitionBy("b_ord"))).withColumn(
-        "in_g", F.count("*").over(Window.partitionBy("g_ord"))
-    )
-    alone = counted.filter("in_b = 1 AND in_g = 1").select("b_ord", "g_ord")
-    contested = counted.filter("in_b > 1 OR in_g > 1").drop("in_b", "in_g")
-    return alone.unionByName(contested.groupBy(*group).applyInPandas(_fold, "b_ord long, g_ord long"))
+    order = F.struct("pri", "rank_n", "rank_sim", "b_ord", "g_ord")
+    left, won = durable(edges, "edges"), []
+    for _ in range(ROUNDS):
+        best = [left.groupBy(side).agg(F.min(order).alias("e")).select("e.b_ord", "e.g_ord") for side in ("b_ord", "g_ord")]
+        won.append(durable(best[0].join(best[1], ["b_ord", "g_ord"]), "mutual"))
+        for side in ("b_ord", "g_ord"):
+            left = left.join(won[-1].select(side), side, "left_anti")
+        left = durable(left, "contested")
+        if left.isEmpty():
+            break
+    else:
+        won.append(left.groupBy(*group).applyInPandas(_fold, "b_ord long, g_ord long"))
+    out = won[0]
+    for more in won[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def matches(cands: DataFrame) -> DataFrame:
