@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     binary_topk,
+    bit_planes,
     byte_bpe,
     chosen_path,
     html_text,
@@ -64,6 +65,10 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.join(table(spark, sf_dir, "documents"))
 
 
+def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_planes.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_licence_scan": op9_licence_scan,
     "op10_chosen_path": op10_chosen_path,
+    "op13_bit_planes": op13_bit_planes,
 }
 
 ORACLES = {
