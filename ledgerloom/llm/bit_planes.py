@@ -33,6 +33,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 
 from . import vocab
 from .common import dropped, shared_dir, written
+from .token_counts import letters_of
 
 BLOCK = 65_536
 LEVEL = 3
@@ -48,15 +50,17 @@ END_ID = 1
 BITS, BYTES = 0, 1
 MAGIC = b"IDPL"
 HEAD = struct.Struct("<4sBBII")
-MEMO_ENTRIES = 400_000
-LONG_WORD = 200
+MEMO_ENTRIES = 600_000
+LONG_PIECE = 200
+#: UTF-8 of the letters from U+00C0 to U+00FF
+LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
 OUT_ROWS = 1_000
 
 
 # ---- one block ---------------------------------------------------------------
 
 
-def encode_block(ids, kind: int = BITS, level: int = LEVEL) -> bytes:
+def encode_block(ids, kind: int = BYTES, level: int = LEVEL) -> bytes:
     """The ids (unsigned, below 2**32) as planes, lowest first."""
     import numpy as np
     import zstandard
@@ -107,39 +111,61 @@ def decode_block(data: bytes):
 
 
 class WordIds:
-    """Ids of texts from a vocabulary that drops white space, each distinct word encoded once.
+    """Ids of texts from a vocabulary that drops white space, each distinct piece of them encoded once.
 
-    No match of its split pattern holds white space and no rule looks across
-    it, so a text's ids are those of its words by ASCII white space, in order.
+    No match of its split pattern holds white space, and no rule looks across
+    it. So words of ASCII characters and Latin-1 letters, for which composing
+    and lower case are plain, are split here and merged by the library's model;
+    all other words, and texts that hold a special string, go to the library whole.
     """
 
     def __init__(self, data: bytes):
+        import re
+
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(data.decode("utf-8"))
+        self.model = self.library.model
         self.wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.memo: dict[bytes, bytes] = {}
+        self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        # the vocabulary's own split, case folded, after words that must go to the library
+        self.split = re.compile(
+            rb"(?<!\S)(?:[^\s\x80-\xff]|" + LATIN + rb")*+[\x80-\xff]\S*"
+            rb"|(?i:'s|'t|'re|'ve|'m|'ll|'d)|(?:[A-Za-z]+|" + LATIN + rb")+|[0-9]|(?:[^\sA-Za-z0-9\x80-\xff]+)"
+        )
+        self.plain = re.compile(rb"(?:[\x00-\x7f]|" + LATIN + rb")*")
+        self.memo = Memo(self._piece)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("I" if self.wide else "H", ids).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        if self.plain.fullmatch(piece):
+            ids = [t.id for t in self.model.tokenize(letters_of(piece.decode("utf-8").lower()))]
+        else:
+            ids = self.library.encode(piece.decode("utf-8"), add_special_tokens=False).ids
+        return self._bytes(ids)
+
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian ids of a text, of two bytes where the vocabulary allows."""
+        if any(s in text for s in self.specials):
+            return self._bytes(self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids)
+        if len(self.memo) >= MEMO_ENTRIES:
+            self.memo.clear()
+        return b"".join(map(self.memo.__getitem__, self.split.findall(text)))
 
-    def _packed(self, words: list[bytes]) -> list[bytes]:
-        import numpy as np
 
-        got = self.library.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4" if self.wide else "<u2").tobytes() for e in got]
+class Memo(dict):
+    """Ids of pieces, found when first asked for; long pieces are not kept."""
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each text, of two bytes where the vocabulary allows."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.memo}
-        short = [w for w in new if len(w) <= LONG_WORD]
-        self.memo.update(zip(short, self._packed(short), strict=True))
-        # long words fill no memo; they are known for this call only
-        long = [w for w in new if len(w) > LONG_WORD]
-        here = dict(zip(long, self._packed(long), strict=True))
-        if not here:
-            return [b"".join(map(self.memo.__getitem__, words)) for words in split]
-        return [b"".join([here[w] if w in here else self.memo[w] for w in words]) for words in split]
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.find(piece)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
 
 
 def _encoded(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
@@ -153,7 +179,7 @@ def _encoded(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(lo, OUT_ROWS)
-                ids = words.encode(part.column(1).cast(pa.binary()).to_pylist())
+                ids = [words.encode(x) for x in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([words.wide] * len(ids)), pa.array(ids, pa.binary())], names=["key", "wide", "ids"]
                 )
@@ -213,7 +239,7 @@ def _packing(end_id, block: int, kind: int, level: int):
 
 def write_ids(
     docs: DataFrame, path: str, vocabulary: str | None = None, key="doc_id", text="text",
-    end_id: int | None = END_ID, block: int = BLOCK, kind: int = BITS, level: int = LEVEL,
+    end_id: int | None = END_ID, block: int = BLOCK, kind: int = BYTES, level: int = LEVEL,
 ) -> str:
     """Write the token files of ``docs`` to the folder ``path``, which must not exist; returns it."""
     spark = docs.sparkSession

@@ -36,7 +36,7 @@ def test_block_round_trip():
             data = bit_planes.encode_block(np.array(ids, "<u4"), kind)
             assert bit_planes.decode_block(data).tolist() == ids
     planes = max(ids).bit_length()
-    assert bit_planes.encode_block(np.array(ids, "<u4"))[5] == planes
+    assert bit_planes.encode_block(np.array(ids, "<u4"), bit_planes.BITS)[5] == planes
 
 
 def test_damaged_block_is_refused():
@@ -51,8 +51,12 @@ def test_damaged_block_is_refused():
 def test_words_encode_as_the_library(spark):
     words = bit_planes.WordIds(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
     lib = library()
-    got = words.encode([(t or "").encode() for t in TEXTS] * 2)
-    want = [np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in TEXTS] * 2
+    rnd = random.Random(3)
+    letters = "aAzZ09'sSéÉßÿ×÷µªḦIİ\u0307\u0331\u0308hHtTwWéŉǆΣς<|>,.#- \n\t\x1c\x85\xa0漢🙂\u200b"
+    drawn = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(60))) for _ in range(3000)]
+    texts = TEXTS + drawn
+    got = [words.encode((t or "").encode()) for t in texts * 2]
+    want = [np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in texts] * 2
     assert got == want
 
 
