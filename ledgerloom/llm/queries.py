@@ -10,6 +10,7 @@ from . import (
     bit_planes,
     byte_bpe,
     chosen_path,
+    filter_audit,
     html_text,
     licence_scan,
     quality_rules,
@@ -65,6 +66,10 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.join(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_planes.digests(table(spark, sf_dir, "documents"))
 
@@ -80,10 +85,12 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_licence_scan": op9_licence_scan,
     "op10_chosen_path": op10_chosen_path,
+    "op11_filter_audit": op11_filter_audit,
     "op13_bit_planes": op13_bit_planes,
 }
 
 ORACLES = {
     "op5_binary_topk": binary_topk.oracle_sql(),
     "op9_licence_scan": licence_scan.oracle_sql(),
+    "op11_filter_audit": filter_audit.oracle_sql(),
 }
