@@ -17,6 +17,7 @@ from . import (
     source_mix,
     suffix_dedup,
     token_counts,
+    token_links,
     warc,
 )
 from .common import table
@@ -70,6 +71,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.align(table(spark, sf_dir, "documents"))
+
+
 def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_planes.digests(table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op9_licence_scan": op9_licence_scan,
     "op10_chosen_path": op10_chosen_path,
     "op11_filter_audit": op11_filter_audit,
+    "op12_token_links": op12_token_links,
     "op13_bit_planes": op13_bit_planes,
 }
 
