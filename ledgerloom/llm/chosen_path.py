@@ -23,6 +23,11 @@ Defined results
     * null ids are never a class id unless all ids of the class are null.
     * repeated rows are copies and count as links of each other.
     * extra columns are ignored by ``join`` and kept by ``first_of_class``.
+    * ``first_of_class`` decides by row, not by id: rows of one id whose texts
+      are in different classes are judged each by its own class. Of a class the
+      row of the least id stays, of equal ones any one. Rows without an id, and
+      rows without a word, which are in no class, all stay.
+    * thresholds below LEAST_THRESHOLD are refused, as links would be lost.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, words, written
@@ -48,6 +53,8 @@ DEEPER_CHILDREN = 3.0
 #: Members of a large node agree on this share of coordinates, judged by LIKE_PROBES of them: split no further.
 LIKE = 0.5
 LIKE_PROBES = 4
+#: Below it, a pair at the threshold agrees too rarely on LIKE of its coordinates for the target recall.
+LEAST_THRESHOLD = 0.7
 COLUMN_BLOCK = 8192
 #: Members and shingles of one side of a tile of a group of like texts.
 LARGE_TILE = 1024
@@ -448,7 +455,9 @@ def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
 def classes(
     df: DataFrame, key="doc_id", text="text", threshold=THRESHOLD, recall=RECALL
 ) -> DataFrame:
-    """(id, class_id, n_links) per row."""
+    """(id, digest, root, class_id, n_links) per row; digest names the row's set, root its class."""
+    if threshold < LEAST_THRESHOLD:
+        raise ValueError(f"threshold {threshold} is below {LEAST_THRESHOLD}")
     prints = written(fingerprints(df, key, text), "path-prints")
     reps = written(
         prints.filter("digest IS NOT NULL")
@@ -492,10 +501,10 @@ def classes(
     dropped(found, slim)
     first = known.groupBy("root").agg(F.min("id").alias("class_id"))
     named = known.join(first, "root").select(
-        "digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "digest", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     out = ids.join(named, "digest", "left").select(
-        "id",
+        "id", "digest", "root",
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
@@ -506,19 +515,31 @@ def classes(
 
 def join(df: DataFrame, key="doc_id", text="text", **options) -> DataFrame:
     """(key, class_id, n_links): class of linked documents and number of links of each row."""
-    return classes(df, key, text, **options).withColumnRenamed("id", key)
+    return classes(df, key, text, **options).select(F.col("id").alias(key), "class_id", "n_links")
 
 
 def first_of_class(df: DataFrame, key="doc_id", text="text", **options) -> DataFrame:
-    """One row of each class, that with the least id; rows without an id all stay."""
-    got = classes(df, key, text, **options).filter("id <> class_id").select("id").distinct()
-    out = df.join(got, df[f"`{key}`"] == got["id"], "left_anti")
-    numbered = F.row_number().over(
-        Window.partitionBy(key).orderBy(F.xxhash64(text))
-    )
-    again = out.groupBy(key).count().filter(f"`{key}` IS NOT NULL AND count > 1").select(key)
-    if again.isEmpty():
-        return out
-    kept = out.join(again, key, "left_anti")
-    repeated = out.join(again, key, "left_semi").withColumn("__j_n", numbered)
-    return kept.unionByName(repeated.filter("__j_n = 1").drop("__j_n"))
+    """One row of each class, that with the least id; rows without an id or without a word all stay."""
+    rows = classes(df, key, text, **options).filter("id IS NOT NULL")
+    least = F.min(F.struct("id", "digest")).alias("k")
+    keepers = rows.filter("digest IS NOT NULL").groupBy("root").agg(least)
+    keepers = written(keepers.select("root", F.col("k.id").alias("k_id"), F.col("k.digest").alias("k_digest")), "path-keepers")
+    stays = F.col("digest").isNull() | ((F.col("digest") == F.col("k_digest")) & (F.col("id") == F.col("k_id")))
+    by_id = rows.join(keepers, "root", "left").groupBy("id").agg(F.count("*").alias("n"), F.count_if(stays).alias("n_stay"))
+    by_id = written(by_id.filter("n > 1 OR n_stay = 0"), "path-ids-judged")
+    here = F.col(f"`{key}`")
+    gone = by_id.filter("n_stay = 0").select(F.col("id").alias("__gone"))
+    open_ids = by_id.filter("n_stay > 0").select(F.col("id").alias("__open"))
+    left = df.join(gone, here == F.col("__gone"), "left_anti")
+    if open_ids.isEmpty():
+        return left
+    # rows that their id does not decide are looked at again with their sets
+    again = left.join(open_ids, here == F.col("__open"), "left_semi")
+    again = written(again.withColumn("__row", F.monotonically_increasing_id()), "path-again")
+    prints = fingerprints(again, "__row", text).select(F.col("id").alias("__row"), F.col("digest").alias("__digest"))
+    sets = again.select("__row", here.alias("__id")).join(prints, "__row")
+    own = sets.filter("__digest IS NOT NULL").groupBy("__digest", "__id").agg(F.min("__row").alias("__row"))
+    own = own.join(keepers, (F.col("__digest") == F.col("k_digest")) & (F.col("__id") == F.col("k_id")))
+    kept = sets.filter("__digest IS NULL").select("__row").unionByName(own.select("__row"))
+    settled = left.join(open_ids, here == F.col("__open"), "left_anti")
+    return settled.unionByName(again.join(kept, "__row", "left_semi").drop("__row"))

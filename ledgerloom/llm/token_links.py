@@ -80,13 +80,11 @@ class ByteLevel:
             self.quick = tiktoken.Encoding("local", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.unusual = re.compile("[^\t-\r -~\u00a0-\u024f\u2010-\u2027\u20ac]")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.quick is None:
-            return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return [
-            self.library.encode(t, add_special_tokens=False).ids if self.unusual.search(t) else self.quick.encode_ordinary(t)
-            for t in texts
-        ]
+    def encode(self, text: str):
+        """(ids, whether their bytes are those of the text without a further look)."""
+        if self.quick is None or self.unusual.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids, False
+        return self.quick.encode_to_numpy(text, disallowed_special=()), True
 
 
 class Pieces:
@@ -129,14 +127,16 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, key="doc_id", text="tex
         empty = np.array([], np.int32)
 
         def sides(texts):
-            spaced = [" " + t if t else "" for t in texts]
-            for t, x, y in zip(spaced, a.encode(spaced), b.encode(texts), strict=True):
-                raw = t.encode("utf-8")
-                same = b"".join(map(a.entries.__getitem__, x)) == raw == b"".join(map(b.entries.__getitem__, y))
-                if not (raw and same):
+            for text, y in zip(texts, b.encode(texts), strict=True):
+                raw = b" " + text.encode("utf-8")
+                if not text or b"".join(map(b.entries.__getitem__, y)) != raw:
+                    yield empty, empty, empty, empty
+                    continue
+                x, known = a.encode(" " + text)
+                if not known and b"".join(map(a.entries.__getitem__, x)) != raw:
                     yield empty, empty, empty, empty
                     continue
-                x, y = np.array(x, np.int32), np.array(y, np.int32)
+                x, y = np.asarray(x, np.int32), np.array(y, np.int32)
                 yield x, np.cumsum(a.lengths[x], dtype=np.int32), y, np.cumsum(b.lengths[y], dtype=np.int32)
 
         for batch in batches:

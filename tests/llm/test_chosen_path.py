@@ -96,3 +96,31 @@ def test_first_of_class_keeps_rows_and_columns(spark):
     got = chosen_path.first_of_class(df)
     assert got.columns == df.columns
     assert order(got.collect()) == order([rows[1], rows[3], rows[4], rows[5]])
+
+
+def prose(seed, n=40):
+    rnd = random.Random(seed)
+    return " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+
+
+def test_first_of_class_decides_by_row(spark):
+    a, b, c = prose(1), prose(2, 200), prose(3)
+    rows = [(1, a), (5, a + " "), (5, b), (6, c), (6, b + " tail of a few words")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, digest string, root string")
+    got = chosen_path.first_of_class(df.repartition(3))
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, a), (5, b), (6, c)]
+
+
+def test_first_of_class_with_nulls_copies_and_empty_texts(spark):
+    a, b = prose(1), prose(2)
+    rows = [(None, a), (3, a), (3, a), (None, b), (None, b), (7, ""), (7, None), (None, None), (8, prose(4)), (8, prose(5))]
+    got = chosen_path.first_of_class(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(None, a), (3, a), (None, b), (None, b), (7, ""), (7, None), (None, None), (8, prose(4)), (8, prose(5))]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert chosen_path.first_of_class(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_low_thresholds_are_refused(spark):
+    with pytest.raises(ValueError):
+        chosen_path.join(spark.createDataFrame([(1, "a")], "doc_id long, text string"), threshold=0.5)
