@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 #: White space that ends a word; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Used only where the session sets no spark.checkpoint.dir, as in local tests.
+#: Used only by a local master whose session sets no spark.checkpoint.dir, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/ledgerloom"
 
 
@@ -23,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    return LOCAL_CHECKPOINTS
+    if spark.sparkContext.master.startswith("local["):
+        return LOCAL_CHECKPOINTS
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 #: Shuffle files of a finished write are of no more use; the session may still say otherwise.
@@ -50,9 +53,26 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
             spark.conf.set(CLEAN_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATHS, path)
+    for made in _SCOPES:
+        made.append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Gives a list of the tables that ``written`` makes inside; those still in it at the end are deleted."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        dropped(*made)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing will read any more, recomputation included."""
     for df in tables:

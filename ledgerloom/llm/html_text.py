@@ -12,12 +12,13 @@ Elements that are page furniture by their tag, role or class never are content.
 
 Defined results
     * null or empty html, or no content: empty text, 0 characters.
-    * a page whose host has few pages, or no url, is judged by tags alone; so is
-      all that lies in an article or main element.
+    * a page whose host has few pages, or no url, is judged by tags alone.
+    * where a page has an article or main element, only what lies in it can be
+      content; the template decides what of it is.
     * rows with the same html have one vote on the template of their host.
-    * a page without such an element that shares half or more of its text with
-      nearly all pages of its host is a near copy and judged by tags alone too:
-      its furniture stays, its content does not go.
+    * a page that shares half or more of its text (of its article, where it has
+      one) with nearly all pages of its host is a near copy and judged by tags
+      alone too: its furniture stays, its content does not go.
     * character references are decoded within one run of text, never across tags.
     * unclosed and cut-off markup is closed where HTML would close it.
     * elements nested more than MAX_DEPTH deep are put side by side at that depth.
@@ -58,7 +59,7 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset(
     "head script style noscript template iframe nav footer aside form button select textarea "
-    "input option label svg math canvas object dialog menu audio video map".split()
+    "input option svg canvas object dialog menu audio video".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 FURNITURE_WORDS = frozenset(
@@ -221,42 +222,121 @@ def skeleton(node: Node) -> Node:
     return out
 
 
-def simple_tree_matching(a: Node, b: Node, memo: dict):
-    """(score, pairs of matched child positions) of two roots with the same signature."""
-    if a.sig != b.sig:
-        return 0, ()
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key]
-    # children that no child of the other has the signature of match nothing
-    sigs = {x.sig for x in a.kids} & {x.sig for x in b.kids}
-    left = [i for i, x in enumerate(a.kids) if x.sig in sigs]
-    right = [j for j, x in enumerate(b.kids) if x.sig in sigs]
-    n, m = len(left), len(right)
-    score = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        x, row, above = a.kids[left[i]], score[i + 1], score[i]
-        for j in range(m):
-            y = b.kids[right[j]]
-            w = simple_tree_matching(x, y, memo)[0] if x.sig == y.sig else 0
-            row[j + 1] = max(above[j + 1], row[j], above[j] + w if w else 0)
-    pairs, i, j = [], n, m
-    while i and j:
-        if score[i][j] == score[i - 1][j]:
-            i -= 1
-        elif score[i][j] == score[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((left[i], right[j]))
-    memo[key] = (1 + score[n][m], tuple(reversed(pairs)))
-    return memo[key]
+class Matching:
+    """Simple tree matching of trees whose equal shapes are one: signatures all the way down.
+
+    A score is worked out once for each pair of shapes, not of nodes. Children
+    that have the same shape at both ends of two lists match each other in some
+    best alignment, so only what is left between them is aligned, row by row over
+    the codes of the other side, and of the rows only every ROWS-th is kept: the
+    way back works out the rows between two of them again.
+    """
+
+    ROWS = 256
+
+    def __init__(self):
+        self.codes: dict = {}  # (signature, shapes of the children) -> shape
+        self.shapes: list = []
+        self.sizes: list[int] = []
+        self.scores: dict = {}
+        self.known: dict[int, tuple] = {}
+
+    def shape(self, node: Node) -> int:
+        if id(node) in self.known:
+            return self.known[id(node)][1]
+        key = (node.sig, tuple([self.shape(x) for x in node.kids]))
+        code = self.codes.get(key)
+        if code is None:
+            code = self.codes[key] = len(self.shapes)
+            self.shapes.append(key)
+            self.sizes.append(1 + sum(self.sizes[c] for c in key[1]))
+        self.known[id(node)] = (node, code)  # the node is held, so that no other gets its id
+        return code
+
+    def score(self, x: int, y: int) -> int:
+        """Nodes that two shapes have in common, matched in order; 0 if their signatures differ."""
+        if x == y:
+            return self.sizes[x]
+        if self.shapes[x][0] != self.shapes[y][0]:
+            return 0
+        key = (x, y)
+        if key not in self.scores:
+            self.scores[key] = 1 + self._aligned(self.shapes[x][1], self.shapes[y][1])[0]
+        return self.scores[key]
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[int, int]]:
+        """Positions of matched children of two nodes; none if their signatures differ."""
+        x, y = self.shape(a), self.shape(b)
+        if self.shapes[x][0] != self.shapes[y][0]:
+            return []
+        return self._aligned(self.shapes[x][1], self.shapes[y][1], True)[1]
+
+    def _aligned(self, a: tuple, b: tuple, trace: bool = False):
+        lo, hi = 0, min(len(a), len(b))
+        while lo < hi and a[lo] == b[lo]:
+            lo += 1
+        end = 0
+        while end < hi - lo and a[-1 - end] == b[-1 - end]:
+            end += 1
+        n, m = len(a) - end, len(b) - end
+        total = sum(self.sizes[c] for c in a[:lo]) + sum(self.sizes[c] for c in a[n:])
+        sig = lambda c: self.shapes[c][0]
+        # children that no child of the other has the signature of match nothing
+        both = {sig(c) for c in a[lo:n]} & {sig(c) for c in b[lo:m]}
+        left = [i for i in range(lo, n) if sig(a[i]) in both]
+        right = [j for j in range(lo, m) if sig(b[j]) in both]
+        middle, found = self._between([a[i] for i in left], [b[j] for j in right], trace) if left and right else (0, [])
+        if not trace:
+            return total + middle, ()
+        ends = [(i, i) for i in range(lo)], [(n + k, m + k) for k in range(end)]
+        return total + middle, [*ends[0], *((left[i], right[j]) for i, j in found), *ends[1]]
+
+    def _between(self, a: list, b: list, trace: bool):
+        import numpy as np
+
+        kinds, place = np.unique(np.array(b), return_inverse=True)
+        kinds, n = kinds.tolist(), len(a)
+        weights: dict[int, np.ndarray] = {}
+
+        def below(row, x):
+            """The next row of best scores, after one more child of shape x."""
+            if x not in weights:
+                weights[x] = np.array([self.score(x, y) for y in kinds], np.int32)
+            w = weights[x][place]
+            best = np.where(w > 0, row[:-1] + w, 0)
+            return np.maximum.accumulate(np.concatenate([row[:1], np.maximum(row[1:], best)]))
+
+        row, kept = np.zeros(len(b) + 1, np.int32), []
+        for i, x in enumerate(a):
+            if trace and i % self.ROWS == 0:
+                kept.append(row)
+            row = below(row, x)
+        if not trace:
+            return int(row[-1]), []
+        found, j = [], len(b)
+        for k in range(len(kept) - 1, -1, -1):
+            first, rows = k * self.ROWS, [kept[k]]
+            for x in a[first : first + self.ROWS]:
+                rows.append(below(rows[-1], x))
+            i = min(self.ROWS, n - first)
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    found.append((first + i, j))
+        return int(row[-1]), found[::-1]
+
+
+def merge(a: Node, b: Node) -> Node:
+    """Add template ``b`` to template ``a``: matched nodes count together, others are kept."""
+    return _merged(a, b, Matching())
 
 
-def merge(a: Node, b: Node, memo: dict | None = None) -> Node:
-    """Add template ``b`` to template ``a``: matched nodes count together, others are kept."""
-    memo = {} if memo is None else memo
-    _, pairs = simple_tree_matching(a, b, memo)
+def _merged(a: Node, b: Node, matching: Matching) -> Node:
+    pairs = matching.pairs(a, b)
     a.texts = _counted(_texts(a), _texts(b))
     a.count += b.count
     taken, kids, j0 = dict(pairs), [], 0
@@ -264,7 +344,7 @@ def merge(a: Node, b: Node, memo: dict | None = None) -> Node:
         if i in taken:
             j = taken[i]
             kids += b.kids[j0:j]
-            kids.append(merge(x, b.kids[j], memo))
+            kids.append(_merged(x, b.kids[j], matching))
             j0 = j + 1
         else:
             kids.append(x)
@@ -321,7 +401,7 @@ def main_text(source: str | None, template: Node | None = None) -> str:
     mains = _mains(root)
     blocks: list[list[str]] = [[]]
     in_template: set[int] = set()
-    if template is not None and not mains:
+    if template is not None:
         _mark(template, root, in_template)
     shared = total = 0
 
@@ -339,10 +419,9 @@ def main_text(source: str | None, template: Node | None = None) -> str:
         skip = same or (mains and not inside)
         for x in node.kids:
             if isinstance(x, str):
-                n = len(x) - x.count(" ")
+                n = 0 if mains and not inside else len(x) - x.count(" ")
                 total += n
-                if same:
-                    shared += n
+                shared += n if same else 0
                 if not skip:
                     blocks[-1].append(html_lib.unescape(x))
             else:
@@ -367,7 +446,7 @@ def _mains(node: Node) -> bool:
 def _mark(template: Node, root: Node, found: set[int]) -> None:
     """Ids of page nodes that the template shows to be constant."""
     folded = skeleton(root)
-    memo: dict = {}
+    matching = Matching()
 
     def walk(t: Node, s: Node, p: Node) -> None:
         if _constant(t) and t.text == s.text:
@@ -380,7 +459,7 @@ def _mark(template: Node, root: Node, found: set[int]) -> None:
                 runs[-1].append(x)
             else:
                 runs.append([x])
-        for i, j in simple_tree_matching(t, s, memo)[1]:
+        for i, j in matching.pairs(t, s):
             if len(runs[j]) == 1:
                 walk(t.kids[i], s.kids[j], runs[j][0])
             elif _constant(t.kids[i]) and t.kids[i].text == s.kids[j].text:
