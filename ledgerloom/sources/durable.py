@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session sets no spark.checkpoint.dir, as in local tests.
+#: Used only by a local master whose session sets no spark.checkpoint.dir, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints/ledgerloom"
 
 
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or LOCAL_FOLDER).rstrip("/")
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
