@@ -11,6 +11,8 @@ OVERLAP = 500
 # fixed values: the shapes of chapter and provision headers
 CHAPTER = r"(?m)^[ \t]*CHAPTER\s+([IVXLCDM]+)\s+(.+?)\s*$"
 SECTION = r"[ \t]*\[?(?:Rule|Section)?\s*(\d{1,3}[A-Z]{0,2})\.\s+([A-Z][^.]*?)\.\s*[-–—]\s*"
+#: Stands before a header while a text is split; it is no character, and taken out of texts that hold it.
+MARK = "\uffff"
 
 
 def strip(x: Column) -> Column:
@@ -57,14 +59,14 @@ def pack(x: Column, size: int = MAX_CHARS, overlap: int | None = None) -> Column
 def provisions(df: DataFrame, key: str, text: str, size: int = MAX_CHARS) -> DataFrame:
     """(source_document, chapter, section_number, section_title, text, part, position) of every provision.
 
-    Text before the first header is dropped, and so is a provision without a
+    Headers are found from left to right, each behind the end of the one before;
+    what a header takes up, with the white space behind it, holds no other. Text before the first header is dropped, and so is a provision without a
     body. The chapter is that of the last heading above the header. Null text
     has no provisions.
     """
-    # a split before every header: each piece but the first begins with one
-    pieces = df.select(
-        F.col(key).alias("source_document"), F.posexplode(F.split(F.col(text), f"(?m)^(?={SECTION})")).alias("position", "piece")
-    )
+    # a mark before every header, put there by one scan: each piece but the first begins with one
+    marked = F.regexp_replace(F.translate(F.col(text), MARK, ""), f"(?dm)^{SECTION}", f"{MARK}$0")
+    pieces = df.select(F.col(key).alias("source_document"), F.posexplode(F.split(marked, MARK)).alias("position", "piece"))
     headings = F.expr("regexp_extract_all(piece, r'" + CHAPTER + "', 0)")
     last = F.get(headings, F.size(headings) - 1)
     chapter = F.when(

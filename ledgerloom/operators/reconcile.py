@@ -36,7 +36,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _near(name: str, tol) -> Column:
-    return F.abs(F.col(f"b.{name}") - F.col(f"g.{name}")) <= F.lit(tol).cast("decimal(18,2)")
+    return F.abs(F.col(f"b.{name}") - F.col(f"g.{name}")) <= F.lit(str(tol)).cast("decimal(28,10)")
 
 
 def _heads_near(tol) -> Column:
@@ -201,10 +201,12 @@ def results(books: DataFrame, statement: DataFrame, tol=0, **floors) -> DataFram
 
 
 def numbered_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with copy_no: 1 for the primary of each (gstin, type, number), more for surplus rows."""
-    by = Window.partitionBy(
-        text.norm(F.col("gstin")), "doc_type", text.strict_key(F.col("number"))
-    ).orderBy("ord")
+    """``docs`` with copy_no: 1 for the primary of each (gstin, type, number), more for surplus rows.
+
+    The primary is the first by ``row_ref`` as text, where there is one, then by ``ord``.
+    """
+    first = [c for c in ("row_ref", "ord") if c in docs.columns]
+    by = Window.partitionBy(text.norm(F.col("gstin")), "doc_type", text.strict_key(F.col("number"))).orderBy(*first)
     return docs.withColumn("copy_no", F.row_number().over(by))
 
 

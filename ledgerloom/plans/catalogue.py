@@ -308,7 +308,7 @@ def _lcs_ratio(a: str, b: str) -> str:
 
 def _folded() -> str:
     """The pairs of a group that commit, best first, each document once."""
-    return """list_reduce(list({'e': [[b.ord, g.ord]], 'mb': [b.ord], 'mg': [g.ord]} ORDER BY r), lambda acc, x:
+    return """list_reduce(list({'e': [[b_ord, g_ord]], 'mb': [b_ord], 'mg': [g_ord]} ORDER BY r), lambda acc, x:
     CASE WHEN list_contains(acc.mb, x.mb[1]) OR list_contains(acc.mg, x.mg[1]) THEN acc
     ELSE {'e': list_concat(acc.e, x.e), 'mb': list_concat(acc.mb, x.mb), 'mg': list_concat(acc.mg, x.mg)} END).e"""
 
@@ -336,15 +336,17 @@ anchored AS (SELECT b, g, CASE WHEN len(wrong) = 0 THEN 'EXACT' WHEN NOT nok AND
     WHEN nok AND dok THEN 'UNMATCHED' END AS category, array_to_string(wrong, ',') AS mismatches, 5 - len(wrong) AS n_ok, nsim + 100 AS similarity FROM checked),
 relaxed AS (SELECT b, g, {_lcs_ratio("b.gstin", "g.gstin")} AS gsim FROM b1 b JOIN g1 g ON b.doc_type = g.doc_type AND b.number = g.number
     AND b.invoice_date = g.invoice_date AND b.gstin <> g.gstin AND {values}),
-cands AS (SELECT b, g, category, mismatches, n_ok, similarity FROM anchored WHERE category IS NOT NULL
-  UNION ALL SELECT b, g, 'PROBABLE', 'gstin', 5, gsim + 100 FROM relaxed WHERE gsim >= 85),
-ranked AS (SELECT *, row_number() OVER (ORDER BY CASE category WHEN 'EXACT' THEN 0 WHEN 'PARTIAL' THEN 1 WHEN 'UNMATCHED' THEN 2 ELSE 3 END, -n_ok, -similarity, b.ord, g.ord) AS r FROM cands),
-first_won AS (SELECT x[1] AS wb, x[2] AS wg FROM (SELECT unnest({_folded()}) AS x FROM ranked WHERE category <> 'PROBABLE' GROUP BY b.doc_type, b.gstin)),
-rest AS (SELECT * FROM ranked WHERE category = 'PROBABLE' AND b.ord NOT IN (SELECT wb FROM first_won) AND g.ord NOT IN (SELECT wg FROM first_won)),
-won AS (SELECT * FROM first_won UNION ALL SELECT x[1], x[2] FROM (SELECT unnest({_folded()}) AS x FROM rest GROUP BY b.doc_type, b.number, b.invoice_date)),
-results AS (SELECT b, g, category, mismatches FROM cands JOIN won ON b.ord = wb AND g.ord = wg
-  UNION ALL SELECT b1, NULL, 'IN_BOOKS_NOT_2B', '' FROM b1 WHERE ord NOT IN (SELECT wb FROM won)
-  UNION ALL SELECT NULL, g1, 'IN_2B_NOT_BOOKS', '' FROM g1 WHERE ord NOT IN (SELECT wg FROM won)),
+cands AS MATERIALIZED (SELECT b.ord AS b_ord, g.ord AS g_ord, b.doc_type AS doc_type, b.gstin AS gstin, b.number AS number, b.invoice_date AS invoice_date,
+    category, mismatches, n_ok, similarity FROM anchored WHERE category IS NOT NULL
+  UNION ALL SELECT b.ord, g.ord, b.doc_type, b.gstin, b.number, b.invoice_date, 'PROBABLE', 'gstin', 5, gsim + 100 FROM relaxed WHERE gsim >= 85),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY CASE category WHEN 'EXACT' THEN 0 WHEN 'PARTIAL' THEN 1 WHEN 'UNMATCHED' THEN 2 ELSE 3 END, -n_ok, -similarity, b_ord, g_ord) AS r FROM cands),
+first_won AS MATERIALIZED (SELECT x[1] AS wb, x[2] AS wg FROM (SELECT unnest({_folded()}) AS x FROM ranked WHERE category <> 'PROBABLE' GROUP BY doc_type, gstin)),
+rest AS (SELECT * FROM ranked ANTI JOIN first_won f ON b_ord = f.wb ANTI JOIN first_won h ON g_ord = h.wg WHERE category = 'PROBABLE'),
+won AS MATERIALIZED (SELECT * FROM first_won UNION ALL SELECT x[1], x[2] FROM (SELECT unnest({_folded()}) AS x FROM rest GROUP BY doc_type, number, invoice_date)),
+outcome AS MATERIALIZED (SELECT b_ord, g_ord, category, mismatches FROM cands JOIN won ON b_ord = wb AND g_ord = wg
+  UNION ALL SELECT ord, NULL, 'IN_BOOKS_NOT_2B', '' FROM b1 ANTI JOIN won ON ord = wb
+  UNION ALL SELECT NULL, ord, 'IN_2B_NOT_BOOKS', '' FROM g1 ANTI JOIN won ON ord = wg),
+results AS (SELECT b, g, category, mismatches FROM outcome LEFT JOIN b1 b ON b.ord = b_ord LEFT JOIN g1 g ON g.ord = g_ord),
 register AS (
   SELECT b.ord AS b_ord, g.ord AS g_ord, 'EX-01' AS code, b.total AS itc_at_risk FROM results WHERE category = 'IN_BOOKS_NOT_2B' AND b.doc_type <> 'credit_note'
   UNION ALL SELECT b.ord, g.ord, 'EX-12', 0 FROM results WHERE category = 'IN_BOOKS_NOT_2B' AND b.doc_type = 'credit_note'
@@ -402,14 +404,14 @@ SELECT p_brand AS source_document, 'Chapter ' || repeat('X', CAST(1 + k % 9 AS B
   CAST(NULL AS INTEGER) AS part, p_brand || ', Section ' || number || ' (On ' || p_name || ')' AS citation FROM h"""
 
 ORACLES = {
-    "match_category_counts": _with("SELECT category, count(*) AS n FROM results GROUP BY 1"),
-    "match_results": _with("SELECT b.ord AS b_ord, g.ord AS g_ord, category, mismatches FROM results"),
-    "candidates": _with("SELECT b.ord AS b_ord, g.ord AS g_ord, category, mismatches, CAST(n_ok AS BIGINT) AS n_ok, round(similarity, 6) AS similarity FROM cands"),
+    "match_category_counts": _with("SELECT category, count(*) AS n FROM outcome GROUP BY 1"),
+    "match_results": _with("SELECT b_ord, g_ord, category, mismatches FROM outcome"),
+    "candidates": _with("SELECT b_ord, g_ord, category, mismatches, CAST(n_ok AS BIGINT) AS n_ok, round(similarity, 6) AS similarity FROM cands"),
     "documents_books": _with(f"SELECT {', '.join(BOOK_COLUMNS)} FROM books"),
     "documents_2b": _with(f"SELECT {', '.join(BOOK_COLUMNS)}, itc, period FROM statement"),
     "dedup_surplus": _with("SELECT ord, number, copy_no FROM bk WHERE copy_no > 1"),
-    "orphans_books": _with("SELECT b.ord AS b_ord FROM results WHERE category = 'IN_BOOKS_NOT_2B'"),
-    "orphans_2b": _with("SELECT g.ord AS g_ord FROM results WHERE category = 'IN_2B_NOT_BOOKS'"),
+    "orphans_books": _with("SELECT b_ord FROM outcome WHERE category = 'IN_BOOKS_NOT_2B'"),
+    "orphans_2b": _with("SELECT g_ord FROM outcome WHERE category = 'IN_2B_NOT_BOOKS'"),
     "finding_register": _with("SELECT * FROM named"),
     "findings_by_code": _with("SELECT code, count(*) AS n, CAST(sum(itc_at_risk) AS DECIMAL(18,2)) AS itc_at_risk FROM named GROUP BY 1"),
     "findings_by_severity": _with("SELECT severity, count(*) AS n, CAST(sum(itc_at_risk) AS DECIMAL(18,2)) AS itc_at_risk FROM named GROUP BY 1"),
@@ -430,7 +432,7 @@ ORACLES = {
     "plan_quotas": "SELECT 'EX-' || lpad(CAST(i AS STRING), 2, '0') AS code, (SELECT count(*) FROM orders) // 12 + CASE WHEN i <= (SELECT count(*) FROM orders) % 12 THEN 1 ELSE 0 END AS quota FROM range(1, 13) t(i)",
     "voucher_types": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 3) THEN 'credit_note' WHEN o_orderkey % 6 = 2 THEN 'debit_note' ELSE 'invoice' END AS doc_type FROM orders",
     "supplier_nested": _with("SELECT gstin, doc_type, count(*) AS n, md5('[' || string_agg('\"' || number || '\"', ',' ORDER BY ord, number) || ']') AS numbers_md5 FROM books GROUP BY 1, 2"),
-    "tolerance_results": _with("SELECT b.ord AS b_ord, g.ord AS g_ord, category, mismatches FROM results", 5),
+    "tolerance_results": _with("SELECT b_ord, g_ord, category, mismatches FROM outcome", 5),
     "event_rollup": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "gstin_validity": _with(f"SELECT DISTINCT gstin, {_digit('gstin')} = substr(gstin, 15, 1) AS valid, {_digit('gstin')} AS digit FROM (SELECT gstin FROM books UNION ALL SELECT gstin FROM statement)"),
     "invoice_keys": "SELECT o_orderkey, 'INV/00-' || o_orderkey AS strict, 'INV00' || o_orderkey AS loose FROM orders",

@@ -1,5 +1,4 @@
 import random
-import re
 
 from pyspark.sql import functions as F
 
@@ -21,23 +20,6 @@ Rule 31. Tax invoice. – A person shall issue.
 """
 
 
-def packed(text, size, lap):
-    """Paragraphs packed one after the other, then cut."""
-    if len(text) <= size:
-        return [text]
-    pieces, now = [], ""
-    for p in re.split(r"\n\s*\n", text):
-        joined = f"{now}\n\n{p}" if now else p
-        if len(joined) > size and now:
-            pieces.append(now)
-            now = f"{now[-lap:]}\n\n{p}" if lap else p
-        else:
-            now = joined
-    pieces += [now] if now else []
-    step = max(1, size - lap)
-    return [x for p in pieces for x in ([p] if len(p) <= size else [p[i : i + size] for i in range(0, len(p), step)])]
-
-
 def test_provisions(spark):
     df = spark.createDataFrame([("Act", STATUTE), ("none", None), ("empty", "")], "name string, text string")
     got = chunk.provisions(df, "name", "text").orderBy("position").collect()
@@ -52,15 +34,44 @@ def test_provisions(spark):
     assert all(r.part is None for r in got)
 
 
-def test_packing_equals_the_loop(spark):
-    rnd = random.Random(1)
-    texts = ["\n\n".join("p" * rnd.randint(0, 90) for _ in range(rnd.randint(1, 20))) for _ in range(40)]
-    texts += ["a" * 500, "", "x\n \t\ny", "b" * 100]
+def pieces_of(spark, texts, size, lap):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for size, lap in ((100, 0), (100, None), (200, 30)):
-        want = [packed(t, size, min(500, size // 5) if lap is None else lap) for t in texts]
-        got = [r[0] for r in df.select(chunk.pack(F.col("t"), size, lap)).collect()]
-        assert got == want
+    return [r[0] for r in df.select(chunk.pack(F.col("t"), size, lap)).collect()]
+
+
+def test_packing_by_hand(spark):
+    three = "aaaa\n\nbbbb\n \ncccc"
+    assert pieces_of(spark, [three, "", "short"], 10, 0) == [["aaaa\n\nbbbb", "cccc"], [""], ["short"]]
+    assert pieces_of(spark, [three], 10, 2) == [["aaaa\n\nbbbb", "bb\n\ncccc"]]
+    assert [len(p) for p in pieces_of(spark, ["x" * 25], 10, 4)[0]] == [10, 10, 10, 7, 1]
+
+
+def test_packing_holds_its_promises(spark):
+    rnd = random.Random(1)
+    texts = ["\n\n".join(rnd.choice("pqr") * rnd.randint(1, 60) for _ in range(rnd.randint(1, 20))) for _ in range(40)]
+    for text, got in zip(texts, pieces_of(spark, texts, 100, 0), strict=True):
+        assert all(len(p) <= 100 for p in got) and "\n\n".join(got) == text
+    for text, got in zip(texts, pieces_of(spark, texts, 100, 30), strict=True):
+        assert all(len(p) <= 100 for p in got)
+        assert all(b.startswith(a[-30:] + "\n\n") for a, b in zip(got, got[1:]))
+        assert "\n\n".join([got[0]] + [b[len(a[-30:]) + 2 :] for a, b in zip(got, got[1:])]) == text
+    long = ["y" * rnd.randint(90, 900) for _ in range(20)]
+    for text, got in zip(long, pieces_of(spark, long, 100, None), strict=True):
+        assert all(len(p) <= 100 for p in got) and got[0] + "".join(b[20:] for b in got[1:]) == text
+
+
+def test_headers_are_found_from_left_to_right(spark):
+    texts = [
+        "1. Alpha. -\n  2. Beta. - b\n3. Gamma. - c",
+        "CHAPTER I ONE\n1. A b. - x\rCHAPTER II TWO\n2. C d. - y\uffff2. E. - z\n",
+        "7. Zeta. -\n\n\n8. Eta. - h",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = [(r.source_document, r.section_number, r.text) for r in chunk.provisions(df, "n", "t").orderBy("source_document", "position").collect()]
+    assert got == [
+        (0, "1", "Alpha. 2. Beta. - b"), (0, "3", "Gamma. c"), (1, "1", "A b. x\rCHAPTER II TWO"), (1, "2", "C d. y2. E. - z"),
+        (2, "8", "Eta. h"),  # 7 takes up the lines between and is empty
+    ]
 
 
 def test_evaluation(spark):
