@@ -59,17 +59,29 @@ def _pair(df: DataFrame, b_cols, g_cols) -> DataFrame:
     )
 
 
+_CANDIDATE = ("b", "g", "category", "mismatches", "similarity")
+
+
 def candidates(books: DataFrame, statement: DataFrame, tol=0, number_floor=NUMBER_FLOOR, gstin_floor=GSTIN_FLOOR):
     """(b, g, category, mismatches, n_ok, similarity) of every pair that may match."""
     b, g = keyed(books), keyed(statement)
+    return anchored(b, g, tol, number_floor).unionByName(relaxed(b, g, tol, gstin_floor))
+
+
+def _values_near(tol) -> Column:
+    return _near("taxable", tol) & _near("total", tol) & _heads_near(tol)
+
+
+def anchored(b: DataFrame, g: DataFrame, tol=0, number_floor=NUMBER_FLOOR) -> DataFrame:
+    """The candidates of one supplier and type, of ``keyed`` documents."""
     cols = b.columns, g.columns
     bb, gg = b.alias("b"), g.alias("g")
     same_day = _pair(bb.join(gg, _same("doc_type", "gstin_norm", "invoice_date")), *cols)
     other_day = F.col("b.invoice_date") != F.col("g.invoice_date")
-    values = _near("taxable", tol) & _near("total", tol) & _heads_near(tol)
+    values = _values_near(tol)
     if tol:
         # a band join: each pair meets in one bucket of the side that is not spread
-        bucket = F.floor(F.col("taxable") / F.lit(tol))
+        bucket = F.floor(F.col("taxable") / F.lit(str(tol)).cast("decimal(18,6)"))
         near = F.explode(F.array(bucket - 1, bucket, bucket + 1))
         left, right = b.withColumn("k", near).alias("b"), g.withColumn("k", bucket).alias("g")
         band = left.join(right, _same("doc_type", "gstin_norm", "k") & other_day & values)
@@ -98,13 +110,21 @@ def candidates(books: DataFrame, statement: DataFrame, tol=0, number_floor=NUMBE
     wrong = F.filter(F.array(*(F.when(~ok, F.lit(n)) for n, ok in checks.items())), lambda x: x.isNotNull())
     found = found.withColumn("mismatches", wrong)
     n = F.size("mismatches")
-    anchored = found.withColumn(
+    checked = found.withColumn(
         "category",
         F.when(n == 0, "EXACT")
         .when(~number_ok & ~date_ok, None)
         .when(n == 1, "PARTIAL")
         .when(number_ok & date_ok, "UNMATCHED"),
     ).withColumn("similarity", F.col("number_sim") + 100.0)
+    return checked.filter(F.col("category").isNotNull()).select(*_CANDIDATE, (5 - F.size("mismatches")).alias("n_ok"))
+
+
+def relaxed(b: DataFrame, g: DataFrame, tol=0, gstin_floor=GSTIN_FLOOR) -> DataFrame:
+    """The candidates of one type, number and day whose suppliers differ a little, of ``keyed`` documents."""
+    cols = b.columns, g.columns
+    bb, gg = b.alias("b"), g.alias("g")
+    values = _values_near(tol)
     other = _pair(
         bb.join(
             gg, _same("doc_type", "strict", "invoice_date") & (F.col("b.gstin_norm") != F.col("g.gstin_norm")) & values
@@ -112,7 +132,7 @@ def candidates(books: DataFrame, statement: DataFrame, tol=0, number_floor=NUMBE
         *cols,
     )
     sim = text.indel_ratio(F.col("b.gstin_norm"), F.col("g.gstin_norm"))
-    relaxed = (
+    near_gstin = (
         other.withColumn("gstin_sim", sim)
         .filter(F.col("gstin_sim") >= gstin_floor)
         .withColumns(
@@ -123,10 +143,7 @@ def candidates(books: DataFrame, statement: DataFrame, tol=0, number_floor=NUMBE
             }
         )
     )
-    names = ["b", "g", "category", "mismatches", "similarity"]
-    out = anchored.filter(F.col("category").isNotNull()).select(*names).unionByName(relaxed.select(*names))
-    wrong_n = F.when(F.col("category") == "PROBABLE", 0).otherwise(F.size("mismatches"))
-    return out.withColumn("n_ok", 5 - wrong_n)
+    return near_gstin.select(*_CANDIDATE, F.lit(5).alias("n_ok"))
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,10 +176,13 @@ def _greedy(edges: DataFrame, *group: str) -> DataFrame:
     return out
 
 
-def matches(cands: DataFrame) -> DataFrame:
-    """The committed candidates: best first, each document once."""
+#: Documents whose candidates compete with each other: of one supplier first, then of what is left by number and day.
+FIRST, SECOND = ("doc_type", "gstin_norm"), ("doc_type", "strict", "invoice_date")
+
+
+def _edges(cands: DataFrame) -> DataFrame:
     pri = F.element_at(F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv)), F.col("category"))
-    edges = cands.select(
+    return cands.select(
         F.col("b.ord").alias("b_ord"),
         F.col("g.ord").alias("g_ord"),
         F.col("b.doc_type").alias("doc_type"),
@@ -173,13 +193,23 @@ def matches(cands: DataFrame) -> DataFrame:
         (-F.col("n_ok")).alias("rank_n"),
         (-F.col("similarity")).alias("rank_sim"),
     )
-    first = durable(_greedy(edges.filter("pri < 3"), "doc_type", "gstin_norm"), "anchored")
+
+
+def committed(cands: DataFrame, *group: str) -> DataFrame:
+    """(b_ord, g_ord) that the greedy order commits, where only candidates of one ``group`` compete."""
+    return _greedy(_edges(cands), *group)
+
+
+def matches(cands: DataFrame) -> DataFrame:
+    """The committed candidates: best first, each document once."""
+    edges = _edges(cands)
+    first = durable(_greedy(edges.filter("pri < 3"), *FIRST), "anchored")
     left = (
         edges.filter("pri = 3")
         .join(first.select("b_ord"), "b_ord", "left_anti")
         .join(first.select("g_ord"), "g_ord", "left_anti")
     )
-    second = _greedy(left, "doc_type", "strict", "invoice_date")
+    second = _greedy(left, *SECOND)
     won = first.unionByName(second).withColumnsRenamed({"b_ord": "w_b", "g_ord": "w_g"})
     return cands.join(won, (F.col("b.ord") == F.col("w_b")) & (F.col("g.ord") == F.col("w_g"))).drop("w_b", "w_g")
 

@@ -11,7 +11,7 @@ from ..functions import text
 from ..operators import chunk, evaluate, findings, reconcile, retrieve
 from ..sources import ledger, statement, writers
 from ..sources.durable import durable, shared
-from ..streaming import rollup
+from ..streaming import Matching, match_stream, rollup
 from . import cases, derived
 
 BOOK_COLUMNS = ["ord", "doc_type", "gstin", "number", "invoice_date", "taxable", "igst", "cgst", "sgst", "cess"]
@@ -164,6 +164,18 @@ def _tolerant(spark, sf_dir):
     return r.select(F.col("b.ord").alias("b_ord"), F.col("g.ord").alias("g_ord"), "category", F.array_join("mismatches", ",").alias("mismatches"))
 
 
+def _streamed(spark, sf_dir):
+    """Both sides arrive in three batches, dealt out by hash, and are matched as they do."""
+    folder = f"{shared(spark)}/arrivals-{uuid.uuid4().hex}"
+    sides = [derived.documents(spark, sf_dir, s).drop("defect").withColumn("side", F.lit(s)) for s in ("books", "statement")]
+    both = sides[0].unionByName(sides[1])
+    both.withColumn("wave", F.pmod(F.xxhash64("side", "ord"), F.lit(3))).repartition(3, "wave").drop("wave").write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    match_stream(arriving, f"{folder}/state", f"{folder}/log", 8).awaitTermination()
+    got = Matching(spark, f"{folder}/state").results().filter("category <> 'SURPLUS'")
+    return got.withColumn("mismatches", F.array_join("mismatches", ","))
+
+
 def _daily(spark, sf_dir):
     """The rollup run as a stream over the file until it is read."""
     kinds = _read(spark, sf_dir, "events").schema
@@ -285,6 +297,7 @@ QUERIES = {
     "supplier_nested": _nested,
     "tolerance_results": _tolerant,
     "event_rollup": _daily,
+    "stream_results": _streamed,
 }
 
 
@@ -432,6 +445,7 @@ ORACLES = {
     "plan_quotas": "SELECT 'EX-' || lpad(CAST(i AS STRING), 2, '0') AS code, (SELECT count(*) FROM orders) // 12 + CASE WHEN i <= (SELECT count(*) FROM orders) % 12 THEN 1 ELSE 0 END AS quota FROM range(1, 13) t(i)",
     "voucher_types": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 3) THEN 'credit_note' WHEN o_orderkey % 6 = 2 THEN 'debit_note' ELSE 'invoice' END AS doc_type FROM orders",
     "supplier_nested": _with("SELECT gstin, doc_type, count(*) AS n, md5('[' || string_agg('\"' || number || '\"', ',' ORDER BY ord, number) || ']') AS numbers_md5 FROM books GROUP BY 1, 2"),
+    "stream_results": _with("SELECT b_ord, g_ord, category, mismatches FROM outcome"),
     "tolerance_results": _with("SELECT b_ord, g_ord, category, mismatches FROM outcome", 5),
     "event_rollup": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "gstin_validity": _with(f"SELECT DISTINCT gstin, {_digit('gstin')} = substr(gstin, 15, 1) AS valid, {_digit('gstin')} AS digit FROM (SELECT gstin FROM books UNION ALL SELECT gstin FROM statement)"),

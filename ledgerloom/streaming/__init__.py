@@ -1,5 +1,6 @@
-"""Streams of documents: files as they arrive, and rollups over event time."""
+"""Streams of documents: files as they arrive, matches kept up to date, and rollups over event time."""
 
 from .documents import rollup, watch_statements
+from .matching import Matching, match_stream
 
-__all__ = ["rollup", "watch_statements"]
+__all__ = ["Matching", "match_stream", "rollup", "watch_statements"]

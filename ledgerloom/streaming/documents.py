@@ -21,17 +21,14 @@ def rollup(events: DataFrame, time: str, key: str, value: str, width: str = "1 d
 
 
 def watch_statements(spark: SparkSession, folder: str, table: str, checkpoint: str):
-    """Append the documents of each statement file that arrives in ``folder`` to the Parquet table ``table``.
+    """Append the documents of the statement files that arrive in ``folder`` to the Parquet table ``table``.
 
-    The file source remembers what it has read, and each batch writes a folder
-    of its own number, so a batch that is run again replaces itself.
+    The file source remembers what it has read, and all files of a batch are read
+    together into a folder of the batch's number, so a batch that is run again replaces itself.
     """
-    names = spark.readStream.format("binaryFile").load(folder).select("path")
 
     def add(batch: DataFrame, number: int) -> None:
-        paths = [r["path"] for r in batch.collect()]  # the names of one batch's files
-        for i, path in enumerate(paths):
-            docs = statement.scan_statements(batch.sparkSession, path)
-            docs.write.mode("overwrite").parquet(f"{table}/batch={number}/file={i}")
+        statement.documents_of(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return names.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    files = statement.raw_files(spark.readStream, folder)
+    return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
