@@ -52,7 +52,11 @@ def loose_key(x: Column) -> Column:
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
-    """200 * LCS / (|a| + |b|); 100 where the strings are equal."""
+    """200 * LCS / (|a| + |b|); 100 where the strings are equal.
+
+    In a select that also names an output like a column of ``a`` or ``b``, Spark takes that output for the
+    column inside lambdas: compute the ratio in a select of its own there.
+    """
     row = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
 
     def next_row(prev, ch):
@@ -82,10 +86,10 @@ def parse_date(x: Column) -> Column:
 
 
 def parse_amount(x: Column) -> Column:
-    """Decimal with two places, half-even; blank is 0, (x) is negative, null where it is no number."""
+    """Decimal with two places, half-even; blank is 0, (x) is negative, null where it is no number or has more than 16 digits before the point."""
     t = F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"(?U)[,\s₹]", "")
     t = F.regexp_replace(t, r"^\((.*)\)$", "-$1")
-    value = F.bround(t.try_cast("decimal(38,10)"), 2).cast("decimal(18,2)")
+    value = F.bround(t.try_cast("decimal(38,10)"), 2).try_cast("decimal(18,2)")
     return F.when(t == "", F.lit(0).cast("decimal(18,2)")).otherwise(value)
 
 

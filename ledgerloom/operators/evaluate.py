@@ -52,3 +52,8 @@ def gate(codes: DataFrame, cleans: DataFrame, unrecovered: int) -> bool:
     """Whether every code with cases has precision and recall 1, no clean case a finding and every finding a case."""
     bad = codes.filter("tp + fp + fn > 0 AND (precision < 1 OR recall < 1)")
     return not unrecovered and cleans.first()["false_positives"] == 0 and bad.isEmpty()
+
+
+def unrecovered(found: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` evidences, by ``ordinal``, of findings without a case, for the report."""
+    return found.filter("case_id IS NULL").orderBy("ordinal").limit(n).select("ordinal", "evidence")

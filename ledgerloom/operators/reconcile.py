@@ -214,10 +214,11 @@ def matches(cands: DataFrame) -> DataFrame:
     return cands.join(won, (F.col("b.ord") == F.col("w_b")) & (F.col("g.ord") == F.col("w_g"))).drop("w_b", "w_g")
 
 
-def results(books: DataFrame, statement: DataFrame, tol=0, **floors) -> DataFrame:
-    """(b, g, category, mismatches): matched pairs and the orphans of both sides."""
+def results(books: DataFrame, statement: DataFrame, tol=0, ranked: bool = False, **floors) -> DataFrame:
+    """(b, g, category, mismatches): matched pairs and the orphans of both sides; ``ranked`` adds n_ok and similarity, null for orphans."""
     cands = durable(candidates(books, statement, tol, **floors), "candidates")
-    won = durable(matches(cands).select("b", "g", "category", "mismatches"), "matches")
+    ranks = ["n_ok", "similarity"] if ranked else []
+    won = durable(matches(cands).select("b", "g", "category", "mismatches", *ranks), "matches")
     b, g = keyed(books), keyed(statement)
     no = F.array().cast("array<string>").alias("mismatches")
     b_type, g_type = won.schema["b"].dataType, won.schema["g"].dataType
@@ -227,7 +228,7 @@ def results(books: DataFrame, statement: DataFrame, tol=0, **floors) -> DataFram
     lone_g = g.join(won.select(F.col("g.ord").alias("ord")), "ord", "left_anti").select(
         F.lit(None).cast(b_type).alias("b"), F.struct(*g.columns).alias("g"), F.lit("IN_2B_NOT_BOOKS").alias("category"), no
     )
-    return won.unionByName(lone_b).unionByName(lone_g)
+    return won.unionByName(lone_b, ranked).unionByName(lone_g, ranked)
 
 
 def numbered_copies(docs: DataFrame) -> DataFrame:
@@ -240,9 +241,9 @@ def numbered_copies(docs: DataFrame) -> DataFrame:
     return docs.withColumn("copy_no", F.row_number().over(by))
 
 
-def reconcile_full(books: DataFrame, statement: DataFrame, tol=0):
+def reconcile_full(books: DataFrame, statement: DataFrame, tol=0, **more):
     """(results, surplus books, surplus statement rows): duplicates leave before matching."""
     b, g = numbered_copies(books), numbered_copies(statement)
     first = [d.filter("copy_no = 1").drop("copy_no") for d in (b, g)]
     rest = [d.filter("copy_no > 1").drop("copy_no") for d in (b, g)]
-    return results(*first, tol), *rest
+    return results(*first, tol, **more), *rest

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import chunk, evaluate, findings, reconcile, retrieve
+from ..functions import sql, text
+from ..operators import chunk, evaluate, findings, ordering, reconcile, retrieve
 from ..sources import ledger, statement, writers
 from ..sources.durable import durable, shared
+from ..sources.versions import Collection
 from ..streaming import Matching, match_stream, rollup
 from . import cases, derived
 
@@ -121,7 +122,7 @@ def _ingested(side):
     return run
 
 
-def _statute(spark, sf_dir):
+def _statute_texts(spark, sf_dir):
     p = _read(spark, sf_dir, "part").withColumn(
         "r", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     )
@@ -132,7 +133,11 @@ def _statute(spark, sf_dir):
         F.lit(".  - (1) The "), "p_type", F.lit("\tis  supplied.\n\n(2) Of size "), F.col("p_size").cast("string"), F.lit(".\n"),
     )
     docs = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("r", line.alias("line")))).alias("x"))
-    docs = docs.select("p_brand", F.concat(F.lit("Contents\n"), F.array_join("x.line", "")).alias("text"))
+    return docs.select("p_brand", F.concat(F.lit("Contents\n"), F.array_join("x.line", "")).alias("text"))
+
+
+def _statute(spark, sf_dir):
+    docs = _statute_texts(spark, sf_dir)
     c = chunk.provisions(docs, "p_brand", "text")
     cite = chunk.citation(F.col("source_document"), F.col("section_number"), F.col("section_title"))
     return c.select("source_document", "chapter", "section_number", "section_title", "text", "part", cite.alias("citation"))
@@ -164,6 +169,59 @@ def _tolerant(spark, sf_dir):
     return r.select(F.col("b.ord").alias("b_ord"), F.col("g.ord").alias("g_ord"), "category", F.array_join("mismatches", ",").alias("mismatches"))
 
 
+def _ordered(spark, sf_dir):
+    b, g = _sides(spark, sf_dir)
+    r, mb, mg = reconcile.reconcile_full(b, g, ranked=True)
+    return ordering.ordered_results(r), mb, mg, b, g
+
+
+def _ordered_results(spark, sf_dir):
+    r = _ordered(spark, sf_dir)[0]
+    return r.select("ordinal", F.col("b.ord").alias("b_ord"), F.col("g.ord").alias("g_ord"), "category", F.array_join("mismatches", ",").alias("mismatches"))
+
+
+def _ordered_findings(spark, sf_dir):
+    r, mb, mg, b, g = _ordered(spark, sf_dir)
+    f = ordering.ordered_findings(findings.register(r, mb, mg, b, g), r, b, g)
+    return f.select("ordinal", "b_ord", "g_ord", "code")
+
+
+def _sql_scalars(spark, sf_dir):
+    """The scalar rules in SQL text over the documents of both sides."""
+    sql.register(spark)
+    sides = {s: derived.documents(spark, sf_dir, s).select("ord", "gstin", "number", "invoice_date", "taxable") for s in ("books", "statement")}
+    return spark.sql(
+        """SELECT b.ord, gstin_is_valid(b.gstin) AS valid, gstin_check_digit(norm_text(b.gstin)) AS digit, invoice_strict_key(b.number) AS strict,
+          invoice_loose_key(b.number) AS loose, ledger_date(date_format(b.invoice_date, 'd-MMM-yy')) AS day,
+          ledger_amount(concat('(₹ ', b.taxable, ')')) AS amount, expected_period(b.invoice_date) AS period,
+          round(invoice_similarity(b.number, g.number), 6) AS number_similarity, round(gstin_similarity(b.gstin, g.gstin), 6) AS gstin_similarity
+        FROM {books} b LEFT JOIN {statement} g ON b.ord = g.ord""",
+        **sides,
+    )
+
+
+def _sql_headers(spark, sf_dir):
+    """Headers of provisions by the table function, and the words of each in SQL text."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT s.p_brand AS source_document, h.position, h.section_number, h.section_title,
+          substr(s.text, 1 + CAST(h.body_start AS INT), 7) AS opening FROM {statutes} s, LATERAL provision_headers(s.text) h""",
+        statutes=_statute_texts(spark, sf_dir),
+    )
+
+
+def _collected(spark, sf_dir):
+    """A collection of all vectors, those of toxic documents put in anew with a mark, those of poor ones deleted."""
+    e, labels = _read(spark, sf_dir, "embeddings").withColumn("mark", F.lit("first")), _read(spark, sf_dir, "labels")
+    points = Collection(spark, f"{shared(spark)}/collection-{uuid.uuid4().hex}", "vec_id", "embedding")
+    points.ensure(e.select(F.max(F.size("embedding"))).first()[0], 16)
+    points.upsert(e)
+    toxic = labels.filter("toxic = 1").select(F.col("doc_id").alias("vec_id"))
+    points.upsert(e.join(toxic, "vec_id", "left_semi").withColumn("mark", F.lit("anew")))
+    got = points.delete(labels.filter("quality = 0").select(F.col("doc_id").alias("vec_id")))
+    return got.select("vec_id", "mark", F.size("embedding").cast("long").alias("dimensions"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("x0"))
+
+
 def _streamed(spark, sf_dir):
     """Both sides arrive in three batches, dealt out by hash, and are matched as they do."""
     folder = f"{shared(spark)}/arrivals-{uuid.uuid4().hex}"
@@ -298,6 +356,11 @@ QUERIES = {
     "tolerance_results": _tolerant,
     "event_rollup": _daily,
     "stream_results": _streamed,
+    "ordered_results": _ordered_results,
+    "ordered_findings": _ordered_findings,
+    "sql_scalars": _sql_scalars,
+    "sql_headers": _sql_headers,
+    "collection_versions": _collected,
 }
 
 
@@ -416,6 +479,25 @@ SELECT p_brand AS source_document, 'Chapter ' || repeat('X', CAST(1 + k % 9 AS B
   || CASE WHEN r % 7 = 0 AND r < n THEN chr(10) || 'CHAPTER ' || repeat('X', CAST(1 + k2 % 9 AS BIGINT)) || ' OF PART ' || k2 ELSE '' END AS text,
   CAST(NULL AS INTEGER) AS part, p_brand || ', Section ' || number || ' (On ' || p_name || ')' AS citation FROM h"""
 
+_PLACED = """placed AS (SELECT row_number() OVER (ORDER BY coalesce(b.doc_type, g.doc_type), CASE o.category WHEN 'IN_BOOKS_NOT_2B' THEN 1 WHEN 'IN_2B_NOT_BOOKS' THEN 2 ELSE 0 END,
+    r, o.b_ord, o.g_ord) - 1 AS ordinal, o.* FROM outcome o LEFT JOIN ranked k ON k.b_ord = o.b_ord AND k.g_ord = o.g_ord LEFT JOIN b1 b ON b.ord = o.b_ord LEFT JOIN g1 g ON g.ord = o.g_ord)"""
+
+_EMITTED = f"""SELECT row_number() OVER (ORDER BY stage, k1, step, b_ord, g_ord) - 1 AS ordinal, b_ord, g_ord, code FROM (
+  SELECT n.b_ord, n.g_ord, n.code, CASE WHEN n.code = 'EX-10' THEN CASE WHEN n.g_ord IS NULL THEN 1 ELSE 2 END
+      WHEN n.code = 'EX-06' AND n.g_ord IS NULL THEN 3 WHEN n.code = 'EX-06' AND n.b_ord IS NULL THEN 4 ELSE 0 END AS stage,
+    CASE stage WHEN 0 THEN p.ordinal WHEN 1 THEN fb.f WHEN 2 THEN fg.f ELSE coalesce(n.b_ord, n.g_ord) END AS k1,
+    list_position(['EX-06', 'EX-03', 'EX-04', 'EX-05', 'EX-07', 'EX-09', 'EX-08'], n.code) AS step
+  FROM named n LEFT JOIN placed p ON p.b_ord IS NOT DISTINCT FROM n.b_ord AND p.g_ord IS NOT DISTINCT FROM n.g_ord
+  LEFT JOIN (SELECT ord, min(ord) OVER (PARTITION BY upper(trim(gstin)), doc_type, upper(trim(number))) AS f FROM books) fb ON fb.ord = n.b_ord
+  LEFT JOIN (SELECT ord, min(ord) OVER (PARTITION BY upper(trim(gstin)), doc_type, upper(trim(number))) AS f FROM statement) fg ON fg.ord = n.g_ord)"""
+
+
+def _and(ctes: str, final: str) -> str:
+    """``_with`` with more common tables before its last query."""
+    head = _with("")
+    return f"{head.rstrip()},\n{ctes}\n{final}"
+
+
 ORACLES = {
     "match_category_counts": _with("SELECT category, count(*) AS n FROM outcome GROUP BY 1"),
     "match_results": _with("SELECT b_ord, g_ord, category, mismatches FROM outcome"),
@@ -445,6 +527,16 @@ ORACLES = {
     "plan_quotas": "SELECT 'EX-' || lpad(CAST(i AS STRING), 2, '0') AS code, (SELECT count(*) FROM orders) // 12 + CASE WHEN i <= (SELECT count(*) FROM orders) % 12 THEN 1 ELSE 0 END AS quota FROM range(1, 13) t(i)",
     "voucher_types": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 3) THEN 'credit_note' WHEN o_orderkey % 6 = 2 THEN 'debit_note' ELSE 'invoice' END AS doc_type FROM orders",
     "supplier_nested": _with("SELECT gstin, doc_type, count(*) AS n, md5('[' || string_agg('\"' || number || '\"', ',' ORDER BY ord, number) || ']') AS numbers_md5 FROM books GROUP BY 1, 2"),
+    "ordered_results": _and(_PLACED, "SELECT ordinal, b_ord, g_ord, category, mismatches FROM placed"),
+    "ordered_findings": _and(_PLACED, _EMITTED),
+    "sql_scalars": _with(f"""SELECT b.ord, {_digit('b.gstin')} = substr(b.gstin, 15, 1) AS valid, {_digit('b.gstin')} AS digit, upper(trim(b.number)) AS strict, b.loose,
+      CAST(b.invoice_date AS DATE) AS day, CAST(-b.taxable AS DECIMAL(18,2)) AS amount, strftime(b.invoice_date, '%m%Y') AS period,
+      CASE WHEN g.ord IS NOT NULL THEN round({_lcs_ratio('b.loose', 'g.loose')}, 6) END AS number_similarity,
+      CASE WHEN g.ord IS NOT NULL THEN round({_lcs_ratio('b.gstin', 'g.gstin')}, 6) END AS gstin_similarity FROM bk b LEFT JOIN gk g ON b.ord = g.ord"""),
+    "sql_headers": """SELECT p_brand AS source_document, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS position, CAST(p_partkey % 900 + 1 AS STRING) AS section_number,
+      'On ' || p_name AS section_title, '(1) The' AS opening FROM part""",
+    "collection_versions": """SELECT vec_id, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = vec_id AND l.toxic = 1) THEN 'anew' ELSE 'first' END AS mark,
+      len(embedding) AS dimensions, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = vec_id AND l.quality = 0)""",
     "stream_results": _with("SELECT b_ord, g_ord, category, mismatches FROM outcome"),
     "tolerance_results": _with("SELECT b_ord, g_ord, category, mismatches FROM outcome", 5),
     "event_rollup": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
