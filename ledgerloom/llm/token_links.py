@@ -1,7 +1,8 @@
 """Where the tokens of two vocabularies meet: groups, links and how often a link occurs.
 
 Both vocabularies cut the same bytes. Python only tokenises: each document
-becomes two arrays of ids and two of byte offsets where tokens end. All else are
+becomes two arrays of ids, two of byte offsets where tokens end, and the same offsets
+with ids and with places in one number each, ready to be sorted. All else are
 higher-order functions over them. Offsets where both end (``array_intersect``)
 cut the document into groups. What stands before what comes from sorting: in the
 sorted array of a side's tokens and the cuts, groups are the runs between cuts;
@@ -40,7 +41,7 @@ from .token_counts import LETTERS, SPLIT
 
 #: Pairs that may be broadcast. A pair of more than 1 / FREQUENT of all (document, pair) rows is one of fewer than so many.
 FREQUENT = 100_000
-OUT_ROWS = 64
+OUT_ROWS = 32
 
 
 # ---- tokenising --------------------------------------------------------------
@@ -108,12 +109,17 @@ class Pieces:
         return self.library.encode(texts, num_threads=1)
 
 
-#: arrays without nulls, which Spark sorts as plain numbers
-TOKENS = [T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in ("a_ids", "a_ends", "b_ids", "b_ends")]
+#: (end, side, place) in one number, so that ends sort with side a before side b
+_END, _SIDE = 32, 31
+#: arrays without nulls, which Spark sorts as plain numbers; _at: (end, id), _places: (end, side, place)
+_PLAIN, _PACKED = ("a_ids", "a_ends", "b_ids", "b_ends"), ("a_at", "b_at", "a_places", "b_places")
+TOKENS = [T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in _PLAIN]
+TOKENS += [T.StructField(n, T.ArrayType(T.LongType(), False)) for n in _PACKED]
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str, key="doc_id", text="text") -> DataFrame:
-    """(key, a_ids, a_ends, b_ids, b_ends) per row: ids of both vocabularies and the bytes where each token ends."""
+    """(key, a_ids, a_ends, b_ids, b_ends, and a_at, b_at, a_places, b_places) per row: ids of both vocabularies and
+    the bytes where each token ends; those ends packed with ids, and with side and place."""
     spark = docs.sparkSession
     a_file, b_file = vocab.shipped(spark, a_path), vocab.shipped(spark, b_path)
     slim = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -125,43 +131,48 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, key="doc_id", text="tex
         a = vocab.parsed(a_file.value, "links-byte-level", ByteLevel)
         b = vocab.parsed(b_file.value, "links-pieces", Pieces)
         empty = np.array([], np.int32)
+        names = ["key", *_PLAIN, *_PACKED]
+
+        def packed(x, y):
+            ends = [np.cumsum(v.lengths[ids], dtype=np.int64) for v, ids in ((a, x), (b, y))]
+            high = [e << _END for e in ends]
+            places = [h + np.arange(len(h)) + (side << _SIDE) for side, h in enumerate(high)]
+            return x, ends[0].astype(np.int32), y, ends[1].astype(np.int32), high[0] + x, high[1] + y, *places
 
         def sides(texts):
             for text, y in zip(texts, b.encode(texts), strict=True):
                 raw = b" " + text.encode("utf-8")
                 if not text or b"".join(map(b.entries.__getitem__, y)) != raw:
-                    yield empty, empty, empty, empty
+                    yield packed(empty, empty)
                     continue
                 x, known = a.encode(" " + text)
                 if not known and b"".join(map(a.entries.__getitem__, x)) != raw:
-                    yield empty, empty, empty, empty
+                    yield packed(empty, empty)
                     continue
-                x, y = np.asarray(x, np.int32), np.array(y, np.int32)
-                yield x, np.cumsum(a.lengths[x], dtype=np.int32), y, np.cumsum(b.lengths[y], dtype=np.int32)
+                yield packed(np.asarray(x, np.int32), np.array(y, np.int32))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(lo, OUT_ROWS)
                 columns = zip(*sides(part.column(1).to_pylist()), strict=True)
-                arrays = [pa.array(list(c), pa.list_(pa.int32())) for c in columns]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["key", "a_ids", "a_ends", "b_ids", "b_ends"])
+                kinds = [pa.int32()] * len(_PLAIN) + [pa.int64()] * len(_PACKED)
+                arrays = [pa.array(list(c), pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=names)
 
     return slim.mapInArrow(run, schema)
 
 
 # ---- groups and links --------------------------------------------------------
 
-#: (end, side, place) in one number, so that ends sort with side a before side b
-_END, _SIDE = 32, 31
 #: stands for a cut where ids stand; no id is so large, and it sorts behind them
 _MARK = (1 << 32) - 1
 
+
 def _sides(side: str) -> Column:
     """The ids of a side as texts, one for each group: ids and cuts sorted by their place, joined, and split at the cuts."""
     return F.expr(
         f"""split(array_join(CAST(transform(
-              sort_array(concat(zip_with({side}_ends, {side}_ids, (e, i) -> shiftleft(CAST(e AS BIGINT), {_END}) + i),
-                                transform(cuts, c -> shiftleft(CAST(c AS BIGINT), {_END}) + {_MARK}))),
+              sort_array(concat({side}_at, transform(cuts, c -> shiftleft(CAST(c AS BIGINT), {_END}) + {_MARK}))),
               v -> v & {_MARK}) AS ARRAY<STRING>), ','), ',{_MARK},?')"""
     )
 
@@ -181,17 +192,13 @@ def _links() -> Column:
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """``tokens`` with n_a, n_b, groups (their text form) and links (a id * 2**32 + b id) of each row."""
-    ends = F.expr(
-        f"""sort_array(concat(
-              transform(a_ends, (e, i) -> shiftleft(CAST(e AS BIGINT), {_END}) + i),
-              transform(b_ends, (e, i) -> shiftleft(CAST(e AS BIGINT), {_END}) + shiftleft(1L, {_SIDE}) + i)))"""
-    )
+    ends = F.sort_array(F.concat("a_places", "b_places"))
     cuts = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "ends": ends})
     # the split leaves an empty text behind the last cut, which has no group
     placed = cuts.withColumn("whole", F.zip_with(_sides("a"), _sides("b"), lambda x, y: F.concat(x, F.lit("|"), y)))
     group = F.slice("whole", F.lit(1), F.size("cuts"))
     return placed.select(
-        *(c for c in tokens.columns if c not in ("a_ids", "a_ends", "b_ids", "b_ends")),
+        *(c for c in tokens.columns if c not in _PLAIN + _PACKED),
         F.size("a_ids").cast("long").alias("n_a"),
         F.size("b_ids").cast("long").alias("n_b"),
         F.size("cuts").cast("long").alias("n_groups"),
