@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sql, text
-from ..operators import chunk, evaluate, findings, ordering, reconcile, retrieve
+from ..operators import chunk, embed, evaluate, findings, ordering, reconcile, retrieve
 from ..sources import ledger, statement, writers
 from ..sources.durable import durable, shared
 from ..sources.versions import Collection
@@ -222,6 +222,12 @@ def _collected(spark, sf_dir):
     return got.select("vec_id", "mark", F.size("embedding").cast("long").alias("dimensions"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("x0"))
 
 
+def _text_vectors(spark, sf_dir):
+    v = embed.hashed(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    cells = v.select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
+    return cells.filter("weight > 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
+
+
 def _streamed(spark, sf_dir):
     """Both sides arrive in three batches, dealt out by hash, and are matched as they do."""
     folder = f"{shared(spark)}/arrivals-{uuid.uuid4().hex}"
@@ -361,6 +367,7 @@ QUERIES = {
     "sql_scalars": _sql_scalars,
     "sql_headers": _sql_headers,
     "collection_versions": _collected,
+    "text_vectors": _text_vectors,
 }
 
 
@@ -537,6 +544,9 @@ ORACLES = {
       'On ' || p_name AS section_title, '(1) The' AS opening FROM part""",
     "collection_versions": """SELECT vec_id, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = vec_id AND l.toxic = 1) THEN 'anew' ELSE 'first' END AS mark,
       len(embedding) AS dimensions, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = vec_id AND l.quality = 0)""",
+    "text_vectors": """WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents),
+      c AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 4) AS BIGINT) % 64 AS bucket, count(*) AS n FROM w WHERE w <> '' GROUP BY 1, 2)
+      SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""",
     "stream_results": _with("SELECT b_ord, g_ord, category, mismatches FROM outcome"),
     "tolerance_results": _with("SELECT b_ord, g_ord, category, mismatches FROM outcome", 5),
     "event_rollup": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
