@@ -86,3 +86,32 @@ def test_bridge_closes(spark):
     t = findings.totals(b, g).first()
     assert len(lines) == 5
     assert t.books + sum(x.amount for x in lines) == t.available
+
+
+def test_pairs_that_agree_in_all_are_not_scored_again(spark, monkeypatch):
+    rnd = random.Random(5)
+    b = [(i, "invoice", GSTINS[i % 2], f"INV/{i:06d}", *docs(rnd, 1, 0)[0][4:]) for i in range(40)]
+    b += [(40, "invoice", " " + GSTINS[0].lower(), " inv/000000", *b[0][4:])]  # a copy, by its normal form
+    g = [(1000 + r[0], *r[1:]) for r in b[:40]]
+    g[7] = (*g[7][:5], g[7][5] + 10, *g[7][6:])
+    written, whole = {}, reconcile.durable
+
+    def kept(df, label):
+        out = whole(df, label)
+        written.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(reconcile, "durable", kept)
+    for tol in (0, 5):
+        written.clear()
+        books, other = spark.createDataFrame(b, SCHEMA), spark.createDataFrame(g, SCHEMA)
+        r, mb, mg = reconcile.reconcile_full(books, other, tol)
+        got = {(x.b.ord, x.g.ord): x for x in r.collect()}
+        assert set(got) == {(i, 1000 + i) for i in range(40)}
+        assert [x.ord for x in mb.collect()] == [40] and mg.count() == 0
+        assert written["candidates"][0].filter("b.ord <> 7").isEmpty()
+        assert got[7, 1007].category == "PARTIAL" and got[8, 1008].category == "EXACT"
+        # what a pair says of its documents is whole, though it was stored once
+        keyed = {s: {x.ord: x for x in reconcile.keyed(d).collect()} for s, d in (("b", books), ("g", other))}
+        for (i, j), x in got.items():
+            assert x.b.asDict() == keyed["b"][i].asDict() and x.g.asDict() == keyed["g"][j].asDict()
