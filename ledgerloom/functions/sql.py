@@ -59,11 +59,16 @@ FUNCTIONS = {
 }
 
 
+#: Characters of a provision that ``provision_headers`` shows.
+OPENING = 80
+
+
 @udtf
 class ProvisionHeaders:
-    """(position, section_number, section_title, char_start, body_start) of each header of a text, in characters from 0.
+    """(position, section_number, section_title, char_start, body_start, opening) of each header of a text, in characters from 0.
 
-    Headers are found from left to right, each behind the end of the one before.
+    ``opening`` is the first ``OPENING`` characters behind the header: taking them here reads a text once, while
+    ``substr`` of the whole text beside each header reads it as often as it has headers. Headers are found from left to right, each behind the end of the one before.
     Null text has none; an argument that is not a text is refused when the query is analysed.
     """
 
@@ -72,17 +77,19 @@ class ProvisionHeaders:
         if not isinstance(body.dataType, (T.StringType, T.NullType)):
             raise ValueError(f"provision_headers takes a text, not {body.dataType.simpleString()}")
         numbers = ("position", "char_start", "body_start")
-        names = ("position", "section_number", "section_title", "char_start", "body_start")
+        names = ("position", "section_number", "section_title", "char_start", "body_start", "opening")
         return AnalyzeResult(T.StructType([T.StructField(n, T.LongType() if n in numbers else T.StringType()) for n in names]))
 
     def __init__(self):
+        from ledgerloom.functions.sql import OPENING
         from ledgerloom.operators.chunk import SECTION
 
+        self.shown = OPENING
         self.header = re.compile(f"^{SECTION}", re.M | re.A)
 
     def eval(self, body):
         for i, m in enumerate(self.header.finditer(body or "")):
-            yield i, m[1], m[2].strip(), m.start(), m.end()
+            yield i, m[1], m[2].strip(), m.start(), m.end(), body[m.end() : m.end() + self.shown]
 
 
 def register(spark: SparkSession) -> None:

@@ -53,3 +53,12 @@ def test_headers_refuse_what_is_no_text(spark):
     sql.register(spark)
     with pytest.raises(Exception, match="takes a text, not int"):
         spark.sql("SELECT * FROM provision_headers(CAST(1 AS INT))").collect()
+
+
+def test_headers_show_how_their_provisions_open(spark):
+    sql.register(spark)
+    rows = [(1, "7. Levy. - ₹ tax.\n8. Credit. - " + "x" * 200)]
+    df = spark.createDataFrame(rows, "id int, body string")
+    got = spark.sql("SELECT h.* FROM {t} t, LATERAL provision_headers(t.body) h", t=df).collect()
+    assert len(got) == 2
+    assert all(r.opening == rows[0][1][r.body_start : r.body_start + sql.OPENING] for r in got)
