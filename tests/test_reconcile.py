@@ -115,3 +115,46 @@ def test_pairs_that_agree_in_all_are_not_scored_again(spark, monkeypatch):
         keyed = {s: {x.ord: x for x in reconcile.keyed(d).collect()} for s, d in (("b", books), ("g", other))}
         for (i, j), x in got.items():
             assert x.b.asDict() == keyed["b"][i].asDict() and x.g.asDict() == keyed["g"][j].asDict()
+
+
+def test_what_is_not_wanted_of_a_document_is_not_kept(spark, monkeypatch):
+    rnd = random.Random(6)
+    b = [(i, "invoice", GSTINS[i % 2], f"INV/{i:06d}", *docs(rnd, 1, 0)[0][4:]) for i in range(12)]
+    b.append((40, *b[0][1:]))
+    g = [(1000 + r[0], *r[1:]) for r in b[:10]]
+    g[3] = (*g[3][:5], g[3][5] + 10, *g[3][6:])
+    g.append((2000, "invoice", GSTINS[0], "X9", *b[0][4:]))
+    books, other = spark.createDataFrame(b, SCHEMA), spark.createDataFrame(g, SCHEMA)
+    written, whole = {}, reconcile.durable
+
+    def kept(df, label):
+        written[label] = whole(df, label)
+        return written[label]
+
+    monkeypatch.setattr(reconcile, "durable", kept)
+    all_of_it = reconcile.reconcile_full(books, other)
+    for keep in (("ord",), ("ord", "doc_type"), ("ord", "number", *reconcile.HEADS)):
+        got = reconcile.reconcile_full(books, other, keep=keep)
+        for r, full in zip(got[1:], all_of_it[1:], strict=True):
+            assert r.columns == [c for c in full.columns if c in keep]
+            assert sorted(r.collect()) == sorted(full.select(*r.columns).collect())
+        shown = got[0].schema["b"].dataType.names
+        assert set(keep) <= set(shown) and "gstin_norm" not in shown and ("strict" in shown) == ("number" in keep)
+        ends = [F.when(F.col(s).isNotNull(), F.struct(*(f"{s}.{c}" for c in shown))).alias(s) for s in ("b", "g")]
+        same = [r.select(*ends, "category", "mismatches") for r in (got[0], all_of_it[0])]
+        assert same[0].exceptAll(same[1]).isEmpty() and same[1].exceptAll(same[0]).isEmpty()
+        gone = written["met"].filter("exact OR b_copy > 1").select("b.gstin", "b.taxable", "g.taxable").distinct().collect()
+        assert [tuple(x) for x in gone] == [(None, None, None)]
+
+
+def test_invalid_numbers_are_found_where_documents_lie(spark):
+    rnd = random.Random(7)
+    b = [*docs(rnd, 8, 0), (90, "invoice", "27AAPFU0939F1ZX", *docs(rnd, 1, 0)[0][3:]), (91, "credit_note", None, *docs(rnd, 1, 0)[0][3:])]
+    b, g = spark.createDataFrame(b, SCHEMA), spark.createDataFrame(docs(rnd, 8, 1000), SCHEMA)
+    r, mb, mg = reconcile.reconcile_full(b, g)
+    alone = findings.register(r.limit(0), mb.limit(0), mg.limit(0), b, g).filter("code = 'EX-06'")
+    got = {(x.b_ord, x.g_ord, x.itc_at_risk) for x in alone.collect()}
+    total = {x.ord: sum(x[h] for h in reconcile.HEADS) for x in b.filter("ord = 90").collect()}[90]
+    assert got == {(90, None, total), (91, None, 0)}
+    plan = alone._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" not in plan
