@@ -20,7 +20,8 @@ _AMOUNT = r"regexp_replace(regexp_replace(coalesce(x, ''), r'(?U)[,\s₹]', ''),
 
 
 def _dates() -> str:
-    got = ", ".join(f"CAST(try_to_timestamp({_TRIM.format('x')}, '{f}') AS DATE)" for f in DATE_FORMATS)
+    tried = "CASE WHEN {0} RLIKE r'{2}' THEN CAST(try_to_timestamp({0}, '{1}') AS DATE) END"
+    got = ", ".join(tried.format(_TRIM.format("x"), f, shape) for f, shape in DATE_FORMATS.items())
     # two digits of a year from 69 on are of the last century
     short = f"{_TRIM.format('x')} RLIKE r'[-/][0-9]{{2}}$' AND NOT {_TRIM.format('x')} RLIKE r'^[0-9]{{4}}-'"
     got = f"coalesce({got})"

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,28 @@ def test_headers_show_how_their_provisions_open(spark):
     got = spark.sql("SELECT h.* FROM {t} t, LATERAL provision_headers(t.body) h", t=df).collect()
     assert len(got) == 2
     assert all(r.opening == rows[0][1][r.body_start : r.body_start + sql.OPENING] for r in got)
+
+
+def test_formats_are_tried_only_where_they_can_fit(spark):
+    shown = {"d-M-yyyy": "1-4-2024", "d/M/yyyy": "1/4/2024", "yyyy-M-d": "2024-4-1", "d-MMM-yyyy": "1-Apr-2024", "d-MMM-yy": "1-Apr-24", "d/M/yy": "1/4/24"}
+    df = spark.createDataFrame([(f, x) for f, x in shown.items()], "f string, x string")
+    fits = df.select("f", *(F.col("x").rlike(shape).alias(f) for f, shape in text.DATE_FORMATS.items())).collect()
+    assert {r["f"]: [f for f in shown if r[f]] for r in fits} == {f: [f] for f in shown}
+    assert all(r[0].isoformat() == "2024-04-01" for r in df.select(text.parse_date(F.col("x"))).collect())
+
+
+def test_check_digits_of_any_text_are_as_with_lambdas(spark):
+    a = text.ALPHABET
+    rnd = random.Random(1)
+    made = ["".join(rnd.choice(a + extra) for _ in range(rnd.choice((15, 15, 14, 9)))) for extra in ("", "az -é") for _ in range(60)]
+    df = spark.createDataFrame([(x,) for x in [*made, "", None, "27AAPFU0939F1ZV"]], "x string")
+    total = (
+        f"aggregate(transform(sequence(1, 14), i -> (instr('{a}', substr(x, i, 1)) - 1) * (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END)), 0, "
+        "(s, p) -> s + CAST(floor(p / 36) AS INT) + p % 36)"
+    )
+    want = F.expr(f"substr('{a}', 1 + pmod(36 - pmod({total}, 36), 36), 1)")
+    got = df.select("x", want.alias("w"), text.check_digit(F.col("x")).alias("c"), F.expr(text.check_digit_sql("x")).alias("s")).collect()
+    assert all(r.w == r.c == r.s for r in got) and sum(r.w is not None for r in got) == 122
+    assert "27AAPFU0939F1ZV" not in {r.x for r in df.filter(~text.is_valid_gstin(F.col("x"))).collect()}
+    # letters and digits, as all but a few texts are, are looked up without a lambda
+    assert text.check_digit_sql("x").count("instr(") == 15
