@@ -158,3 +158,18 @@ def test_invalid_numbers_are_found_where_documents_lie(spark):
     assert got == {(90, None, total), (91, None, 0)}
     plan = alone._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftSemi" not in plan
+
+
+def test_findings_that_show_their_documents_need_no_join_to_be_described(spark):
+    rnd = random.Random(8)
+    rows = [*docs(rnd, 14, 0), (90, "invoice", "27AAPFU0939F1ZX", *docs(rnd, 1, 0)[0][3:])]
+    b = spark.createDataFrame(rows, SCHEMA).withColumn("row_ref", F.concat(F.lit("book.csv:"), "ord"))
+    g = spark.createDataFrame(docs(rnd, 14, 1000), SCHEMA)
+    full = reconcile.reconcile_full(b, g)
+    joined = findings.described(findings.register(*full, b, g), b, g)
+    shown = findings.described(findings.register(*full, b, g, shown=True), b, g).select(*joined.columns)
+    assert joined.count() > 14
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, shown.collect()))
+    none = [d.limit(0) for d in full]
+    alone = findings.described(findings.register(*none, b, g, shown=True), b, g)
+    assert "Join" not in alone._jdf.queryExecution().optimizedPlan().toString()
