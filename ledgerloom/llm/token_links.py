@@ -1,15 +1,13 @@
 """Where the tokens of two vocabularies meet: groups, links and how often a link occurs.
 
-Both vocabularies cut the same bytes. Python only tokenises: each document
-becomes two arrays of ids and two of byte offsets where tokens end. All else are
-higher-order functions over them. Offsets where both end (``array_intersect``)
-cut the document into groups. What stands before what comes from sorting: in the
-sorted array of a side's tokens and the cuts, groups are the runs between cuts;
-joined to one text, they are split at the cuts. In the sorted array of both
-sides' ends, the i-th end of its side at place p has p - i ends of the other side
-before it, which names the token it lies in. So each end is one link: the tokens
-of both sides that hold the byte before it. Nothing is searched or compared
-pairwise; a text of n tokens takes n log n steps and is held by one task.
+Both vocabularies cut the same bytes. Python tokenises, and gives each document's
+ids in two orders: group by group, with marks between them, and for each byte where
+any token ends those of both sides' tokens that hold it. The tokeniser has the ends as
+numbers already, and there a merge of them costs little, while sorting inside of
+lambdas' arguments, and texts made in lambdas, cost more than tokenising. Spark makes the
+text of the groups and the links of these orders, the links by a higher-order function,
+and counts. Nothing is compared pairwise; a text of n tokens takes n log n steps and
+is held by one task.
 
 How many documents hold a pair is one aggregation. To bring the counts back to
 the links, pairs that are so frequent that there can only be FREQUENT of them are
@@ -108,12 +106,21 @@ class Pieces:
         return self.library.encode(texts, num_threads=1)
 
 
-#: arrays without nulls, which Spark sorts as plain numbers
-TOKENS = [T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in ("a_ids", "a_ends", "b_ids", "b_ends")]
+COUNTS = ("n_a", "n_b", "n_groups")
+ORDERS = ("runs", "a_links", "b_links")
+TOKENS = [
+    *(T.StructField(n, T.LongType(), False) for n in COUNTS),
+    *(T.StructField(n, T.ArrayType(T.IntegerType(), False), False) for n in ORDERS),
+]
+#: In ``runs``: behind the ids of side a in a group, and between groups.
+_OVER, _CUT = -1, -2
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str, key="doc_id", text="text") -> DataFrame:
-    """(key, a_ids, a_ends, b_ids, b_ends) per row: ids of both vocabularies and the bytes where each token ends."""
+    """(key, n_a, n_b, n_groups, runs, a_links, b_links) per row.
+
+    Numbers of tokens and groups; ids group by group; and for each byte where any token ends the id of each side's token that holds it.
+    """
     spark = docs.sparkSession
     a_file, b_file = vocab.shipped(spark, a_path), vocab.shipped(spark, b_path)
     slim = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -124,80 +131,58 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, key="doc_id", text="tex
 
         a = vocab.parsed(a_file.value, "links-byte-level", ByteLevel)
         b = vocab.parsed(b_file.value, "links-pieces", Pieces)
-        empty = np.array([], np.int32)
+        nothing = (0, 0, 0, *[np.array([], np.int32)] * 3)
 
         def sides(texts):
             for text, y in zip(texts, b.encode(texts), strict=True):
                 raw = b" " + text.encode("utf-8")
                 if not text or b"".join(map(b.entries.__getitem__, y)) != raw:
-                    yield empty, empty, empty, empty
+                    yield nothing
                     continue
                 x, known = a.encode(" " + text)
                 if not known and b"".join(map(a.entries.__getitem__, x)) != raw:
-                    yield empty, empty, empty, empty
+                    yield nothing
                     continue
                 x, y = np.asarray(x, np.int32), np.array(y, np.int32)
-                yield x, np.cumsum(a.lengths[x], dtype=np.int32), y, np.cumsum(b.lengths[y], dtype=np.int32)
+                x_ends, y_ends = np.cumsum(a.lengths[x], dtype=np.int32), np.cumsum(b.lengths[y], dtype=np.int32)
+                # an entry has a byte at least and both sides end where the text does
+                x_next, y_next = np.searchsorted(y_ends, x_ends), np.searchsorted(x_ends, y_ends)
+                x_met, y_met = y_ends[x_next] == x_ends, x_ends[y_next] == y_ends
+                own = ~y_met
+                order = np.argsort(np.concatenate([x_ends, y_ends[own]]), kind="stable")
+                x_links = np.concatenate([x, x[y_next[own]]])[order]
+                y_links = np.concatenate([y[x_next], y[own]])[order]
+                # before a group stand the tokens of the groups before it and two marks for each
+                x_low, y_low = (np.concatenate([[0], np.flatnonzero(m) + 1]) for m in (x_met, y_met))
+                k = np.arange(len(x_low) - 1)
+                x_group, y_group = np.repeat(k, np.diff(x_low)), np.repeat(k, np.diff(y_low))
+                runs = np.full(len(x) + len(y) + 2 * len(k), _CUT, np.int32)
+                runs[np.arange(len(x)) + y_low[x_group] + 2 * x_group] = x
+                runs[np.arange(len(y)) + x_low[y_group + 1] + 2 * y_group + 1] = y
+                runs[x_low[1:] + y_low[:-1] + 2 * k] = _OVER
+                yield len(x), len(y), len(k), runs[:-1], x_links, y_links
 
         for batch in batches:
             for lo in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(lo, OUT_ROWS)
-                columns = zip(*sides(part.column(1).to_pylist()), strict=True)
-                arrays = [pa.array(list(c), pa.list_(pa.int32())) for c in columns]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["key", "a_ids", "a_ends", "b_ids", "b_ends"])
+                columns = list(zip(*sides(part.column(1).to_pylist()), strict=True))
+                arrays = [pa.array(c, pa.int64()) for c in columns[: len(COUNTS)]]
+                for column in columns[len(COUNTS) :]:
+                    offsets = np.cumsum([0, *map(len, column)], dtype=np.int32)
+                    arrays.append(pa.ListArray.from_arrays(offsets, np.concatenate(column).astype(np.int32, copy=False)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["key", *(f.name for f in TOKENS)])
 
     return slim.mapInArrow(run, schema)
 
 
 # ---- groups and links --------------------------------------------------------
 
-#: (end, side, place) in one number, so that ends sort with side a before side b
-_END, _SIDE = 32, 31
-#: stands for a cut where ids stand; no id is so large, and it sorts behind them
-_MARK = (1 << 32) - 1
-
-def _sides(side: str) -> Column:
-    """The ids of a side as texts, one for each group: ids and cuts sorted by their place, joined, and split at the cuts."""
-    return F.expr(
-        f"""split(array_join(CAST(transform(
-              sort_array(concat(zip_with({side}_ends, {side}_ids, (e, i) -> shiftleft(CAST(e AS BIGINT), {_END}) + i),
-                                transform(cuts, c -> shiftleft(CAST(c AS BIGINT), {_END}) + {_MARK}))),
-              v -> v & {_MARK}) AS ARRAY<STRING>), ','), ',{_MARK},?')"""
-    )
-
-
-def _links() -> Column:
-    """Pairs (a id, b id) in one number each, in the order of the text; from the columns of ``tokenised``."""
-    return F.expr(
-        f"""filter(transform(ends, (v, p) -> CASE
-              WHEN shiftright(v, {_SIDE}) & 1 = 0 THEN
-                shiftleft(CAST(get(a_ids, CAST(v & 2147483647 AS INT)) AS BIGINT), 32)
-                + get(b_ids, CAST(p - (v & 2147483647) AS INT))
-              WHEN p > 0 AND shiftright(get(ends, p - 1), {_END}) = shiftright(v, {_END}) THEN NULL
-              ELSE shiftleft(CAST(get(a_ids, CAST(p - (v & 2147483647) AS INT)) AS BIGINT), 32)
-                + get(b_ids, CAST(v & 2147483647 AS INT)) END), x -> x IS NOT NULL)"""
-    )
-
-
 def aligned(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with n_a, n_b, groups (their text form) and links (a id * 2**32 + b id) of each row."""
-    ends = F.expr(
-        f"""sort_array(concat(
-              transform(a_ends, (e, i) -> shiftleft(CAST(e AS BIGINT), {_END}) + i),
-              transform(b_ends, (e, i) -> shiftleft(CAST(e AS BIGINT), {_END}) + shiftleft(1L, {_SIDE}) + i)))"""
-    )
-    cuts = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "ends": ends})
-    # the split leaves an empty text behind the last cut, which has no group
-    placed = cuts.withColumn("whole", F.zip_with(_sides("a"), _sides("b"), lambda x, y: F.concat(x, F.lit("|"), y)))
-    group = F.slice("whole", F.lit(1), F.size("cuts"))
-    return placed.select(
-        *(c for c in tokens.columns if c not in ("a_ids", "a_ends", "b_ids", "b_ends")),
-        F.size("a_ids").cast("long").alias("n_a"),
-        F.size("b_ids").cast("long").alias("n_b"),
-        F.size("cuts").cast("long").alias("n_groups"),
-        F.array_join(group, ";").alias("groups"),
-        _links().alias("links"),
-    )
+    """``tokens`` with groups (their text form) and links (a id * 2**32 + b id) of each row in place of its ids."""
+    joined = F.array_join(F.col("runs").cast("array<string>"), ",")
+    groups = F.replace(F.replace(joined, F.lit(f",{_OVER},"), F.lit("|")), F.lit(f",{_CUT},"), F.lit(";"))
+    links = F.zip_with("a_links", "b_links", lambda x, y: F.shiftleft(x.cast("long"), 32) + y)
+    return tokens.select(*(c for c in tokens.columns if c not in ORDERS), groups.alias("groups"), links.alias("links"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

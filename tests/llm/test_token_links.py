@@ -103,3 +103,18 @@ def test_repeated_and_null_ids_and_empty_tables(spark):
     assert [tuple(r)[1:] for r in got] == want
     assert token_links.align(df.limit(0)).count() == 0
     assert [tuple(r)[1:] for r in token_links.align(df.filter("doc_id = 2")).collect()] == [(0, 0, 0, 0, 0, 0, "")]
+
+
+def test_nothing_is_sorted_and_no_text_made_inside_of_lambdas(spark):
+    # which cost more than tokenising: Spark works with boxed numbers and single texts there
+    rows = spark.createDataFrame([(1, "alpha beta"), (2, "unbelievably tokenization-free"), (3, "")], "doc_id long, text string")
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    tokens = token_links.tokenised(rows, *paths)
+    made = token_links.aligned(tokens)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan and "concat(" not in plan and "split(" not in plan
+    got = {r["key"]: r for r in tokens.collect()}
+    for r in made.collect():
+        t = got[r["key"]]
+        assert len(t["a_links"]) == len(t["b_links"]) == len(r["links"]) == r["n_a"] + r["n_b"] - r["n_groups"]
+        assert r["groups"].count("|") == r["n_groups"] and len(t["runs"]) == max(0, r["n_a"] + r["n_b"] + 2 * r["n_groups"] - 1)
