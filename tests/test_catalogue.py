@@ -1,4 +1,7 @@
-from ledgerloom.plans import catalogue
+from ledgerloom.functions.text import check_digit_sql
+from ledgerloom.plans import catalogue, derived
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_an_ingest_query_writes_the_side_it_reads_and_no_other(monkeypatch):
@@ -26,3 +29,21 @@ class _Docs:
 
     def select(self, *a):
         return self
+
+
+def test_what_follows_from_keys_is_not_shuffled_to_the_suppliers(spark):
+    made = derived.shaped(spark, SMALL)
+    lines = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, x in enumerate(lines) if "Join Inner" in x and "s_suppkey" in x or "Join Inner" in x and "w_key" in x)
+    below = "\n".join(lines[at + 1 :])
+    assert "stem#" not in below and "defect#" not in below
+
+
+def test_both_sides_are_made_of_the_same_rows_as_by_the_sql(spark):
+    for t in derived.TABLES:
+        spark.read.parquet(f"{SMALL}/{t}.parquet").createOrReplaceTempView(t)
+    spark.sql(derived.BASE).createOrReplaceTempView("base")
+    spark.sql(derived.suppliers(check_digit_sql)).createOrReplaceTempView("who")
+    plain, made = spark.sql(derived.SHAPED), derived.shaped(spark, SMALL)
+    assert made.schema == plain.schema and made.count() > 1000
+    assert made.exceptAll(plain).isEmpty() and plain.exceptAll(made).isEmpty()
