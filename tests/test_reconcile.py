@@ -173,3 +173,31 @@ def test_findings_that_show_their_documents_need_no_join_to_be_described(spark):
     none = [d.limit(0) for d in full]
     alone = findings.described(findings.register(*none, b, g, shown=True), b, g)
     assert "Join" not in alone._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_that_lie_by_their_number_are_not_shuffled_to_meet(spark, monkeypatch):
+    rnd = random.Random(9)
+    b, g = docs(rnd, 30, 0), docs(rnd, 30, 1000)
+    b += [(40, "invoice", None, *b[0][3:]), (41, "invoice", None, *b[0][3:])]
+    g += [(1040, "invoice", None, *b[0][3:]), (1041, *b[3][1:]), (900, *b[3][1:])]
+    books, other = spark.createDataFrame(b, SCHEMA), spark.createDataFrame(g, SCHEMA)
+    both = reconcile.together(books, other).withColumn("digits", F.substring("number", 5, 6)).repartition("digits")
+    plans, whole = {}, reconcile.durable
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return whole(df, label)
+
+    monkeypatch.setattr(reconcile, "durable", kept)
+    for tol in (0, 5):
+        full = reconcile.reconcile_full(books, other, tol)
+        assert plans["met"].count("Exchange hashpartitioning") == 1  # both sides in one
+        got = reconcile.reconcile_together(both, tol, within="digits")
+        assert plans["met"].count("Exchange hashpartitioning(digits") == 1 and plans["met"].count("Exchange hashpartitioning") == 1
+        for x, y in zip(got[:3], full, strict=True):
+            assert sorted(map(repr, x.select(*y.columns).collect())) == sorted(map(repr, y.collect()))
+        for x, y in zip(got[3:], (books, other), strict=True):
+            assert sorted(map(repr, x.collect())) == sorted(map(repr, y.collect()))
+        same = {n: [r for r in rows if r[1:4] == b[3][1:4]] for n, rows in (("b", b), ("g", g))}
+        least = {n: {r.least_ord for r in d.collect() if r.number == b[3][3] and r.gstin == b[3][2] and r.doc_type == b[3][1]} for n, d in zip("bg", got[1:3])}
+        assert least["g"] == {min(r[0] for r in same["g"])} == {900}
