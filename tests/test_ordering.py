@@ -56,3 +56,18 @@ def test_first_unrecovered(spark):
     df = spark.createDataFrame(rows, "ordinal long, case_id string, evidence string").repartition(4)
     assert [r["ordinal"] for r in evaluate.unrecovered(df).collect()] == list(range(1, 21, 2))
     assert evaluate.unrecovered(df.filter("case_id IS NOT NULL")).count() == 0
+
+
+def test_findings_with_a_place_need_neither_results_nor_all_documents(spark):
+    books = [_doc(i, "invoice" if i % 3 else "credit_note", f"N/{i % 7}", 1 + i % 4, 18 + i % 2) for i in range(30)] + [_doc(40, "invoice", "Q-1", 20, gstin="BAD")]
+    other = [_doc(i, "invoice" if i % 4 else "credit_note", f"N/{i % 9}", 1 + i % 5, 18 + i % 3) for i in range(30)]
+    b, g = (spark.createDataFrame(x, SCHEMA) for x in (books, other))
+    r, mb, mg = reconcile.reconcile_full(b, g, ranked=True)
+    placed = ordering.ordered_results(r, partitions=3)
+    whole = ordering.ordered_findings(findings.register(placed, mb, mg, b, g), placed, b, g, partitions=3)
+    full = reconcile.reconcile_together(reconcile.together(b, g), ranked=True, least=True)
+    found = findings.register(ordering.with_place(full[0]), *full[1:])
+    lean = ordering.placed_findings(found, partitions=3)
+    said = [sorted((x["ordinal"], x["b_ord"] or -1, x["g_ord"] or -1, x["code"]) for x in d.collect()) for d in (whole, lean)]
+    assert said[0] == said[1] and len(said[0]) > 30
+    assert lean._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # that with the counts
