@@ -47,3 +47,19 @@ def test_both_sides_are_made_of_the_same_rows_as_by_the_sql(spark):
     plain, made = spark.sql(derived.SHAPED), derived.shaped(spark, SMALL)
     assert made.schema == plain.schema and made.count() > 1000
     assert made.exceptAll(plain).isEmpty() and plain.exceptAll(made).isEmpty()
+
+
+def test_candidates_do_not_look_for_copies_again(spark):
+    asked = []
+    seen, catalogue.durable = catalogue.durable, lambda df, label: asked.append(df) or seen(df, label)
+    try:
+        got = catalogue.QUERIES["candidates"](spark, SMALL)
+    finally:
+        catalogue.durable = seen
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "lineitem" not in plan
+    # the copies are found where the sums are made
+    (made,) = asked
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("HashAggregate")]
+    assert plan.count("Window") >= 1 and "Exchange hashpartitioning" not in above
